@@ -77,17 +77,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
+    """``f`` (minimum or maximum) over all runs of ``width`` values, by doubling."""
+    size, acc = 1, x
+    for b in bin(width)[3:]:
+        acc, size = f(acc[: len(acc) - size], acc[size:]), size * 2
+        if b == "1":
+            acc, size = f(acc[: len(acc) - 1], x[size : size + len(acc) - 1]), size + 1
+    return acc
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive values, by doubling: O(n log k)."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, size, bits = ODD, 1, bin(k)[3:]
-    acc = h
-    for b in bits:  # acc[i] covers `size` values from i on; power = ODD ** size
-        acc = acc[: len(acc) - size] * power + acc[size:]
-        power, size = power * power, size * 2
+    acc, size = h, 1
+    for b in bin(k)[3:]:  # acc[i] covers `size` values from i on
+        acc, size = acc[: len(acc) - size] * np.uint64(pow(int(ODD), size, 2**64)) + acc[size:], size * 2
         if b == "1":
-            acc = acc[: len(acc) - 1] * ODD + h[size : size + len(acc) - 1]
-            power, size = power * ODD, size + 1
+            acc, size = acc[: len(acc) - 1] * ODD + h[size : size + len(acc) - 1], size + 1
     return mix(acc[:n])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, token_store
+from . import bpe, exact_dedup, mixing, ngram_join, sharding, token_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), num=75, den=100, shingle=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_ngram_join": op2_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_sharding": op9_sharding,
