@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, sharding, substring_dedup, token_store
+from . import bpe, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup, token_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +42,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir), keep="largest")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(documents(spark, sf_dir), shards=24)
     return out.select(F.col("record.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,11 +65,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
 
+def _secret_oracle() -> str:
+    """Offsets from the lengths of the pieces between matches and of the matches."""
+    parts, lists = [], []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"regexp_extract_all(t, '{pattern}') AS h{k}, string_split_regex(t, '{pattern}') AS p{k}")
+        keep = f"length(regexp_extract(h{k}[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        begin = f"list_sum(list_transform(p{k}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h{k}[1:i-1], lambda x: length(x))), 0)"
+        lists.append(f"list_transform(list_filter(range(1, len(h{k}) + 1), lambda i: {keep}), lambda i: {{'s': ({begin})::BIGINT, 'k': {k}, 'e': ({begin} + length(h{k}[i]))::BIGINT, 'n': '{rule.kind}'}}) AS l{k}")
+    text = lambda ks: f"array_to_string(list_transform(list_sort({' || '.join(f'l{k}' for k in ks)}), lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
+    n = len(secret_scan.RULES)
+    return f"""
+        WITH h AS (SELECT doc_id, {", ".join(parts)} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        l AS (SELECT doc_id, {", ".join(lists)} FROM h)
+        SELECT doc_id, len(l0)::BIGINT AS n_assign, len(l1)::BIGINT AS n_access, len(l2)::BIGINT AS n_hex,
+               sha256({text(range(3))}) AS base_sha256, {text(range(n))} AS spans FROM l"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_secret_scan": _secret_oracle(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
