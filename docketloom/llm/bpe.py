@@ -14,15 +14,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import Recent, of_process
+
 # The split pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(2**62)
+SLICE = 1000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,9 +56,7 @@ class ByteBPE:
         self.result = merged
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.bound = bound
+        self.pieces, self.chunks = Recent(bound), Recent(bound)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -97,7 +99,7 @@ class ByteBPE:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
+        new = self.pieces.lacking(pieces)
         new.sort(key=len)
         at = 0
         while at < len(new):
@@ -111,17 +113,13 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > self.bound:
-            self.pieces.clear()
-        if len(self.chunks) > self.bound:
-            self.chunks.clear()
         plans = [self._chunks(t) for t in texts]
-        new = {c for plan in plans for c in plan if c not in self.chunks}
+        new = self.chunks.lacking(set(chain.from_iterable(plans)))
         cut = {c: self.split.findall(c) for c in new if c not in self.specials}
-        self.learn(set().union(*cut.values()))
+        self.learn(set(chain.from_iterable(cut.values())))
         for c, ps in cut.items():
             self.chunks[c] = b"".join(map(self.pieces.__getitem__, ps))
-        for c in new & self.specials.keys():
+        for c in self.specials.keys() & set(new):
             self.chunks[c] = np.array([self.specials[c]], "<u4").tobytes()
         return [b"".join(map(self.chunks.__getitem__, plan)) for plan in plans]
 
@@ -146,8 +144,8 @@ class ByteBPE:
 
 def _run(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBPE(path)
-        for batch in batches:
+        coder = of_process(ByteBPE, path)
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             encoded = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             texts = [coder.decode(e) for e in encoded]
             cols = [batch.column(0), pa.array([len(e) // 4 for e in encoded], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in encoded]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]

@@ -48,6 +48,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Recent(dict):
+    """A cache of two generations: what is used moves to the younger one, which in time replaces the older."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.older = bound, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def lacking(self, keys: set) -> list:
+        """Those of ``keys`` in neither generation. Call before a batch; ages the cache when it is full."""
+        if len(self) > self.bound:
+            self.older = dict(self)
+            self.clear()
+        older = self.older
+        return [k for k in keys if k not in self and k not in older]
+
+
+_of_process: dict = {}
+
+
+def of_process(make, *args):
+    """One object for each worker process, which outlives a task: models and caches are loaded once."""
+    key = (make, args)
+    if key not in _of_process:
+        _of_process[key] = make(*args)
+    return _of_process[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words already seen; emptied when it outgrows its bound."""
 

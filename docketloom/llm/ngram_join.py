@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, shared_dir, small, stage, window_hashes, write
+from .common import WordHashes, mix, of_process, shared_dir, small, stage, window_hashes, write
 from .components import components
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def _sketch(k: int, frequent: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base, sent = WordHashes(), TaskContext.get().partitionId() << 33, set()
+        hashes, base, sent = of_process(WordHashes), TaskContext.get().partitionId() << 33, set()
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
@@ -210,7 +210,7 @@ def _verify(num: int, den: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = of_process(WordHashes)
         for batch in batches:
             sets = [shingles(t.lower().split(), hashes, k) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"])
@@ -220,7 +220,7 @@ def _sets(k: int):
 
 def _shingle_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = of_process(WordHashes)
         for batch in batches:
             sets = [shingles(t.lower().split(), hashes, k) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, U)]).astype(U).view(np.int64))], ["s"])

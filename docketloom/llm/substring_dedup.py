@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, shared_dir, sliding, small, stage, window_hashes, write
+from .common import WordHashes, mix, of_process, shared_dir, sliding, small, stage, window_hashes, write
 from .ngram_join import texts_of
 
 WINDOW, K = 50, 14
@@ -72,7 +72,7 @@ DOC = "uid long, doc_id long, rank long, text_key long, n_words long, sha string
 
 def _graph(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, uid = WordHashes(), TaskContext.get().partitionId() << 33
+        hashes, uid = of_process(WordHashes), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch), strict=True):
@@ -93,7 +93,7 @@ def _spans(k: int, window: int):
     """Per document with repeated nodes: spans of paths first seen in smaller documents, and windows to compare one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = of_process(WordHashes)
         for batch in batches:
             out = [[], [], [], []]  # uid, rank, start, (end | hash)
             kinds = []

@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small, write
+from .common import Recent, of_process, shared_dir, small, write
 
 MIN_IDS, MASK_BITS, MAX_IDS = 64, 8, 1024
 BLOCK = 1024
-CACHE_WORDS = 300_000
+SLICE, CACHE_WORDS = 1000, 400_000
+# Words of ASCII (but "<", which begins special tokens) and Latin-1 letters, and the tokenizer's split pattern for them in lower case.
+PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 GEAR = np.random.default_rng(20240601).integers(0, 2**32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
@@ -49,22 +54,39 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        else:
-            new = list(words - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, self.dtype).tobytes()
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.known, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Plain words go to the library in lower case and in the pieces that its split pattern cuts, so variants of a word share them."""
+        cut, rest = {}, []
+        for w in words:
+            if w.isalpha():  # of bytes: ASCII letters
+                cut[w] = (w.lower(),)
+            elif w[:-1].isalpha() and w[-1:] in b".,;:!?":
+                cut[w] = (w[:-1].lower(), w[-1:])
+            elif PLAIN.fullmatch(t := w.decode()):
+                cut[w] = [x.encode() for x in PIECES.findall(t.lower())]
+            else:
+                rest.append(w)
+        new = self.pieces.lacking(set(chain.from_iterable(cut.values())))
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        width = self.dtype.itemsize
+        for group, got in zip(groups, self.tokenizer.encode_batch([b"\n".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            data = np.array(got.ids, self.dtype).tobytes()
+            begin = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            ends = np.cumsum(np.fromiter((len(g.decode()) for g in group), np.int64, len(group)) + 1)
+            cuts_ = (np.searchsorted(begin, ends) * width).tolist()
+            for piece, x, y in zip(group, [0, *cuts_], cuts_, strict=False):
+                self.pieces[piece] = data[x:y]
+        for w, pieces in cut.items():
+            self.known[w] = b"".join(map(self.pieces.__getitem__, pieces))
+        for w, got in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(got.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
+        split = [t.split() if b"<" in t else t.lower().split() for t in texts]  # "<" may begin a special token, which has a case
+        self.learn(self.known.lacking(set(chain.from_iterable(split))))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -110,10 +132,10 @@ ENTRY = "key binary, payload binary, doc_id long, n_tokens long, digests array<b
 
 def _encode(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width, end = WordEncoder(path, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
+        encoder, width, end = of_process(WordEncoder, path, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
         sent: set[bytes] = set()
         task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows: list[tuple] = []
             for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
