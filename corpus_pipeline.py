@@ -25,12 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays."""
-    kept = exact_dedup.deduplicate(docs, keep="largest").where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = exact_dedup.deduplicate(docs, keep="largest").where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
+    rows = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_text")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "sha"]).select(*COLUMNS)  # repeated rows
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; documents without words link with nothing and stay."""
+    """Of each group of linked documents the one with the smallest doc_id stays; documents without words link with nothing and stay.
+
+    Rows that share a doc_id (or have none) stay or go together.
+    """
     groups = ngram_join.near_duplicates(docs, num=75, den=100, shingle=5)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)

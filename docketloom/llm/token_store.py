@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Recent, of_process, shared_dir, small, write
 
-MIN_IDS, MASK_BITS, MAX_IDS = 64, 8, 1024
+MIN_IDS, MASK_BITS, MAX_IDS = 128, 9, 2048
 BLOCK = 1024
 SLICE, CACHE_WORDS = 1000, 400_000
 # Words of ASCII (but "<", which begins special tokens) and Latin-1 letters, and the tokenizer's split pattern for them in lower case.
@@ -57,37 +57,45 @@ class WordEncoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.known, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
+    def library(self, pieces: list[bytes]) -> None:
+        """Ids of pieces without white space, many to a call; offsets tell whose they are."""
+        groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
+        width, known = self.dtype.itemsize, self.pieces
+        texts = [b"\n".join(g).decode() for g in groups]
+        for group, text, got in zip(groups, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            data = np.array(got.ids, self.dtype).tobytes()
+            begin = np.array(got.offsets, np.int64)[:, 0] if got.ids else np.empty(0, np.int64)
+            ends = np.flatnonzero(np.frombuffer((text + "\n").encode("utf-32-le"), np.uint32) == 10)
+            at = (np.searchsorted(begin, ends) * width).tolist()
+            known.update(zip(group, [data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)], strict=True))
+
     def learn(self, words: list[bytes]) -> None:
         """Plain words go to the library in lower case and in the pieces that its split pattern cuts, so variants of a word share them."""
-        cut, rest = {}, []
+        letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters
+        ended, cut, rest = [], {}, []
         for w in words:
-            if w.isalpha():  # of bytes: ASCII letters
-                cut[w] = (w.lower(),)
-            elif w[:-1].isalpha() and w[-1:] in b".,;:!?":
-                cut[w] = (w[:-1].lower(), w[-1:])
-            elif PLAIN.fullmatch(t := w.decode()):
-                cut[w] = [x.encode() for x in PIECES.findall(t.lower())]
-            else:
-                rest.append(w)
-        new = self.pieces.lacking(set(chain.from_iterable(cut.values())))
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
-        width = self.dtype.itemsize
-        for group, got in zip(groups, self.tokenizer.encode_batch([b"\n".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            data = np.array(got.ids, self.dtype).tobytes()
-            begin = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            ends = np.cumsum(np.fromiter((len(g.decode()) for g in group), np.int64, len(group)) + 1)
-            cuts_ = (np.searchsorted(begin, ends) * width).tolist()
-            for piece, x, y in zip(group, [0, *cuts_], cuts_, strict=False):
-                self.pieces[piece] = data[x:y]
-        for w, pieces in cut.items():
-            self.known[w] = b"".join(map(self.pieces.__getitem__, pieces))
+            if not w.isalpha():
+                if w[:-1].isalpha() and w[-1:] in b".,;:!?":
+                    ended.append(w)
+                elif PLAIN.fullmatch(t := w.decode()):
+                    cut[w] = [x.encode() for x in PIECES.findall(t.lower())]
+                else:
+                    rest.append(w)
+        lower, stems = [w.lower() for w in letters], [w[:-1].lower() for w in ended]
+        self.library(self.pieces.lacking({*lower, *stems, *chain.from_iterable(cut.values()), *(w[-1:] for w in ended)}))
+        known, piece = self.known, self.pieces.__getitem__
+        known.update(zip(letters, map(piece, lower), strict=True))
+        known.update((w, piece(x) + piece(w[-1:])) for w, x in zip(ended, stems, strict=True))
+        known.update((w, b"".join(map(piece, pieces))) for w, pieces in cut.items())
         for w, got in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(got.ids, self.dtype).tobytes()
+            known[w] = np.array(got.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() if b"<" in t else t.lower().split() for t in texts]  # "<" may begin a special token, which has a case
-        self.learn(self.known.lacking(set(chain.from_iterable(split))))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known = self.known
+        got = [list(map(known.get, words)) for words in split]
+        self.learn(known.lacking({w for words, ids in zip(split, got, strict=True) for w, x in zip(words, ids, strict=True) if x is None}))
+        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, got, strict=True)]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
