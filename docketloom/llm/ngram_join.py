@@ -148,7 +148,7 @@ def _sketch(k: int, frequent: np.ndarray, buckets: int):
 
 
 def _pairs(limit: int):
-    """Of a bucket's rows: pairs of sets with an equal key (key null), and the members of larger groups (v null)."""
+    """Of a bucket's rows: pairs of sets with an equal key (key 0); of larger groups the members (v null) and each one's least first member (key -1)."""
 
     def run(table: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()])
@@ -164,20 +164,17 @@ def _pairs(limit: int):
             m = np.flatnonzero((key[d:] == key[:-d]) & plain[d:])
             us.append(uid[m])
             vs.append(uid[m + d])
-        first = np.repeat(starts, size)
-        m = np.flatnonzero(hot & (np.arange(len(key)) != first))
-        us += [uid[first[m]], uid[m - 1]]
-        vs += [uid[m], uid[m]]
         pair = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0) if us else np.empty((0, 2), np.int64)
         pair = pair[pair[:, 0] != pair[:, 1]]
-        bucket = table.column("bucket")[0].as_py()
         h = np.flatnonzero(hot)
-        none = pa.nulls(len(pair), pa.int64()), pa.nulls(len(h), pa.int64())
-        return pa.table({
-            "u": pa.chunked_array([pa.array(pair[:, 0]), pa.array(uid[h])]),
-            "v": pa.chunked_array([pa.array(pair[:, 1]), none[1]]),
-            "key": pa.chunked_array([none[0], pa.array((bucket << 32) + key[h].astype(np.int64))]),
-        })
+        pivot = uid[np.repeat(starts, size)[h]]
+        star = np.lexsort((pivot, uid[h]))  # each member's least pivot
+        star = star[np.r_[True, uid[h][star][1:] != uid[h][star][:-1]]] if len(star) else star
+        bucket = table.column("bucket")[0].as_py()
+        u = np.concatenate([pair[:, 0], pivot[star], uid[h]])
+        v = pa.array(np.concatenate([pair[:, 1], uid[h][star], np.zeros(len(h), np.int64)]), mask=np.repeat([False, False, True], [len(pair), len(star), len(h)]))
+        key = pa.array(np.concatenate([np.zeros(len(pair), np.int64), np.full(len(star), -1), (bucket << 32) + key[h].astype(np.int64)]))
+        return pa.table({"u": pa.array(u), "v": v, "key": key})
 
     return run
 
@@ -272,7 +269,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int
     keyed = rows.where("kind = 'key'").select("bucket", "base", "a", "b")
     found = write(keyed.groupBy("bucket").applyInArrow(_pairs(group_limit), "u long, v long, key long"), f"{path}/pairs")
     sets = rows.where("kind = 'set'").select("uid", "sid", "n", "a")
-    near = stage(_key_of(found.where("v is not null").select("u", "v").distinct(), sets, num, den), "near")
+    stars = found.where("key = -1").groupBy("v").agg(F.min("u").alias("u")).where("u <> v").select("u", "v")
+    near = stage(_key_of(found.where("key = 0").select("u", "v").unionByName(stars).distinct(), sets, num, den), "near")
     links = stage(_links(docs, rows, near, shingle, num, den), "links")
     label = stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
     hot = found.where("v is null").select("key", "u")
