@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -22,8 +22,7 @@ def sql_fold(c: str) -> str:
     FROM (SELECT doc_id, {sql_fold('text')} AS hay FROM documents) d JOIN (SELECT item_id, {sql_fold('text')} AS needle FROM benchmark) b ON contains(d.hay, b.needle)""")
 def quote_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = Q.exact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), N.duplicate_fold)
-    per = hits.groupBy("doc_id").agg(F.count("*").alias("n_in_doc"))
-    return hits.join(per, "doc_id").select("doc_id", "item_id", "at", F.lit("VERBATIM").alias("result"), "n_in_doc")
+    return hits.select("*", F.lit("VERBATIM").alias("result"), F.count("*").over(Window.partitionBy("doc_id")).alias("n_in_doc"))
 
 
 PLANT = "concat(substring(text, 1, 40), ' [altered] ', substring(text, 61, 60))"
@@ -159,8 +158,6 @@ def authority_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT fp, first_event, row_number() OVER (ORDER BY first_event) AS id FROM n""")
 def finding_fingerprint_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New findings only: those whose fingerprint the ledger lacks, with ids in order."""
-    from pyspark.sql import Window
-
     events = table(spark, sf_dir, "events").select("event_id", D.fingerprint(F.col("event_type"), F.col("user_id").cast("string"), F.lit("finding")).alias("fp"))
     known = events.where("event_id % 3 = 0").select("fp").distinct()
     new = events.where("event_id % 3 <> 0").join(known, "fp", "left_anti").groupBy("fp").agg(F.min("event_id").alias("first_event"))
