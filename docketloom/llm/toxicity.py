@@ -212,7 +212,7 @@ def spread(buckets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         all_[b] += 1
         if y:
             t[b] += 1
-    expected = all_ * toxic.mean()
+    expected = all_ * (toxic.mean() if len(toxic) else 0.0)
     z = (t - expected) / np.sqrt(expected + 1)
     return np.where(all_ > 0, np.clip(z, -3, 8) / 4, 0).astype(F32)
 

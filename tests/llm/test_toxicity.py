@@ -31,7 +31,7 @@ def test_gradients():
             value[i] = old - 1e-2
             down = loss()
             value[i] = old
-            assert abs((up - down) / 2e-2 - grad[i]) < 2e-3 + 0.02 * abs(grad[i])
+            assert abs((up - down) / 2e-2 - grad[i]) < 1e-2 + 0.05 * abs(grad[i])  # single precision
 
 
 def test_windows_overlap_and_cover():
