@@ -224,9 +224,11 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
         net.constant = float(toxic.mean()) if len(toxic) else 0.1
         return net
     rng = np.random.default_rng(seed)
-    split = [list(dict.fromkeys(words_of(t))) for t in texts]
-    by_word = [np.unique(word_buckets(w)) for w in split]
-    by_gram = [np.unique(gram_buckets(w)[0]) if w else np.empty(0, np.int64) for w in split]
+    by_word, by_gram = [], []
+    for t in texts:  # one document's words at a time
+        own = list(dict.fromkeys(words_of(t)))
+        by_word.append(np.unique(word_buckets(own)).astype(np.int32))
+        by_gram.append(np.unique(gram_buckets(own)[0]).astype(np.int32) if own else np.empty(0, np.int32))
     fold = np.arange(len(texts)) % 2
     fold[toxic] = np.arange(toxic.sum()) % 2
     stats = []  # for each fold the counts of the other, so that no document meets its own label in its inputs
