@@ -58,15 +58,18 @@ class WordEncoder:
         self.known, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
     def library(self, pieces: list[bytes]) -> None:
-        """Ids of pieces without white space, many to a call; offsets tell whose they are."""
+        """Ids of pieces without white space, many to a call; word numbers, else offsets, tell whose they are."""
         groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
         width, known = self.dtype.itemsize, self.pieces
         texts = [b"\n".join(g).decode() for g in groups]
         for group, text, got in zip(groups, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            data = np.array(got.ids, self.dtype).tobytes()
-            begin = np.array(got.offsets, np.int64)[:, 0] if got.ids else np.empty(0, np.int64)
-            ends = np.flatnonzero(np.frombuffer((text + "\n").encode("utf-32-le"), np.uint32) == 10)
-            at = (np.searchsorted(begin, ends) * width).tolist()
+            data, of = np.array(got.ids, self.dtype).tobytes(), np.array(got.word_ids, np.int64)
+            if len(of) and of[-1] == len(group) - 1:  # a piece is one word to the library's split
+                at = (np.searchsorted(of, np.arange(1, len(group) + 1)) * width).tolist()
+            else:
+                begin = np.array(got.offsets, np.int64)[:, 0] if got.ids else np.empty(0, np.int64)
+                ends = np.flatnonzero(np.frombuffer((text + "\n").encode("utf-32-le"), np.uint32) == 10)
+                at = (np.searchsorted(begin, ends) * width).tolist()
             known.update(zip(group, [data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)], strict=True))
 
     def learn(self, words: list[bytes]) -> None:
