@@ -59,11 +59,14 @@ class Recent(dict):
         value = self[key] = self.older[key]
         return value
 
-    def lacking(self, keys: set) -> list:
+    def lacking(self, keys) -> list:
         """Those of ``keys`` in neither generation. Call before a batch; ages the cache when it is full."""
         if len(self) > self.bound:
             self.older = dict(self)
             self.clear()
+        return self.absent(keys)
+
+    def absent(self, keys) -> list:
         older = self.older
         return [k for k in keys if k not in self and k not in older]
 

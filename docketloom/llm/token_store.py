@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .common import Recent, of_process, shared_dir, small, write
 
 MIN_IDS, MASK_BITS, MAX_IDS = 128, 9, 2048
 BLOCK = 1024
-SLICE, CACHE_WORDS = 1000, 400_000
+SLICE, CACHE_WORDS = 8 << 20, 700_000
 # Words of ASCII (but "<", which begins special tokens) and Latin-1 letters, and the tokenizer's split pattern for them in lower case.
 PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -47,20 +48,20 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, so the ids of a text
     are those of its words. Only ASCII white space is split on here; the library deals
-    with any other.
+    with any other. Splitting, telling words apart and gathering ids are done for many
+    texts at once; Python sees the distinct words.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.known, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), Recent(CACHE_WORDS)
 
     def library(self, pieces: list[bytes]) -> None:
         """Ids of pieces without white space, many to a call; word numbers, else offsets, tell whose they are."""
         groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
-        width, known = self.dtype.itemsize, self.pieces
+        width, known = self.dtype.itemsize, self.known
         texts = [b"\n".join(g).decode() for g in groups]
         for group, text, got in zip(groups, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             data, of = np.array(got.ids, self.dtype).tobytes(), np.array(got.word_ids, np.int64)
@@ -74,31 +75,49 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Plain words go to the library in lower case and in the pieces that its split pattern cuts, so variants of a word share them."""
-        letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters
-        ended, cut, rest = [], {}, []
+        letters, ended, cut, rest = [], {}, {}, []
         for w in words:
-            if not w.isalpha():
-                if w[:-1].isalpha() and w[-1:] in b".,;:!?":
-                    ended.append(w)
-                elif PLAIN.fullmatch(t := w.decode()):
-                    cut[w] = [x.encode() for x in PIECES.findall(t.lower())]
-                else:
-                    rest.append(w)
-        lower, stems = [w.lower() for w in letters], [w[:-1].lower() for w in ended]
-        self.library(self.pieces.lacking({*lower, *stems, *chain.from_iterable(cut.values()), *(w[-1:] for w in ended)}))
-        known, piece = self.known, self.pieces.__getitem__
+            if w.isalpha():  # of bytes: ASCII letters
+                letters.append(w)
+            elif w[:-1].isalpha() and w[-1:] in b".,;:!?":
+                ended[w] = w[:-1].lower()
+            elif PLAIN.fullmatch(t := w.decode()):
+                cut[w] = [x.encode() for x in PIECES.findall(t.lower())]
+            else:
+                rest.append(w)
+        lower, known = [w.lower() for w in letters], self.known
+        self.library(known.absent({*lower, *ended.values(), *chain.from_iterable(cut.values()), *(w[-1:] for w in ended)}))
+        piece = known.__getitem__
         known.update(zip(letters, map(piece, lower), strict=True))
-        known.update((w, piece(x) + piece(w[-1:])) for w, x in zip(ended, stems, strict=True))
+        known.update((w, piece(x) + piece(w[-1:])) for w, x in ended.items())
         known.update((w, b"".join(map(piece, pieces))) for w, pieces in cut.items())
         for w, got in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
             known[w] = np.array(got.ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() if b"<" in t else t.lower().split() for t in texts]  # "<" may begin a special token, which has a case
-        known = self.known
-        got = [list(map(known.get, words)) for words in split]
-        self.learn(known.lacking({w for words, ids in zip(split, got, strict=True) for w, x in zip(words, ids, strict=True) if x is None}))
-        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, got, strict=True)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids end."""
+        lower = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))  # "<" may begin a special token, which has a case
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(self.known.lacking(words))
+        got = list(map(self.known.__getitem__, words))
+        flat = np.frombuffer(b"".join(got), self.dtype)
+        length = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        begin, of = np.cumsum(length) - length, coded.indices.to_numpy()
+        each = length[of]
+        ends = np.r_[0, np.cumsum(each)]
+        ids = flat[np.repeat(begin[of] - ends[:-1], each) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+
+def by_bytes(texts: pa.Array, most: int = SLICE) -> Iterator[slice]:
+    """Runs of texts of at most so many bytes together, a longer text alone."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        yield slice(at, to := max(to, at + 1))
+        at = to
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -143,16 +162,16 @@ ENTRY = "key binary, payload binary, doc_id long, n_tokens long, digests array<b
 
 def _encode(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width, end = of_process(WordEncoder, path, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
+        encoder, width, end = of_process(WordEncoder, path, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype)
         sent: set[bytes] = set()
         task, count = TaskContext.get().partitionId(), 0
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for doc_ids, texts in ((b.column(0)[part], t[part]) for b in batches for t in [pc.fill_null(b.column(1), "")] for part in by_bytes(t)):
             rows: list[tuple] = []
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                got += end
-                digests, ends, at = [], [], 0
-                for e in cuts(np.frombuffer(got, dtype)):
+            every, to = encoder.encode(texts)
+            for doc_id, x, y in zip(doc_ids.to_pylist(), [0, *to[:-1].tolist()], to.tolist(), strict=True):
+                ids = np.concatenate([every[x:y], end])
+                got, digests, ends, at = ids.tobytes(), [], [], 0
+                for e in cuts(ids):
                     payload = got[at * width : e * width]
                     digests.append(d := digest_of(payload))
                     ends.append(e)
