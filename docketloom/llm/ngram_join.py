@@ -17,10 +17,10 @@ similarity t or more differ in few shingles: |A xor B| <= (|A| + |B|)(1 - t)/(1
   distance, also a lower bound, rules out most candidates. Sketches fold by XORing halves.
 * Verification. Remaining pairs are checked by exact intersection of their hash sets.
 
-Frequent shingles are found in a hashed sample of documents; which ones count as frequent
+Frequent shingles are found in a hashed sample of different texts; which ones count as frequent
 affects speed only. Keys held by many sets (``group_limit``) don't give all their pairs: the
-first round links each member to the key's first and to its neighbours; pairs of members are
-then formed only across different components. No link between different components is lost,
+first round compares each member with one first member; pairs of members are
+then formed only across different components, and only of sizes that can link. No link between different components is lost,
 hence components are exact.
 
 Rows travel to numbered buckets as packed arrays (6 bytes for each sketch word). Sets equal
@@ -45,9 +45,11 @@ from .common import WordHashes, mix, of_process, shared_dir, small, stage, windo
 from .components import components
 
 SHINGLE = 5
-SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 1 << 17
-"""Documents sampled for frequent shingles: one in SAMPLE; frequent: in FREQUENT of them or more; the bound on how many are told apart."""
-GROUP_LIMIT = 32
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 4, 1 << 17
+"""Different texts sampled for frequent shingles: one in SAMPLE; frequent: in FREQUENT of them or more; the bound on how many are told apart."""
+GROUP_LIMIT = 8
+SIZE_STEP = 1.34
+"""Sizes of sets that link are at most one step apart: a little over 4/3."""
 U = np.uint64
 
 
@@ -227,7 +229,7 @@ def _shingle_rows(k: int):
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles common in a sample of the documents; at most MOST_FREQUENT, a megabyte."""
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    sampled = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     counts = sampled.mapInArrow(_shingle_rows(k), "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).select("s").collect()
     return np.sort(np.array([r.s for r in top], np.int64).view(U))
@@ -276,12 +278,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int
     hot = found.where("v is null").select("key", "u")
     if not hot.isEmpty():
         # members of large groups that aren't connected yet: only pairs across components are formed
-        members = hot.join(sets.select(F.col("uid").alias("u"), "sid"), "u").join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
-        members = members.select("key", F.coalesce("label", "sid").alias("label"), "u", "sid").dropDuplicates(["key", "sid"])
+        members = hot.join(sets.select(F.col("uid").alias("u"), "sid", "n"), "u").join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
+        members = members.select("key", F.coalesce("label", "sid").alias("label"), "u", "sid", "n").dropDuplicates(["key", "sid"])
         several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         members = stage(members.join(several, "key"), "members")
-        other = members.select("key", F.col("label").alias("label_b"), F.col("u").alias("v"))
-        cross = members.select("key", "label", "u").join(other, "key").where("label < label_b").select("u", "v").distinct()
+        step = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
+        other = members.select("key", F.col("label").alias("label_b"), F.col("u").alias("v"), F.col("n").alias("n_b"), step.alias("step"))
+        spread = members.select("key", "label", "u", "n", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+        can = f"label < label_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b)"
+        cross = spread.join(other, ["key", "step"]).where(can).select("u", "v").distinct()
         more = stage(_key_of(cross, sets, num, den).join(near, ["sid_a", "sid_b"], "left_anti"), "near")
         if not more.isEmpty():
             links = stage(links.unionByName(_links(docs, rows, more, shingle, num, den)), "links")
