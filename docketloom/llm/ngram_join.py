@@ -19,7 +19,7 @@ similarity t or more differ in few shingles: |A xor B| <= (|A| + |B|)(1 - t)/(1
 
 Frequent shingles are found in a hashed sample of different texts; which ones count as frequent
 affects speed only. Keys held by many sets (``group_limit``) don't give all their pairs: the
-first round compares each member with one first member; pairs of members are
+first round compares each member with the one that lies in the most such groups; pairs of members are
 then formed only across different components, and only of sizes that can link. No link between different components is lost,
 hence components are exact.
 
@@ -150,7 +150,7 @@ def _sketch(k: int, frequent: np.ndarray, buckets: int):
 
 
 def _pairs(limit: int):
-    """Of a bucket's rows: pairs of sets with an equal key (key 0); of larger groups the members (v null) and each one's least first member (key -1)."""
+    """Of a bucket's rows: pairs of sets with an equal key (key 0); of larger groups the members (v null)."""
 
     def run(table: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()])
@@ -169,18 +169,26 @@ def _pairs(limit: int):
         pair = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0) if us else np.empty((0, 2), np.int64)
         pair = pair[pair[:, 0] != pair[:, 1]]
         h = np.flatnonzero(hot)
-        pivot = uid[np.repeat(starts, size)[h]]
-        star = np.lexsort((pivot, uid[h]))  # each member's least pivot
-        star = star[np.r_[True, uid[h][star][1:] != uid[h][star][:-1]]] if len(star) else star
         bucket = table.column("bucket")[0].as_py()
-        u = np.concatenate([pair[:, 0], pivot[star], uid[h]])
-        v = pa.array(np.concatenate([pair[:, 1], uid[h][star], np.zeros(len(h), np.int64)]), mask=np.repeat([False, False, True], [len(pair), len(star), len(h)]))
-        key = pa.array(np.concatenate([np.zeros(len(pair), np.int64), np.full(len(star), -1), (bucket << 32) + key[h].astype(np.int64)]))
+        u = np.concatenate([pair[:, 0], uid[h]])
+        v = pa.array(np.concatenate([pair[:, 1], np.zeros(len(h), np.int64)]), mask=np.repeat([False, True], [len(pair), len(h)]))
+        key = pa.array(np.concatenate([np.zeros(len(pair), np.int64), (bucket << 32) + key[h].astype(np.int64)]))
         return pa.table({"u": pa.array(u), "v": v, "key": key})
 
     return run
 
 
+def _stars(hot: DataFrame) -> DataFrame:
+    """One pair (u, v) for each member v of large groups: u, of the members it shares a key with, is the one of most large groups that a key chooses.
+
+    What copies were made from lies in more of their groups than any copy.
+    """
+    held = hot.join(hot.groupBy("u").agg(F.count("key").alias("w")), "u")
+    chosen = held.groupBy("key").agg(F.max(F.struct("w", "u")).alias("p"))
+    best = hot.join(chosen, "key").groupBy("u").agg(F.max("p").alias("p"))
+    return best.select(F.col("p.u").alias("u"), F.col("u").alias("v")).where("u <> v")
+
+
 def _near(num: int, den: int):
     """Keep pairs whose sizes and parity bits allow a link: |A xor B| <= (|A| + |B|)(den - num)/(den + num)."""
 
@@ -271,11 +279,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int
     keyed = rows.where("kind = 'key'").select("bucket", "base", "a", "b")
     found = write(keyed.groupBy("bucket").applyInArrow(_pairs(group_limit), "u long, v long, key long"), f"{path}/pairs")
     sets = rows.where("kind = 'set'").select("uid", "sid", "n", "a")
-    stars = found.where("key = -1").groupBy("v").agg(F.min("u").alias("u")).where("u <> v").select("u", "v")
-    near = stage(_key_of(found.where("key = 0").select("u", "v").unionByName(stars).distinct(), sets, num, den), "near")
+    hot = found.where("v is null").select("key", "u")
+    near = stage(_key_of(found.where("key = 0").select("u", "v").unionByName(_stars(hot)).distinct(), sets, num, den), "near")
     links = stage(_links(docs, rows, near, shingle, num, den), "links")
     label = stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
-    hot = found.where("v is null").select("key", "u")
     if not hot.isEmpty():
         # members of large groups that aren't connected yet: only pairs across components are formed
         members = hot.join(sets.select(F.col("uid").alias("u"), "sid", "n"), "u").join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
