@@ -76,3 +76,10 @@ def address_check(cited: Column, family: Column, record: Column, record_families
         .when(F.array_contains(record_families, family), "contradicted")
         .otherwise("not_on_record")
     )
+
+
+def identity_gate(text: Column, names: list[str], least: int = 200) -> Column:
+    """Whether two numbers stand within 60 characters, or two of the name tokens occur, anywhere in a text of ``least`` characters."""
+    low = F.lower(text)
+    found = reduce(Column.__add__, (F.contains(low, F.lit(n)).cast("int") for n in dict.fromkeys(names)))
+    return (F.length(text) >= least) & (text.rlike(r"(?s)\b\d+\b.{0,60}\b\d+\b") | (found >= 2))

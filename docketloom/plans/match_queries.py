@@ -159,9 +159,7 @@ def caption_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, length(text) >= 200 AND (regexp_matches(substr(text, 1, 6000), '(?s)\\b\\d+\\b.{0,60}\\b\\d+\\b') OR len(list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '(?:the|der|les|que)'))) >= 2) AS accepted FROM documents""")
 def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text is accepted if volume and page stand close together or two name tokens occur; short texts never."""
-    near = F.substring("text", 1, 6000).rlike(r"(?s)\b\d+\b.{0,60}\b\d+\b")
-    names = F.size(F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 300)), F.lit("(?:the|der|les|que)"), F.lit(0)))) >= 2
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.length("text") >= 200) & (near | names)).alias("accepted"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.identity_gate(F.col("text"), ["the", "der", "les", "que"]).alias("accepted"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS occurrence_index, count(*) OVER (PARTITION BY user_id, event_type) AS occurrence_count FROM events")
