@@ -51,12 +51,32 @@ def doubled(line: Column) -> Column:
     return F.transform(F.array(F.split(N.collapse(line), " ")), lambda w: (F.size(w) >= 2) & (F.size(w) % 2 == 0) & (F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")) == F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.floor(F.size(w) / 2).cast("int"))))[0]
 
 
-def token_containment(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, containment: share of a's token bag in b's. Inputs: (id, token, n); joined on tokens, never on all pairs."""
-    size = left.groupBy("id").agg(F.sum("n").alias("size"))
-    shared = left.alias("l").join(right.alias("r"), F.col("l.token") == F.col("r.token")).where("l.id <> r.id")
-    both = shared.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.sum(F.least("l.n", "r.n")).alias("both"))
-    return both.join(size, both.a == size.id).select("a", "b", (F.col("both") / F.col("size")).alias("containment"))
+def token_containment(left: DataFrame, right: DataFrame, least: float = 0.62) -> DataFrame:
+    """a, b, containment: share of a's token bag in b's, where it is ``least`` or more. Inputs: (id, token, n).
+
+    Equal bags are compared once and their ids joined to the result. Bags are candidates if b has one of a's rarest
+    tokens, as many as a can't all miss: rarer ones are taken until more than 1 - ``least`` of a is among them.
+    """
+    def bags(df: DataFrame) -> DataFrame:
+        return df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("bag"))
+
+    def tokens(df: DataFrame) -> DataFrame:
+        return df.select("bag", F.sha2(F.to_json("bag"), 256).alias("key")).distinct().select("key", F.inline("bag"))
+
+    ids = [bags(df).select("id", "bag", F.sha2(F.to_json("bag"), 256).alias("key")) for df in (left, right)]
+    a, b = map(tokens, ids)
+    size = Window.partitionBy("key")
+    common = b.groupBy("token").agg(F.count("*").alias("bags"))
+    rare = a.join(common, "token").withColumn("before", F.coalesce(F.sum("n").over(size.orderBy("bags", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = a.groupBy("key").agg(F.sum("n").alias("size"))
+    missing = total.join(a.join(common, "token", "left_anti").groupBy("key").agg(F.sum("n").alias("lost")), "key", "left").select("key", "size", F.coalesce("lost", F.lit(0)).alias("lost"))
+    keys = rare.join(missing, "key").where(F.col("before") + F.col("lost") <= F.col("size") * (1 - least) + 1e-9)
+    near = keys.select(F.col("key").alias("a_key"), "token").join(b.select(F.col("key").alias("b_key"), "token"), "token").select("a_key", "b_key").distinct()
+    both = near.join(a.select(F.col("key").alias("a_key"), "token", F.col("n").alias("a_n")), "a_key").join(b.select(F.col("key").alias("b_key"), "token", F.col("n").alias("b_n")), ["b_key", "token"])
+    share = both.groupBy("a_key", "b_key").agg(F.sum(F.least("a_n", "b_n")).alias("both")).join(total.withColumnRenamed("key", "a_key"), "a_key")
+    share = share.select("a_key", "b_key", (F.col("both") / F.col("size")).alias("containment")).where(F.col("containment") >= least)
+    pairs = share.join(ids[0].select(F.col("id").alias("a"), F.col("key").alias("a_key")), "a_key").join(ids[1].select(F.col("id").alias("b"), F.col("key").alias("b_key")), "b_key")
+    return pairs.where("a <> b").select("a", "b", "containment")
 
 
 def merge_spans(spans: DataFrame, within: int = 8) -> DataFrame:

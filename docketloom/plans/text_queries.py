@@ -106,10 +106,10 @@ def doubled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT id, sum(n) AS size FROM l GROUP BY id)
     SELECT a, b, both_ / size AS containment FROM (SELECT l.id AS a, r.id AS b, sum(least(l.n, r.n)) AS both_ FROM l JOIN b r USING (token) WHERE l.id <> r.id GROUP BY ALL) JOIN s ON a = id WHERE both_ / size >= 0.62""")
 def token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token bags of some part names (a stated query set) against all others."""
+    """Token bags of all part names against all others."""
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(N.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("token"))
     bags = words.groupBy("id", "token").agg(F.count("*").alias("n"))
-    return D.token_containment(bags.where("id % 50 = 1"), bags).where("containment >= 0.62")
+    return D.token_containment(bags, bags)
 
 
 @query("""

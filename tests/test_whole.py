@@ -1,11 +1,42 @@
 """Operators over whole inputs, against brute force on small tables."""
 
+import itertools
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from docketloom.operators import match
+from docketloom.operators import dedup, match
+from docketloom.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_identity_gate_reads_the_whole_text(spark):
     rows = [(1, "x " * 3500 + "12 F.3d 345"), (2, "x " * 200 + "the y der"), (3, "x " * 3500 + "the y the"), (4, "the 12 der 345"), (5, "x " * 3500 + "12" + " y" * 31 + " 345")]
     got = spark.createDataFrame(rows, "id long, text string").select("id", match.identity_gate(F.col("text"), ["the", "der"]).alias("ok")).collect()
     assert {r.id: r.ok for r in got} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.62, 1.0])
+def test_containment_of_every_bag(spark, least):
+    words = "a b c d e f".split()
+    bags = {i: Counter(words[(i * k + k * k) % 6] for k in range(1, 2 + i % 5)) for i in range(60)}
+    rows = [(i, t, n) for i, bag in bags.items() for t, n in bag.items()]
+    df = spark.createDataFrame(rows, "id long, token string, n long")
+    got = {(r.a, r.b): r.containment for r in dedup.token_containment(df, df, least).collect()}
+    want = {(a, b): c for a, b in itertools.permutations(bags, 2) if (c := (bags[a] & bags[b]).total() / bags[a].total()) >= least}
+    assert got == want
+
+
+def test_containment_with_tokens_of_one_side(spark):
+    left = spark.createDataFrame([(1, "x", 3), (1, "y", 5), (2, "x", 5), (2, "y", 3)], "id long, token string, n long")
+    right = spark.createDataFrame([(9, "y", 7)], "id long, token string, n long")
+    assert [tuple(r) for r in dedup.token_containment(left, right).collect()] == [(1, 9, 0.625)]
+
+
+def test_token_containment_query_has_every_part(spark):
+    parts = {r.p_partkey: Counter((r.p_name + " " + r.p_type).lower().split()) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    want = {(a, b): c for a, b in itertools.permutations(parts, 2) if (c := (parts[a] & parts[b]).total() / parts[a].total()) >= 0.62}
+    got = catalogue.QUERIES["token_containment"](spark, SF).collect()
+    assert {(r.a, r.b): r.containment for r in got} == want and len(got) == len(want)
