@@ -14,16 +14,24 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.7, others: bool = False) -> DataFrame:
     """left_id, right_id, score: the best partner by token overlap; ties go to the longer name, then the smaller id.
 
-    Inputs: (id, name, tokens). Tokens are the join keys, so only pairs that share one are scored.
+    Inputs: (id, name, tokens). Tokens are the join keys, so only pairs that share one are scored; equal names are
+    scored once. With ``others`` both sides are one table and a row is no partner of its own: each name then keeps
+    its two best rows, so that one is left for each of its ids.
     """
-    keyed = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"), F.size("tokens").alias(f"{p}_n"), F.explode("tokens").alias("token"))
-    shared = keyed(left, "left").join(keyed(right, "right"), "token").groupBy("left_id", "right_id", "left_n", "right_n", "right_name").agg(F.count("*").alias("both"))
+    keyed = lambda df, p: df.select(F.col("name").alias(f"{p}_name"), "tokens").distinct().select(f"{p}_name", F.size("tokens").alias(f"{p}_n"), F.explode("tokens").alias("token"))
+    shared = keyed(left, "left").join(keyed(right, "right"), "token").groupBy("left_name", "right_name", "left_n", "right_n").agg(F.count("*").alias("both"))
     scored = shared.withColumn("score", F.col("both") / F.least("left_n", "right_n")).where(F.col("score") >= least)
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), F.desc(F.length("right_name")), "right_id")
-    return scored.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("left_id", "right_id", "score")
+    kept = 2 if others else 1
+    first = right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")).withColumn("rn", F.row_number().over(Window.partitionBy("right_name").orderBy("right_id"))).where(F.col("rn") <= kept).drop("rn")
+    order = [F.desc("score"), F.desc(F.length("right_name")), F.col("right_id")]
+    best = scored.join(first, "right_name").withColumn("rn", F.row_number().over(Window.partitionBy("left_name").orderBy(*order))).where(F.col("rn") <= kept)
+    rows = left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")).join(best, "left_name")
+    if others:
+        rows = rows.where("left_id <> right_id").withColumn("rn", F.row_number().over(Window.partitionBy("left_id").orderBy(*order)))
+    return rows.where("rn = 1").select("left_id", "right_id", "score")
 
 
 def first_tier(tiers: list[DataFrame], key: str) -> DataFrame:

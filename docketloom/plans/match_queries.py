@@ -22,10 +22,10 @@ def sql_tokens(c: str) -> str:
     s AS (SELECT a.id AS left_id, b.id AS right_id, b.name, len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) AS score FROM p a JOIN p b ON a.id % 20 = 0 AND b.id % 20 <> 0)
     SELECT left_id, right_id, score FROM s WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, length(name) DESC, right_id) = 1""")
 def toa_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some part names (as cited names) against all others (as listed names)."""
+    """Every part name (as a cited name) against all others (as listed names)."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
     parts = parts.withColumn("tokens", N.name_tokens(F.col("name")))
-    return M.best_overlap(parts.where("id % 20 = 0"), parts.where("id % 20 <> 0"))
+    return M.best_overlap(parts, parts, others=True)
 
 
 @query("""
@@ -54,9 +54,9 @@ CANDIDATES = """(SELECT c.p_partkey AS cite_id, s.p_partkey AS cand_id, c.p_size
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    c = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("cite_id"), "p_brand", F.col("p_size").alias("size_c"), F.split("p_type", " ").alias("t"))
-    s = part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("cand_id"), "p_brand", F.col("p_size").alias("size_s"), F.split("p_type", " ").alias("u"))
-    pairs = c.join(s, "p_brand")
+    c = part.select(F.col("p_partkey").alias("cite_id"), "p_brand", F.col("p_size").alias("size_c"), F.split("p_type", " ").alias("t"))
+    s = part.select(F.col("p_partkey").alias("cand_id"), "p_brand", F.col("p_size").alias("size_s"), F.split("p_type", " ").alias("u"))
+    pairs = c.join(s, "p_brand").where("cite_id <> cand_id")
     return pairs.select("cite_id", "cand_id", F.col("cand_id").alias("pos"), (F.col("size_c") == F.col("size_s")).alias("exact"), F.size(F.array_distinct("t")).alias("want"), F.size(F.array_intersect("t", "u")).alias("shared"))
 
 

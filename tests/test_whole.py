@@ -40,3 +40,44 @@ def test_token_containment_query_has_every_part(spark):
     want = {(a, b): c for a, b in itertools.permutations(parts, 2) if (c := (parts[a] & parts[b]).total() / parts[a].total()) >= 0.62}
     got = catalogue.QUERIES["token_containment"](spark, SF).collect()
     assert {(r.a, r.b): r.containment for r in got} == want and len(got) == len(want)
+
+
+def parts_of(spark):
+    return spark.read.parquet(f"{SF}/part.parquet").collect()
+
+
+def test_every_part_gets_its_best_match(spark):
+    tokens = {r.p_partkey: (f"{r.p_name} {r.p_type}", set((r.p_name + " " + r.p_type).lower().split())) for r in parts_of(spark)}
+    want = {}
+    for a, (_, t) in tokens.items():
+        scores = [(-len(t & u) / min(len(t), len(u)), -len(name), b) for b, (name, u) in tokens.items() if b != a]
+        if -min(scores)[0] >= 0.7:
+            want[a] = (min(scores)[2], -min(scores)[0])
+    got = catalogue.QUERIES["toa_best_match"](spark, SF).collect()
+    assert {r.left_id: (r.right_id, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_best_match_of_two_tables(spark):
+    row = "id long, name string, tokens array<string>"
+    left = spark.createDataFrame([(1, "a b", ["a", "b"]), (2, "q", ["q"]), (3, "a b", ["a", "b"])], row)
+    right = spark.createDataFrame([(1, "a b", ["a", "b"]), (7, "a b c", ["a", "b", "c"]), (5, "a b d", ["a", "b", "d"])], row)
+    assert {(r.left_id, r.right_id) for r in match.best_overlap(left, right).collect()} == {(1, 5), (3, 5)}
+    assert {(r.left_id, r.right_id) for r in match.best_overlap(right, right, others=True).collect()} == {(1, 5), (7, 1), (5, 1)}
+
+
+@pytest.mark.parametrize("name", ["pick_candidate", "rank_candidates"])
+def test_every_part_gets_its_candidates(spark, name):
+    parts, want = parts_of(spark), set()
+    for c in parts:
+        found = []
+        for s in parts:
+            if s.p_partkey != c.p_partkey and s.p_brand == c.p_brand:
+                t = set(c.p_type.split(" "))
+                found.append((s.p_size != c.p_size, len(t & set(s.p_type.split(" "))), len(t), s.p_partkey))
+        if name == "rank_candidates":
+            want |= {(c.p_partkey, x[3], i + 1) for i, x in enumerate(sorted(found, key=lambda x: (x[0], -x[1], x[3]))[:3])}
+        elif fits := [x for x in found if not x[0] or (x[1] >= min(x[2], 2) and 2 * x[1] >= x[2])]:
+            best = min(fits, key=lambda x: (x[0], 0 if not x[0] else -x[1], x[3]))
+            want.add((c.p_partkey, best[3], not best[0]))
+    got = catalogue.QUERIES[name](spark, SF).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
