@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,40 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     return walked
 
 
-def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """path: each simple cycle of at most ``longest`` nodes once, from its least node."""
-    edges.createOrReplaceTempView("_edges")
+def reachable(edges: DataFrame) -> DataFrame:
+    """src, dst: all pairs with a way of one step or more, of any length. The graph is walked in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            after.setdefault(a, set()).add(b)
+        pairs = []
+        for root in after:
+            seen, todo = set(), list(after[root])
+            while todo:
+                if (node := todo.pop()) not in seen:
+                    seen.add(node)
+                    todo += after.get(node, ())
+            pairs += [(root, node) for node in seen]
+        return pd.DataFrame(pairs, columns=["src", "dst"])
+
+    known = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    return known.groupBy().applyInPandas(walk, f"src {kind}, dst {kind}")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """path: each simple cycle once, from its least node. Only edges that lie on a cycle are walked."""
+    back = reachable(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    inner = edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_semi")
+    longest = edges.select("src").distinct().count()
+    inner.createOrReplaceTempView("_edges")
     return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(start, node, path) AS (
+        WITH RECURSIVE walk(start, node, path) MAX RECURSION LEVEL {longest + 1} AS (
             SELECT src, dst, array(src) FROM _edges WHERE src <= dst
             UNION ALL
             SELECT w.start, e.dst, array_append(w.path, w.node) FROM walk w JOIN _edges e ON e.src = w.node
-            WHERE w.node > w.start AND NOT array_contains(w.path, w.node) AND size(w.path) < {longest})
+            WHERE w.node > w.start AND NOT array_contains(w.path, w.node))
         SELECT concat_ws(' -> ', array_append(path, start)) AS path FROM walk WHERE node = start""")
 
 
@@ -44,15 +70,16 @@ def chain_types(edges: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame
     return reached.join(nodes, F.col("node") == F.col("key")).groupBy("root").agg(F.array_sort(F.collect_set("type")).alias("types")).withColumnRenamed("root", "key")
 
 
-YES_NO = ["liability", "defense", "predicate", "causation"]
-TYPES = [*YES_NO, "damages", "exemplary", "instruction_only"]
+YES_NO = ["liability", "defense", "predicate", "causation", "exemplary_predicate"]
+TYPES = [*YES_NO, "damages", "exemplary", "fees", "instruction_only"]
 
 
 def validate(nodes: DataFrame, predicates: DataFrame, others: DataFrame, parts: DataFrame) -> DataFrame:
     """node, finding: one row for each broken rule.
 
-    nodes: key, part, type, per_party, sourced; predicates: node, source, answer, scope;
-    others: node, target, kind ('alternative' or 'blocks'); parts: part.
+    nodes: key, part, type, per_party, sourced, and notes if there are any; predicates: node, source, answer, scope,
+    and unanimous if any is; others: node, target, kind ('alternative' or 'blocks'); parts: part.
+    Notes with 'justified:' allow a liability without damages and an orphan defense.
     """
 
     def found(rows: DataFrame, key: str, message: Column) -> DataFrame:
@@ -62,6 +89,21 @@ def validate(nodes: DataFrame, predicates: DataFrame, others: DataFrame, parts:
     p = predicates.join(known, F.col("source") == F.col("k"), "left")
     o = others.join(known, F.col("target") == F.col("k"), "left").join(nodes.select(F.col("key").alias("n"), F.col("type").alias("n_type")), F.col("node") == F.col("n"), "left")
     s = F.lit
+    given = lambda df, name, value: df if name in df.columns else df.withColumn(name, value)
+    notes = given(nodes, "notes", F.lit("")).withColumn("justified", F.contains(F.lower(F.coalesce("notes", F.lit(""))), F.lit("justified:")))
+    typed = notes.select(F.col("key").alias("node"), "type", "justified").distinct()
+    p_typed = given(p, "unanimous", F.lit(False)).join(typed, "node")  # of the predicated node: type; of its source: k_type
+    alternatives = others.where("kind = 'alternative'")
+    ways = predicates.select(F.col("node").alias("src"), F.col("source").alias("dst")).union(alternatives.select("node", "target")).distinct()
+    ways = ways.join(nodes.select(F.col("key").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    rings = cycles(ways).withColumn("node", F.split("path", " -> ")[0])
+    liable = reachable(ways).join(nodes.where("type = 'liability'").select(F.col("key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    fed = p_typed.where("type in ('damages', 'exemplary_predicate', 'fees')").select(F.col("source").alias("node")).union(alternatives.select(F.col("target").alias("node")))
+    used = predicates.select(F.col("source").alias("node")).union(others.where("kind = 'blocks'").select("node"))
+    unanimous = p_typed.where("k_type = 'exemplary_predicate' and unanimous").select("node")
+    on_liability = p_typed.where("k_type = 'liability'").select("node")
+    conditional = p.where("answer = 'No' and k is not null").join(predicates.select(F.col("node").alias("source")), "source", "left_semi").join(alternatives.select("node"), "node", "left_anti")
+    without = lambda kind, rows: typed.where(F.col("type") == kind).join(rows, "node", "left_anti")
     checks = [
         found(nodes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", s("duplicate key")),
         found(nodes.where(~F.col("type").isin(TYPES)), "key", F.concat(s("unknown type "), "type")),
@@ -75,6 +117,13 @@ def validate(nodes: DataFrame, predicates: DataFrame, others: DataFrame, parts:
         found(o.where("kind = 'alternative' and k_type <> 'liability'"), "node", F.concat(s("alternative to a node that isn't liability "), "target")),
         found(o.where("kind = 'blocks' and k_type <> 'damages'"), "node", F.concat(s("blocks a node that isn't damages "), "target")),
         found(o.where("kind = 'blocks' and n_type <> 'defense'"), "node", s("only a defense blocks")),
+        found(rings, "node", F.concat(s("cycle "), "path")),
+        found(without("damages", liable), "node", s("damages without liability in its chain")),
+        found(without("liability", fed).where("not justified"), "node", s("liability without damages")),
+        found(without("exemplary", unanimous), "node", s("exemplary without a unanimous exemplary predicate")),
+        found(without("exemplary_predicate", on_liability), "node", s("exemplary predicate without liability")),
+        found(without("defense", used).where("not justified"), "node", s("defense that blocks and predicates nothing")),
+        found(conditional, "node", F.concat(s("unreachable if not asked "), "source")),
     ]
     return reduce(DataFrame.unionByName, checks)
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from docketloom.operators import dedup, match
+from docketloom.operators import dedup, graph, match
 from docketloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +81,25 @@ def test_every_part_gets_its_candidates(spark, name):
             want.add((c.p_partkey, best[3], not best[0]))
     got = catalogue.QUERIES[name](spark, SF).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_long_cycles(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)] + [(3, 3), (5, 20), (2, 0)], "src long, dst long")
+    ring = " -> ".join(map(str, [*range(12), 0]))
+    assert sorted(r.path for r in graph.cycles(edges).collect()) == sorted([ring, "3 -> 3", "0 -> 1 -> 2 -> 0"])
+
+
+def test_validation_has_all_checks(spark):
+    kinds = {"l1": "liability", "l2": "liability", "l3": "liability", "d1": "damages", "d2": "damages", "x1": "exemplary", "x2": "exemplary", "xp": "exemplary_predicate", "xq": "exemplary_predicate", "f1": "defense", "f2": "defense", "f3": "defense", "c1": "predicate", "c2": "predicate", "u1": "predicate", "u2": "predicate"}
+    notes = {"l3": "Justified: by the tort", "f3": "justified: so pleaded"}
+    nodes = spark.createDataFrame([(k, "p", t, False, True, notes.get(k)) for k, t in kinds.items()], "key string, part string, type string, per_party boolean, sourced boolean, notes string")
+    rows = [("d1", "c1", "Yes", False), ("c1", "c2", "Yes", False), ("c2", "c1", "Yes", False), ("c2", "l1", "Yes", False), ("d2", "f2", "Yes", False), ("x1", "xp", "Yes", True), ("x2", "xp", "Yes", False), ("xp", "l1", "Yes", False), ("xq", "f2", "Yes", False), ("u1", "c1", "No", False), ("u2", "l1", "No", False)]
+    predicates = spark.createDataFrame([(n, s, a, "any", u) for n, s, a, u in rows], "node string, source string, answer string, scope string, unanimous boolean")
+    others = spark.createDataFrame([("u2", "l3", "alternative")], "node string, target string, kind string").where("false")
+    parts = spark.createDataFrame([("p",)], "part string")
+    got = sorted((r.node, r.finding) for r in graph.validate(nodes, predicates, others, parts).collect())
+    assert got == sorted([
+        ("c1", "cycle c1 -> c2 -> c1"), ("d2", "damages without liability in its chain"), ("l2", "liability without damages"),
+        ("x2", "exemplary without a unanimous exemplary predicate"), ("xq", "exemplary predicate without liability"),
+        ("f1", "defense that blocks and predicates nothing"), ("u1", "unreachable if not asked c1"),
+    ])
