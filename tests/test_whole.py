@@ -1,12 +1,15 @@
 """Operators over whole inputs, against brute force on small tables."""
 
 import itertools
+import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from docketloom.operators import dedup, graph, match
+from docketloom.functions import normalize
+from docketloom.operators import dedup, graph, match, quotes
 from docketloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +106,29 @@ def test_validation_has_all_checks(spark):
         ("x2", "exemplary without a unanimous exemplary predicate"), ("xq", "exemplary predicate without liability"),
         ("f1", "defense that blocks and predicates nothing"), ("u1", "unreachable if not asked c1"),
     ])
+
+
+def test_altered_passages_are_graded(spark):
+    passage = "the court may correct only clerical errors in the judgment, after its plenary power has ended"
+    around = "zzz yyy xxx www " * 6
+    docs = {
+        1: passage,  # exact: not for this step
+        2: passage.replace("only", "some"),
+        3: passage.replace("judgment,", "judgment;"),
+        4: re.sub(r"\b(\w)\w", r"\1q", passage),  # no whole word is left
+        5: "0123456789 " * 20,
+    }
+    rows = [(i, f"{around}{t} {around}") for i, t in docs.items()]
+    pairs = quotes.altered(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, passage)], "item_id long, text string"), normalize.haystack, normalize.needle)
+    got = {r.doc_id: r for r in pairs.select("*", quotes.grade(F.col("ratio"), F.col("word_ratio"), F.lit(False)).alias("g")).collect()}
+    assert {i: r.g for i, r in got.items()} == {2: "CLOSE", 3: "VERBATIM", 4: "CLOSE", 5: "FABRICATED"}
+    for i, text in rows:
+        if i in got:
+            n = len(passage)
+            windows = [text[k : k + w] for k in range(len(text)) for w in (n, n + n // 8)]
+            most = max(SequenceMatcher(None, w, passage, autojunk=False).ratio() for w in windows)
+            assert got[i].ratio <= most + 1e-9 and (most < 0.6 or got[i].ratio == pytest.approx(most))
+
+
+def test_word_ratio():
+    assert quotes.word_ratio("a b, c 1", "a b c") == 1.0 and quotes.word_ratio("a b c d", "a x c d") == 0.75 and quotes.word_ratio("1 2", "a") == 0.0
