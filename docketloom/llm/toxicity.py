@@ -1,14 +1,18 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs of a word: a hashed word embedding, and the mean and the maximum of embeddings of its
-hashed byte n-grams. A window of words runs through a forward and a backward GRU, attention
-pools their states, a logistic unit scores the window; a document's score is the highest of
-all its overlapping windows, so texts of any length are scored whole.
-
-Training sees a bounded sample of labelled rows (``most_toxic``, ``most_clean``; texts up to
-``longest`` bytes) on the driver. The first coordinate of an embedding is how much more often a word
-or n-gram stands in toxic than in clean documents (in standard deviations); while training, a
-document's inputs take it from the half of the sample that the document isn't in. Labels are of documents, so
+hashed byte n-grams. A forward and a backward GRU run over pieces of ``CORE`` words with ``CONTEXT`` words
+around them, so that every word of a text has one state. Attention pools the states of every run of ``WIDTH``
+consecutive words (all overlapping windows, one starting at each word), a logistic unit scores the window; a document's score is the
+highest of its windows, so texts of any length are scored whole. As attention weights and the unit's input
+are one number a word each, windows cost sliding sums only.
+
+Training sees a bounded sample of labelled rows and runs in one task of an executor: at most ``most_toxic`` and
+``most_clean`` rows in the order of a hash of their doc_ids, and ``most_bytes`` of text together. If they have more, an equal
+allowance for each text is found that keeps to the bound, and a longer text gives the consecutive pieces that a hash chooses. The first
+coordinate of an embedding is how much more often a word or n-gram stands in toxic than in clean documents (in standard
+deviations); while training, a document's inputs take it from the half of the sample that the document isn't in. All
+other coordinates, of words and of n-grams, are learned with the network. Labels are of documents, so
 each epoch trains on the windows that the current network scores highest in each document.
 The language, source and doc_id of a row are never inputs.
 
@@ -19,6 +23,7 @@ that kind's rate, 0.1 at first; rows with equal or null doc_ids are scored one b
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -27,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliding, stage
 from .ngram_join import texts_of
 
-WIDTH, STRIDE = 24, 16
+WIDTH, CORE, CONTEXT = 24, 48, 8
 HIDDEN, ATTENTION, EMBED = 8, 8, 4
 INPUTS = 3 * EMBED
 BUCKETS = 1 << 18
-MOST_TOXIC, MOST_CLEAN, LONGEST = 900, 5400, 200_000
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 900, 5400, 64 << 20
+PIECE = 4096
 CLEAN_A_EPOCH = 1800
 THRESHOLD = 0.3
-BATCH = 64
+BATCH, RATE, LEAST_BETWEEN = 64, 0.05, 60
 # Letters to lower case, all other ASCII characters but digits to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 F32 = np.float32
@@ -72,19 +79,29 @@ def word_buckets(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (BUCKETS - 1)
 
 
-def number(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words; for each window the numbers (from 1; 0: nothing) of its words; the first window of each text."""
+def number(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; the numbers (from 1) of the words of all texts; where each text begins in them; its words.
+
+    Every text has ``WIDTH`` places at least; places without a word hold 0. ``CONTEXT`` zeros stand before all texts and between them,
+    so many more at the end that a piece may begin anywhere.
+    """
     known: dict[bytes, int] = {}
-    parts, first, total = [], [], 0
+    gap, parts, begin, sizes, total = np.zeros(CONTEXT, np.int32), [], [], [], 0
     for t in texts:
         ids = np.array([known.setdefault(w, len(known) + 1) for w in words_of(t)], np.int32)
-        n = max(1, -(-(len(ids) - (WIDTH - STRIDE)) // STRIDE))
-        padded = np.zeros((n - 1) * STRIDE + WIDTH, np.int32)
-        padded[: len(ids)] = ids
-        parts.append(np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STRIDE])
-        first.append(total)
-        total += n
-    return list(known), np.concatenate(parts) if parts else np.empty((0, WIDTH), np.int32), np.array(first, np.int64)
+        parts += [gap, ids, np.zeros(max(0, WIDTH - len(ids)), np.int32)]
+        begin.append(total + CONTEXT)
+        sizes.append(len(ids))
+        total += CONTEXT + max(WIDTH, len(ids))
+    parts.append(np.zeros(CORE + 2 * CONTEXT + WIDTH, np.int32))
+    return list(known), np.concatenate(parts), np.array(begin, np.int64), np.array(sizes, np.int64)
+
+
+def pieces(begin: np.ndarray, sizes: np.ndarray, step: int = CORE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cores of all texts begin, and how many words they have; an empty text has one core of one place."""
+    count = np.maximum(1, -(-sizes // step))
+    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(begin, count) + inner * step, np.minimum(step, np.maximum(1, np.repeat(sizes, count) - inner * step))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,55 +133,64 @@ class Network:
             out[to, 2 * EMBED :] = np.maximum.reduceat(rows, begin)
         return out
 
-    def run(self, table: np.ndarray, windows: np.ndarray, keep: bool = False):
-        """Logits of windows; ``keep`` also returns what backward() needs. ``table``: inputs by word number."""
-        p, n, H = self.p, len(windows), HIDDEN
-        mask = windows > 0
-        mask[:, 0] = True
-        states = np.zeros((WIDTH, n, 2 * H), F32)
-        saved: dict = {}
+    def states(self, table: np.ndarray, seqs: np.ndarray, saved: dict | None = None) -> np.ndarray:
+        """States (time, sequence, both directions) over sequences of word numbers. ``table``: inputs by number. Places with 0 change nothing, but the first after the context."""
+        p, (n, T), H = self.p, seqs.shape, HIDDEN
+        mask = seqs > 0
+        mask[:, CONTEXT] = True
+        states = np.zeros((T, n, 2 * H), F32)
+        whole = mask.all(axis=0)
         for d in "fb":
             given = table @ p[f"x{d}"] + p[f"c{d}"]
             wh, h = p[f"h{d}"], np.zeros((n, H), F32)
-            for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
-                a, g = given[windows[:, t]], h @ wh
+            for t in range(T) if d == "f" else range(T - 1, -1, -1):
+                a, g = given[seqs[:, t]], h @ wh
                 zr = sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
                 z, r = zr[:, :H], zr[:, H:]
                 c = np.tanh(a[:, 2 * H :] + r * g[:, 2 * H :])
                 new = c + z * (h - c)
-                m = mask[:, t]
-                if not m.all():
-                    new = np.where(m[:, None], new, h)
-                if keep:
+                if not whole[t]:
+                    new = np.where(mask[:, t][:, None], new, h)
+                if saved is not None:
                     saved[d, t] = (h, z, r, c, g[:, 2 * H :])
                 h = new
                 states[t, :, (0 if d == "f" else H) : (H if d == "f" else 2 * H)] = h
+        return states
+
+    def run(self, table: np.ndarray, seqs: np.ndarray, keep: bool = False):
+        """Logits of windows, each given with its context before and after; ``keep`` also returns what backward() needs."""
+        p, saved = self.p, {} if keep else None
+        states = self.states(table, seqs, saved)[CONTEXT : CONTEXT + WIDTH]
+        mask = seqs[:, CONTEXT : CONTEXT + WIDTH].T > 0
+        mask[0] = True
         u = np.tanh(states @ p["wa"] + p["ba"])
-        e = np.where(mask.T, u @ p["va"], F32(-1e9))
+        e = np.where(mask, u @ p["va"], F32(-1e9))
         w = np.exp(e - e.max(axis=0))
         w /= w.sum(axis=0)
         pooled = np.einsum("tn,tnh->nh", w, states)
         logit = pooled @ p["wo"] + p["bo"][0]
-        return (logit, (states, u, w, pooled, mask, saved)) if keep else logit
+        return (logit, (states, u, w, pooled, saved)) if keep else logit
 
-    def backward(self, table: np.ndarray, windows: np.ndarray, kept, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
+    def backward(self, table: np.ndarray, seqs: np.ndarray, kept, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters and of the input rows."""
-        p, H = self.p, HIDDEN
-        states, u, w, pooled, mask, saved = kept
+        p, H, (n, T) = self.p, HIDDEN, seqs.shape
+        states, u, w, pooled, saved = kept
+        mask = seqs > 0
+        mask[:, CONTEXT] = True
         g = {"wo": pooled.T @ dlogit, "bo": np.array([dlogit.sum()], F32)}
         dpool = dlogit[:, None] * p["wo"]
         dw = np.einsum("nh,tnh->tn", dpool, states)
-        ds = w[:, :, None] * dpool
         de = w * (dw - (w * dw).sum(axis=0))
         g["va"] = np.einsum("tn,tna->a", de, u)
         du = de[:, :, None] * p["va"] * (1 - u * u)
         g["wa"], g["ba"] = np.einsum("tnh,tna->ha", states, du), du.sum(axis=(0, 1))
-        ds = ds + du @ p["wa"].T
+        ds = np.zeros((T, n, 2 * H), F32)
+        ds[CONTEXT : CONTEXT + WIDTH] = w[:, :, None] * dpool + du @ p["wa"].T
         dtable = np.zeros_like(table)
         for d, cut in (("f", slice(0, H)), ("b", slice(H, 2 * H))):
-            wh, dh, da_all = p[f"h{d}"], np.zeros((len(windows), H), F32), np.zeros((len(table), 3 * H), F32)
+            wh, dh, da_all = p[f"h{d}"], np.zeros((n, H), F32), np.zeros((len(table), 3 * H), F32)
             g[f"h{d}"] = np.zeros_like(wh)
-            for t in range(WIDTH - 1, -1, -1) if d == "f" else range(WIDTH):
+            for t in range(T - 1, -1, -1) if d == "f" else range(T):
                 h, z, r, c, gn = saved[d, t]
                 m = mask[:, t][:, None]
                 dnew = dh + ds[t, :, cut]
@@ -175,22 +201,43 @@ class Network:
                 da = np.concatenate([dz, dr, dn], axis=1)
                 dg = np.concatenate([dz, dr, dn * r], axis=1)
                 g[f"h{d}"] += h.T @ dg
-                np.add.at(da_all, windows[:, t], da)
+                np.add.at(da_all, seqs[:, t], da)
                 dh = np.where(m, dnew * z + dg @ wh.T, dnew)
-            da_all[0] = 0
-            g[f"x{d}"], g[f"c{d}"] = table.T @ da_all, da_all.sum(axis=0)
+            g[f"c{d}"] = da_all.sum(axis=0)  # also of places without a word that count
+            da_all[0], g[f"x{d}"] = 0, table.T @ da_all
             dtable += da_all @ p[f"x{d}"].T
         return g, dtable
 
-    def windows_scores(self, table: np.ndarray, windows: np.ndarray, step: int = 4096) -> np.ndarray:
-        return np.concatenate([self.run(table, windows[i : i + step]) for i in range(0, len(windows), step)] or [np.empty(0, F32)])
+    def logits(self, table: np.ndarray, ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray, step: int = 2048) -> np.ndarray:
+        """By place in ``ids``: the logit of the window that begins there; -inf where none does. Texts come from number()."""
+        p, (at, length) = self.p, pieces(begin, sizes)
+        weight, value = np.zeros(len(ids), F32), np.zeros(len(ids), F32)
+        inside = np.arange(CORE)
+        for i in range(0, len(at), step):
+            a, n = at[i : i + step], length[i : i + step]
+            # words of the texts before and after must not be seen: gaps of CONTEXT places part them
+            seqs = ids[a[:, None] + np.arange(-CONTEXT, CORE + CONTEXT)]
+            last = n < CORE
+            seqs[last] = np.where(np.arange(-CONTEXT, CORE + CONTEXT) < n[last][:, None], seqs[last], 0)
+            s = self.states(table, seqs)[CONTEXT : CONTEXT + CORE]
+            real = inside[:, None] < n
+            to = (a + inside[:, None])[real]
+            e = np.exp(np.tanh(s @ p["wa"] + p["ba"]) @ p["va"])
+            weight[to] = e[real]
+            value[to] = (e * (s @ p["wo"]))[real]
+        total = sliding(weight.astype(np.float64), WIDTH, np.add)
+        out = np.full(len(ids), -np.inf)
+        count = np.maximum(1, sizes - WIDTH + 1)
+        starts = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out[starts] = sliding(value.astype(np.float64), WIDTH, np.add)[starts] / total[starts] + p["bo"][0]
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        words, windows, first = number(texts)
-        best = np.maximum.reduceat(self.windows_scores(self.inputs(words), windows), first)
-        return 1 / (1 + np.exp(-best.astype(np.float64)))
+        words, ids, begin, sizes = number(texts)
+        best = np.maximum.reduceat(self.logits(self.inputs(words), ids, begin, sizes), begin)
+        return 1 / (1 + np.exp(-best))
 
     def packed(self) -> tuple:
         """The parameters, and only those embeddings that training touched."""
@@ -237,43 +284,52 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
         table[touched, 1:] = rng.standard_normal((len(touched), EMBED - 1)).astype(F32) * F32(0.02)
         stats.append([spread([b for b, f in zip(buckets, fold, strict=True) if f != k], toxic[fold != k]) for k in (0, 1)])
         stats[-1].append((stats[-1][0] + stats[-1][1]) / 2)
-    words, windows, first = number(texts)
-    word_b = word_buckets(words)
-    ends = np.r_[first[1:], len(windows)]
+    words, ids, begin, sizes = number(texts)
+    word_b, (gram_b, gram_at) = word_buckets(words), gram_buckets(words)
+    gram_n = np.diff(np.r_[gram_at, len(gram_b)])
     # words of the second fold's documents have rows of their own
-    windows = np.where((windows > 0) & (np.repeat(fold, ends - first) == 1)[:, None], windows + len(words), windows)
-    word_b = np.r_[word_b, word_b]
+    ends = begin + np.maximum(sizes, 1)
+    for a, b in zip(begin[fold == 1].tolist(), ends[fold == 1].tolist(), strict=True):
+        ids[a:b] += np.where(ids[a:b] > 0, len(words), 0).astype(ids.dtype)
 
     def inputs(k: int) -> np.ndarray:
         net.word[:, 0], net.gram[:, 0] = stats[0][k], stats[1][k]
         return net.inputs(words)
 
     moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    steps = 0
+    steps, scored_at = 0, -LEAST_BETWEEN
     per_epoch = max(1, int(toxic.sum() + 3 * min(CLEAN_A_EPOCH, (~toxic).sum())) // BATCH)
+    reach = np.arange(-CONTEXT, WIDTH + CONTEXT)
     for epoch in range(max(epochs, -(-least_steps // per_epoch))):
-        table = np.concatenate([inputs(0), inputs(1)[1:]])
-        if epoch == 0:  # the untrained network knows nothing: choose by the embeddings' first coordinates
-            value = table[:, 0] + table[:, 2 * EMBED]
-            score = value[windows].max(axis=1)
-        else:
-            score = net.windows_scores(table, windows)
+        if epoch < 2 or steps - scored_at >= LEAST_BETWEEN:  # few windows make short epochs, which do not score all texts anew
+            table, scored_at = np.concatenate([inputs(0), inputs(1)[1:]]), steps
+            if epoch == 0:  # the untrained network knows nothing: choose by the embeddings' first coordinates
+                score = np.full(len(ids), -np.inf)
+                top = sliding((table[:, 0] + table[:, 2 * EMBED])[ids], WIDTH, np.maximum)
+                score[: len(top)] = top
+            else:
+                score = net.logits(table, ids, begin, sizes)
         picked, label = [], []
         clean = set(rng.permutation(np.flatnonzero(~toxic))[:CLEAN_A_EPOCH].tolist())
-        for i, (a, b, y) in enumerate(zip(first, ends, toxic, strict=True)):
+        for i, (a, n, y) in enumerate(zip(begin.tolist(), np.maximum(1, sizes - WIDTH + 1).tolist(), toxic, strict=True)):
             if not y and i not in clean:
                 continue
-            top = a + np.argsort(-score[a:b], kind="stable")[: 1 if y else 2]
-            picked += top.tolist()
-            label += [y] * len(top)
-            if not y and b - a > 2:
-                picked.append(int(rng.integers(a, b)))
-                label.append(False)
+            own = score[a : a + n]
+            best = a + int(own.argmax())
+            picked.append(best)
+            label.append(y)
+            if not y and n > WIDTH:  # the best window that shares few words with the first, and any other
+                far = np.where(abs(np.arange(a, a + n) - best) < WIDTH // 2, -np.inf, own)
+                picked += [a + int(far.argmax()), int(rng.integers(a, a + n))]
+                label += [False, False]
         picked, label = np.array(picked), np.array(label, F32)
+        of_text = np.searchsorted(begin, picked, "right") - 1
+        stop = begin[of_text] + sizes[of_text]
         for part in np.array_split(rng.permutation(len(picked)), max(1, len(picked) // BATCH)):
-            w = windows[picked[part]]
+            at = picked[part][:, None] + reach
+            w = np.where(at < np.maximum(stop[part], picked[part] + 1)[:, None], ids[at], 0)
             own, w = np.unique(np.r_[0, w.ravel()], return_inverse=True)  # only the rows that the batch needs
-            w = w[1:].reshape(-1, WIDTH)
+            w = w[1:].reshape(-1, len(reach))
             rows = table[own]
             logit, kept = net.run(rows, w, keep=True)
             g, drows = net.backward(rows, w, kept, ((sigmoid(logit) - label[part]) / len(part)).astype(F32))
@@ -285,19 +341,85 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
                 m, s = 0.9 * m + 0.1 * v, 0.999 * s + 0.001 * v * v
                 moments[k] = m, s
                 net.p[k] = (net.p[k] - 0.01 * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.999**steps)) + 1e-8)).astype(F32)
-            np.subtract.at(net.word[:, 1:], word_b[own[1:] - 1], F32(0.05) * drows[1:, 1:EMBED])
+            if len(own) > 1:
+                of = (own[1:] - 1) % len(words)
+                np.subtract.at(net.word[:, 1:], word_b[of], F32(RATE) * drows[1:, 1:EMBED])
+                learn_grams(net.gram, gram_b, gram_at[of], gram_n[of], F32(RATE) * drows[1:])
     inputs(2)
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled rows that are not held out, in the order of a hash of their doc_ids."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def learn_grams(gram: np.ndarray, buckets: np.ndarray, begin: np.ndarray, counts: np.ndarray, step: np.ndarray) -> None:
+    """Take ``step``, of the input rows of words, off the learned coordinates of their n-grams: through the mean, and of the greatest alone."""
+    first = np.cumsum(counts) - counts
+    at = buckets[np.repeat(begin - first, counts) + np.arange(int(counts.sum()))]
+    rows = gram[at]
+    share = np.repeat(step[:, EMBED + 1 : 2 * EMBED] / counts[:, None], counts, axis=0)
+    greatest = rows[:, 1:] == np.repeat(np.maximum.reduceat(rows[:, 1:], first), counts, axis=0)
+    np.subtract.at(gram[:, 1:], at, share + np.where(greatest, np.repeat(step[:, 2 * EMBED + 1 :], counts, axis=0), F32(0)))
+
+
+def allowance(lengths: list[int], most: int) -> int:
+    """The greatest bytes a text such that all texts, longer ones cut to it, have ``most`` bytes at most."""
+    left = most
+    for i, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - i) > left:
+            return max(1, left // (len(lengths) - i))
+        left -= n
+    return max(lengths, default=1)
+
+
+def shortened(text: bytes, most: int) -> bytes:
+    """A text of at most ``most`` bytes whole; of a longer one, pieces of PIECE bytes or less (cut at spaces) that a hash of them chooses, in their order."""
+    if len(text) <= most:
+        return text
+    parts, at = [], 0
+    while at < len(text):
+        to = len(text) if len(text) - at <= PIECE else text.rfind(b" ", at, at + PIECE)
+        to = to if to > at else min(len(text), at + PIECE)
+        parts.append(text[at:to])
+        at = to
+    chosen, left = [], most
+    for i in sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), i)):
+        if len(parts[i]) <= left:
+            chosen.append(i)
+            left -= len(parts[i])
+    return b" ".join(parts[i] for i in sorted(chosen))
+
+
+def _shorten(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [shortened(t, most) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(texts, pa.binary())], ["doc_id", "toxic", "text"])
+
+    return run
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one training task: all rows in, the packed network out."""
+    rows = [(zlib.crc32(str(d).encode()), d, t, y) for b in batches for d, t, y in zip(b.column("doc_id").to_pylist(), texts_of(b), b.column("toxic").to_pylist(), strict=True)]
+    rows.sort()
+    net = train([r[2] for r in rows], np.array([r[3] == 1 for r in rows], bool))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.packed())], pa.binary())], ["model"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, toxic, text of a bounded sample of labelled rows that are not held out, in the order of a hash of their doc_ids."""
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("toxic <> 1").orderBy(*order).limit(most_clean))
-    texts = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(most_toxic + most_clean).collect()
-    return [(r.text or "").encode() for r in rows], np.array([r.toxic == 1 for r in rows], bool)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # repeated doc_ids could be many rows: the bound holds for rows
+    texts = stage(texts.orderBy(*order, F.xxhash64("text")).limit(most_toxic + most_clean), "training-rows")
+    lengths = [r[0] for r in texts.select(F.octet_length("text")).collect()]
+    return texts.select("doc_id", "toxic", "text").mapInArrow(_shorten(allowance(lengths, most_bytes)), "doc_id long, toxic int, text binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple:
+    """The packed network, trained in one task; its size is bounded by BUCKETS."""
+    model = training_rows(docs, labels).repartition(1).mapInArrow(_train, "model binary")
+    return pickle.loads(bytes(stage(model, "toxicity-model").first()["model"]))
 
 
 def held_out():
@@ -317,8 +439,7 @@ def _score(model):
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` as struct ``row`` and its ``score``. Scoring is one pass without a shuffle."""
-    net = train(*training_rows(docs, labels))
-    model = docs.sparkSession.sparkContext.broadcast(net.packed())
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(model), f"row {kind}, score double")

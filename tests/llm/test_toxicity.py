@@ -8,20 +8,27 @@ from docketloom.llm import queries, toxicity
 from tests.llm import samples
 
 
+def network(seed=1):
+    rng = np.random.default_rng(seed)
+    net = toxicity.Network(seed)
+    net.word[:], net.gram[:] = rng.standard_normal(net.word.shape) * 0.3, rng.standard_normal(net.gram.shape) * 0.3
+    return net
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    net = toxicity.Network(1)
-    net.word[:], net.gram[:] = rng.standard_normal(net.word.shape) * 0.3, rng.standard_normal(net.gram.shape) * 0.3
-    words, windows, first = toxicity.number([b"a bb cc dd ee " * 9, b"zz yy", b""])
-    assert first.tolist() == [0, 3, 4] and len(windows) == 5
+    net = network()
+    words, ids, begin, _ = toxicity.number([b"a bb cc dd ee " * 9, b"zz yy", b""])
+    reach = np.arange(-toxicity.CONTEXT, toxicity.WIDTH + toxicity.CONTEXT)
+    seqs = ids[np.array([begin[0], begin[0] + 3, begin[0] + 21, begin[1], begin[2]])[:, None] + reach]
     table, y = net.inputs(words), np.array([1, 0, 0, 1, 0], np.float32)
 
     def loss():
-        z = net.run(table, windows).astype(float)
+        z = net.run(table, seqs).astype(float)
         return float((np.log1p(np.exp(z)) - y * z).sum())
 
-    logit, kept = net.run(table, windows, keep=True)
-    grads, dtable = net.backward(table, windows, kept, (toxicity.sigmoid(logit) - y).astype(np.float32))
+    logit, kept = net.run(table, seqs, keep=True)
+    grads, dtable = net.backward(table, seqs, kept, (toxicity.sigmoid(logit) - y).astype(np.float32))
     for value, grad in [*((net.p[k], grads[k]) for k in grads), (table[1:], dtable[1:])]:
         for _ in range(4):
             i = tuple(rng.integers(0, n) for n in value.shape)
@@ -34,13 +41,76 @@ def test_gradients():
             assert abs((up - down) / 2e-2 - grad[i]) < 1e-2 + 0.05 * abs(grad[i])  # single precision
 
 
-def test_windows_overlap_and_cover():
-    words, windows, first = toxicity.number([" ".join(f"w{i}" for i in range(n)).encode() for n in (0, 1, 24, 25, 40, 41, 500)])
-    for n, (a, b) in zip((0, 1, 24, 25, 40, 41, 500), zip(first, [*first[1:], len(windows)], strict=True), strict=True):
-        seen = {words[k - 1] for k in windows[a:b].ravel() if k}
-        assert seen == {b"w%d" % i for i in range(n)}
-    for a, b in zip(windows[first[-1] :], windows[first[-1] + 1 :], strict=False):
-        assert a[toxicity.STRIDE :].tolist() == b[: toxicity.WIDTH - toxicity.STRIDE].tolist()
+def test_gram_steps():
+    """A step on an input row reaches every n-gram through the mean and the greatest one through the maximum."""
+    net, words = network(), [b"abcdefg", b"xy"]
+    buckets, begin = toxicity.gram_buckets(words)
+    before, step = net.inputs(words)[1:], np.random.default_rng(1).standard_normal((2, toxicity.INPUTS)).astype(np.float32) * 1e-3
+    old = net.gram.copy()
+    toxicity.learn_grams(net.gram, buckets, begin, np.diff(np.r_[begin, len(buckets)]), step)
+    moved = net.inputs(words)[1:] - before
+    E = toxicity.EMBED
+    assert (net.gram[:, 0] == old[:, 0]).all() and set(np.flatnonzero((net.gram != old).any(axis=1))) <= set(buckets.tolist())
+    assert (np.sign(moved[:, 2 * E + 1 :]) == -np.sign(step[:, 2 * E + 1 :])).mean() > 0.8
+
+
+def slow_score(net, text):
+    """One text by the definition: word by word, then window by window."""
+    words, H, W, C, X = toxicity.words_of(text), toxicity.HIDDEN, toxicity.WIDTH, toxicity.CORE, toxicity.CONTEXT
+    x = net.inputs(list(dict.fromkeys(words)))
+    rows = {w: x[i + 1].astype(float) for i, w in enumerate(dict.fromkeys(words))}
+    x, p = [rows[w] for w in words] or [np.zeros(toxicity.INPUTS)], {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def cell(d, v, h):
+        a, g = v @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"h{d}"]
+        z, r = sig(a[:H] + g[:H]), sig(a[H : 2 * H] + g[H : 2 * H])
+        c = np.tanh(a[2 * H :] + r * g[2 * H :])
+        return c + z * (h - c)
+
+    states = []
+    for i in range(len(x)):
+        core = i // C * C
+        f = b = np.zeros(H)
+        for j in range(max(0, core - X), i + 1):
+            f = cell("f", x[j], f)
+        for j in range(min(len(x), core + C + X) - 1, i - 1, -1):
+            b = cell("b", x[j], b)
+        states.append(np.r_[f, b])
+    best = -np.inf
+    for i in range(max(1, len(x) - W + 1)):
+        s = np.array(states[i : i + W])
+        e = np.exp(np.tanh(s @ p["wa"] + p["ba"]) @ p["va"])
+        best = max(best, e @ (s @ p["wo"]) / e.sum() + p["bo"][0])
+    return sig(best)
+
+
+def test_scores_equal_a_slow_scorer():
+    rng, net = random.Random(4), network(3)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(n)).encode() for n in (0, 1, 5, 23, 24, 25, 47, 48, 49, 71, 72, 96, 97, 300)]
+    rng.shuffle(texts)
+    assert np.allclose(net.scores(texts), [slow_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_a_few_words_at_any_place():
+    """A window starts at every word, so where a passage stands does not decide whether it is seen whole."""
+    words, ids, begin, sizes = toxicity.number([" ".join(f"w{i}" for i in range(n)).encode() for n in (0, 1, 24, 25, 40, 500)])
+    net = network()
+    logits = net.logits(net.inputs(words), ids, begin, sizes)
+    assert [int(np.isfinite(logits[a : a + max(1, n)]).sum()) for a, n in zip(begin, sizes, strict=True)] == [1, 1, 1, 2, 17, 477]
+
+
+def test_bounds_of_the_sample(spark):
+    assert toxicity.allowance([1, 2, 3], 6) == 3 and toxicity.allowance([1, 100, 100], 51) == 25 and toxicity.allowance([], 5) == 1
+    text = b" ".join(b"word%d" % i for i in range(400_000))  # over 4 MB
+    cut = toxicity.shortened(text, 100_000)
+    assert 90_000 < len(cut) <= 100_000 and set(cut.split()) <= set(text.split()) and toxicity.shortened(text, len(text)) == text
+    assert len(toxicity.shortened(b"x" * 50_000, 10_000)) <= 10_000
+    docs = spark.createDataFrame([(1, text.decode()), (2, "short"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in toxicity.training_rows(docs, labels).collect()} == {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 4 != 2}
+    out = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}  # a text of megabytes is scored whole
+    assert len(out) == 3
 
 
 def test_held_out_accuracy(spark):
