@@ -116,15 +116,21 @@ def chain_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chain_types(edges(spark, sf_dir), nodes, 25).select("key", F.array_join("types", ",").alias("types"))
 
 
-@query(f"""WITH n AS (SELECT 'q' || n_nationkey AS key, n_regionkey AS part, {TYPE} AS type, n_nationkey % 2 = 0 AS pp, n_nationkey % 6 <> 5 AS sourced FROM nation),
+@query(f"""WITH RECURSIVE n AS (SELECT 'q' || n_nationkey AS key, n_regionkey AS part, {TYPE} AS type, n_nationkey % 2 = 0 AS pp, n_nationkey % 6 <> 5 AS sourced FROM nation),
     p AS (SELECT 'q' || n_nationkey AS node, 'q' || (n_nationkey + 1) AS source, CASE WHEN n_nationkey % 8 = 0 THEN 'Maybe' ELSE 'Yes' END AS answer, CASE WHEN n_nationkey % 5 = 0 THEN 'any_party' ELSE 'any' END AS scope FROM nation),
     o AS (SELECT 'q' || n_nationkey AS node, 'q' || (n_nationkey + 3) AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'blocks' ELSE 'alternative' END AS kind FROM nation WHERE n_nationkey % 3 = 0),
-    pj AS (SELECT p.*, n.key AS k, n.type AS kt, n.pp AS kp FROM p LEFT JOIN n ON source = n.key), oj AS (SELECT o.*, t.key AS k, t.type AS kt, s.type AS nt FROM o LEFT JOIN n t ON target = t.key LEFT JOIN n s ON node = s.key)
+    pj AS (SELECT p.*, n.key AS k, n.type AS kt, n.pp AS kp FROM p LEFT JOIN n ON source = n.key), oj AS (SELECT o.*, t.key AS k, t.type AS kt, s.type AS nt FROM o LEFT JOIN n t ON target = t.key LEFT JOIN n s ON node = s.key),
+    ways AS (SELECT node AS src, source AS dst FROM pj WHERE k IS NOT NULL UNION SELECT node, target FROM oj WHERE kind = 'alternative' AND k IS NOT NULL), w AS (SELECT src, dst FROM ways UNION SELECT w.src, ways.dst FROM w JOIN ways ON w.dst = ways.src),
+    fed AS (SELECT source AS node FROM pj JOIN n ON node = n.key WHERE n.type IN ('damages', 'exemplary_predicate', 'fees') UNION SELECT target FROM oj WHERE kind = 'alternative')
     SELECT key AS node, 'part not declared ' || part AS finding FROM n WHERE part = 4 UNION ALL SELECT key, 'no source' FROM n WHERE NOT sourced
     UNION ALL SELECT node, 'predicated on unknown ' || source FROM pj WHERE k IS NULL UNION ALL SELECT node, 'predicated on a node without yes or no ' || source FROM pj WHERE kt = 'damages'
     UNION ALL SELECT node, 'scope needs a per-party source ' || source FROM pj WHERE scope = 'any_party' AND NOT kp UNION ALL SELECT node, 'bad answer ' || answer FROM pj WHERE answer = 'Maybe'
     UNION ALL SELECT node, kind || ' unknown ' || target FROM oj WHERE k IS NULL UNION ALL SELECT node, 'alternative to a node that isn''t liability ' || target FROM oj WHERE kind = 'alternative' AND kt <> 'liability'
-    UNION ALL SELECT node, 'blocks a node that isn''t damages ' || target FROM oj WHERE kind = 'blocks' AND kt <> 'damages' UNION ALL SELECT node, 'only a defense blocks' FROM oj WHERE kind = 'blocks' AND nt <> 'defense'""")
+    UNION ALL SELECT node, 'blocks a node that isn''t damages ' || target FROM oj WHERE kind = 'blocks' AND kt <> 'damages' UNION ALL SELECT node, 'only a defense blocks' FROM oj WHERE kind = 'blocks' AND nt <> 'defense'
+    UNION ALL SELECT src, 'cycle ' || src FROM w WHERE src = dst UNION ALL SELECT key, 'damages without liability in its chain' FROM n WHERE type = 'damages' AND key NOT IN (SELECT src FROM w JOIN n ON dst = key WHERE type = 'liability')
+    UNION ALL SELECT key, 'liability without damages' FROM n WHERE type = 'liability' AND key NOT IN (SELECT node FROM fed)
+    UNION ALL SELECT key, 'defense that blocks and predicates nothing' FROM n WHERE type = 'defense' AND key NOT IN (SELECT source FROM pj) AND key NOT IN (SELECT node FROM oj WHERE kind = 'blocks')
+    UNION ALL SELECT node, 'unreachable if not asked ' || source FROM pj WHERE answer = 'No' AND source IN (SELECT node FROM pj) AND node NOT IN (SELECT node FROM oj WHERE kind = 'alternative')""")
 def graph_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     nodes = n.selectExpr("concat('q', n_nationkey) as key", "cast(n_regionkey as string) as part", f"{TYPE} as type", "n_nationkey % 2 = 0 as per_party", "n_nationkey % 6 <> 5 as sourced")

@@ -40,11 +40,54 @@ def quote_segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("at is not null and size(segs) = 2").select("item_id", F.col("at.start").alias("start"), F.col("at.end").alias("end_"))
 
 
+# Ten words of each document, quoted with an alteration: letters changed, a word dropped, marks put in, words reversed, or none.
+EXCERPT = "array_join(slice(split(trim(regexp_replace(text, '\\\\s+', ' ')), ' '), 4, 10), ' ')"
+ALTERED = """case doc_id % 5 when 0 then regexp_replace(excerpt, '(\\\\w)\\\\w(\\\\w)', '$1q$2') when 1 then array_join(array_except(split(excerpt, ' '), slice(split(excerpt, ' '), 3, 1)), ' ')
+    when 2 then replace(excerpt, ' ', ', ') when 3 then array_join(reverse(split(excerpt, ' ')), ' ') else excerpt end"""
+
+
+def attributed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("excerpt", F.expr(EXCERPT))
+    return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.expr(ALTERED).alias("quote"), "text")
+
+
 @query()
 def quote_best_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document and each passage that doesn't stand in it: the best window and its grade."""
-    scored = Q.altered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), N.haystack, N.needle)
-    return scored.select("doc_id", "item_id", F.round("ratio", 2).alias("similarity"), Q.grade(F.col("ratio"), F.col("word_ratio"), F.lit(False)).alias("result"))
+    """A quotation attributed to each document, where it does not stand in it: the best window of the whole text and its grade."""
+    scored = Q.attributed(attributed_quotes(spark, sf_dir), N.haystack, N.needle)
+    return scored.select("doc_id", F.round("ratio", 2).alias("similarity"), Q.grade(F.col("ratio"), F.col("word_ratio"), F.lit(False)).alias("result"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {sql_fold('text')} AS hay, {sql_fold("substr(text, 31, 14)")} AS needle FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN needle <> '' AND contains(hay, CASE WHEN doc_id % 3 = 0 THEN reverse(needle) ELSE needle END) THEN 'VERBATIM' ELSE 'FABRICATED' END AS result FROM d""")
+def quote_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short quotation of each document, every third one reversed: it stands there or it is made up."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", N.duplicate_fold(F.col("text")).alias("hay"), N.duplicate_fold(F.substring("text", 31, 14)).alias("needle"))
+    needle = F.when(F.col("doc_id") % 3 == 0, F.reverse("needle")).otherwise(F.col("needle"))
+    return rows.select("doc_id", Q.strict(needle, F.col("hay")).alias("result"))
+
+
+RECHECK = """event_id, CASE event_id % 4 WHEN 0 THEN 'FABRICATED' WHEN 1 THEN 'CLOSE' ELSE 'VERBATIM' END AS wr, value AS ws, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'FABRICATED' WHEN 2 THEN 'VERBATIM' ELSE 'CLOSE' END AS fr, 100 - value AS fs, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS whole"""
+
+
+@query(f"""WITH r AS (SELECT {RECHECK} FROM events), m AS (SELECT *, fr IS NOT NULL AND (list_position(['FABRICATED', 'CLOSE', 'VERBATIM'], fr) > list_position(['FABRICATED', 'CLOSE', 'VERBATIM'], wr) OR (fr = wr AND fs > ws)) AS more FROM r)
+    SELECT event_id, CASE WHEN more THEN fr ELSE wr END AS result, CASE WHEN more THEN fs ELSE ws END AS similarity, CASE WHEN CASE WHEN more THEN fr ELSE wr END = 'FABRICATED' THEN coalesce(whole, false) END AS confirmed FROM m""")
+def quote_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window's grade against the full text's: the better one stands, and a fabrication is confirmed by a complete copy only."""
+    rows = table(spark, sf_dir, "events").selectExpr(*[x.strip() for x in RECHECK.split(", ")])
+    made = lambda r, s: F.when(F.col(r).isNotNull(), F.struct(F.col(r).alias("result"), F.col(s).alias("similarity")))
+    return rows.select("event_id", Q.recheck(made("wr", "ws"), made("fr", "fs"), F.col("whole")).alias("x")).select("event_id", "x.*")
+
+
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS pos FROM documents WHERE length(text) > 0),
+    c AS (SELECT *, greatest(pos - 80, 0) AS lo, least(pos + 20 + 80, n) AS hi FROM d), t AS (SELECT *, trim(substr(text, lo + 1, hi - lo), ' ') AS cut FROM c),
+    h AS (SELECT *, CASE WHEN lo > 0 AND instr(cut, '. ') > 1 AND instr(cut, '. ') - 1 < 80 THEN substr(cut, instr(cut, '. ') + 2) ELSE cut END AS head FROM t),
+    l AS (SELECT *, length(head) - instr(reverse(head), ' .') - 1 AS last FROM h)
+    SELECT doc_id, trim(CASE WHEN hi < n AND contains(head, '. ') AND last > length(head) - 80 AND last > 0 THEN substr(head, 1, last + 1) ELSE head END, ' ') AS passage FROM l""")
+def quote_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty characters from the middle of each document in their sentences."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    return docs.select("doc_id", Q.passage(F.col("text"), F.expr("length(text) div 2"), F.lit(20)).alias("passage"))
 
 
 QUOTED = "concat('He wrote \"', substr(text, 1, 20 + cast(doc_id % 20 as int)), '\" and \"', substr(text, 50, 30), '\" there ', text)"
@@ -98,9 +141,8 @@ def doubled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH t AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS token FROM part),
     b AS (SELECT id, token, count(*) AS n FROM t GROUP BY ALL),
-    l AS (SELECT * FROM b WHERE id % 50 = 1),
-    s AS (SELECT id, sum(n) AS size FROM l GROUP BY id)
-    SELECT a, b, both_ / size AS containment FROM (SELECT l.id AS a, r.id AS b, sum(least(l.n, r.n)) AS both_ FROM l JOIN b r USING (token) WHERE l.id <> r.id GROUP BY ALL) JOIN s ON a = id WHERE both_ / size >= 0.62""")
+    s AS (SELECT id, sum(n) AS size FROM b GROUP BY id)
+    SELECT a, b, both_ / size AS containment FROM (SELECT l.id AS a, r.id AS b, sum(least(l.n, r.n)) AS both_ FROM b l JOIN b r USING (token) WHERE l.id <> r.id GROUP BY ALL) JOIN s ON a = id WHERE both_ / size >= 0.62""")
 def token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token bags of all part names against all others."""
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(N.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("token"))

@@ -1,6 +1,7 @@
 """Operators over whole inputs, against brute force on small tables."""
 
 import itertools
+import random
 import re
 from collections import Counter
 from difflib import SequenceMatcher
@@ -119,15 +120,66 @@ def test_altered_passages_are_graded(spark):
         5: "0123456789 " * 20,
     }
     rows = [(i, f"{around}{t} {around}") for i, t in docs.items()]
-    pairs = quotes.altered(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, passage)], "item_id long, text string"), normalize.haystack, normalize.needle)
+    frame = spark.createDataFrame([(i, 7, passage, t) for i, t in rows], "doc_id long, item_id long, quote string, text string")
+    pairs = quotes.attributed(frame, normalize.haystack, normalize.needle)
     got = {r.doc_id: r for r in pairs.select("*", quotes.grade(F.col("ratio"), F.col("word_ratio"), F.lit(False)).alias("g")).collect()}
     assert {i: r.g for i, r in got.items()} == {2: "CLOSE", 3: "VERBATIM", 4: "CLOSE", 5: "FABRICATED"}
     for i, text in rows:
         if i in got:
-            n = len(passage)
-            windows = [text[k : k + w] for k in range(len(text)) for w in (n, n + n // 8)]
-            most = max(SequenceMatcher(None, w, passage, autojunk=False).ratio() for w in windows)
-            assert got[i].ratio <= most + 1e-9 and (most < 0.6 or got[i].ratio == pytest.approx(most))
+            assert got[i].ratio == pytest.approx(plain_span(passage, text)[0])
+
+
+def plain_span(needle, hay):
+    """The search by its definition, every window compared."""
+    n, windows = len(needle), []
+    ratio = lambda at, width: SequenceMatcher(None, needle, hay[at : at + width], autojunk=False).ratio()
+    if len(hay) <= n:
+        return ratio(0, n), 0, len(hay)
+    apart, best, start, width = max(1, n // 8), 0.0, 0, n
+    for at in range(0, len(hay) - n + 1, apart):
+        windows.append((ratio(at, n), at))
+        if windows[-1][0] > 0.98:
+            break
+    best = max(r for r, _ in windows)
+    start = next(at for r, at in windows if r == best) if best else 0
+    fine = [(ratio(at, w), at, w) for at in range(max(0, start - apart), min(len(hay) - 1, start + apart) + 1) for w in (n, n + max(2, n // 10))]
+    top = max(r for r, _, _ in fine)
+    return next(f for f in fine if f[0] == top) if top > best else (best, start, width)
+
+
+def test_best_span_is_that_of_all_windows():
+    rng = random.Random(6)
+    for k in range(150):
+        hay = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 200)))
+        at = rng.randrange(len(hay))
+        needle = "".join(c if rng.random() < 0.8 else rng.choice("abcd") for c in hay[at : at + rng.randrange(1, 40)])
+        got = quotes.best_span(needle, hay)
+        assert got[0] == pytest.approx(plain_span(needle, hay)[0]) and got[1:] == plain_span(needle, hay)[1:], (needle, hay)
+    assert quotes.best_span("", "a") == (0.0, 0, 0) and quotes.best_span("a", "") == (0.0, 0, 0)
+
+
+def test_short_quotations_stand_anywhere(spark):
+    """Of any number and length, inside words too; rows that repeat are found each."""
+    docs = [(1, "the quick brown fox"), (2, "a quill"), (3, ""), (4, None), (2, "a quill"), (None, "xqux")]
+    items = [(i, q) for i, q in enumerate(["qu", "q", "uick bro", "fox", "l", "zzz", "", "the quick brown fox"])] + [(100 + i, f"none{i}") for i in range(1500)]
+    got = quotes.exact(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), normalize.duplicate_fold).collect()
+    want = [(d, i, t.index(q)) for d, t in docs if t for i, q in items if q and q in t]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_word_diff():
+    assert quotes.word_diff("a b c", "x a b c y") is None and quotes.word_diff("", "a") is None
+    assert quotes.word_diff("the court may correct only clerical errors", "so the court can correct errors, we held") == [
+        ("brief", "the", False), ("brief", "court", False), ("brief", "may", True), ("brief", "correct", False), ("brief", "only", True), ("brief", "clerical", True), ("brief", "errors", False),
+        ("opinion", "the", False), ("opinion", "court", False), ("opinion", "can", True), ("opinion", "correct", False), ("opinion", "errors,", False),
+    ]
+
+
+def test_clean_alterations(spark):
+    hay = "the court may correct only clerical errors in the judgment after its plenary power has ended"
+    rows = [(1, "the court [can] correct only clerical errors"), (2, "the court may correct ... in the judgment after"), (3, "the court may correct all clerical errors"), (4, "[t]he judge may correct only clerical")]
+    got = spark.createDataFrame(rows, "id long, q string").select("id", quotes.clean_alterations(F.col("q"), F.lit(hay)).alias("c")).collect()
+    assert {r.id: r.c for r in got} == {1: True, 2: True, 3: False, 4: False}
 
 
 def test_word_ratio():
