@@ -1,6 +1,6 @@
 """All queries over the reference workload. Importing the modules registers them."""
 
-from . import extract_queries, gate_queries, match_queries, report_queries, severity_queries, text_queries  # noqa: F401
+from . import extract_queries, gate_queries, match_queries, report_queries, resolve_queries, severity_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
