@@ -1,4 +1,4 @@
-"""Extraction of citations, treatments, filing data and pattern sections as expressions over texts."""
+"""Filing data, pattern sections and treatment verbs as expressions over texts."""
 
 from __future__ import annotations
 
@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from . import match as M
-
-# Shapes of citations.
-FULL = r"\b\d{1,4}\s+(?:U\.\s?S\.|S\.\s?Ct\.|[A-Z][A-Za-z]*\.(?:\s?[A-Z][A-Za-z]*\.)*(?:\s?(?:2d|3d|4th))?)\s+\d{1,5}\b"
-DATABASE = r"\b(?:19|20)\d{2}\s+(?:WL|U\.S\. Dist\. LEXIS)\s+\d{3,10}\b"
-STATUTE = r"\b\d+\s+U\.S\.C\.\s+§\s*\d+[a-z]?\b"
-ID = r"\b[Ii]d\.(?:\s+at\s+\d+)?"
-KINDS = [("full", FULL), ("database", DATABASE), ("statute", STATUTE), ("id", ID)]
 
 # Treatment verbs.
 STRONG = [
@@ -33,49 +25,6 @@ CAUTION = [
     ("limited to its facts", r"\blimited\s+to\s+(?:its|their)\s+facts\b"),
     ("called into doubt", r"\b(?:called|cast)\s+(?:into\s+)?doubt\b"),
 ]
-NEGATION = r"(?i)\b(?:not|never|declin\w+\s+to|refus\w+\s+to|without)\W*(?:\w+\W+){0,3}$"
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, raw), from the pieces between matches and the matches."""
-    hits = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, b: F.struct(h.alias("h"), F.length(b).alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        end = begin + F.length(x["h"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["h"].alias("raw"))).alias("out"))
-
-    return F.aggregate(F.filter(hits, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
-
-
-def without_overlaps(spans: Column) -> Column:
-    """Sorted spans, each that begins before the end of the last kept one dropped."""
-    kept = F.array().cast("array<struct<start:int,end:int,raw:string,kind:string>>")
-    return F.aggregate(F.array_sort(spans), kept, lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), F.array_append(acc, s)).otherwise(acc))
-
-
-def citations(docs: DataFrame) -> DataFrame:
-    """doc_id, i, start, end, raw, kind of citations, in document order; *id.* carries its antecedent in ``authority``."""
-
-    def tagged(kind: str, pattern: str) -> Column:
-        return F.transform(matches(F.col("text"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), F.lit(kind).alias("kind")))
-
-    spans = without_overlaps(F.concat(*(tagged(k, p) for k, p in KINDS)))
-    rows = docs.select("doc_id", F.posexplode(spans).alias("i", "s")).select("doc_id", "i", "s.*")
-    return M.last_before(rows, "doc_id", "start", N.cite_key(F.col("raw")), F.col("kind") != "id", "authority")
-
-
-def treatments(docs: DataFrame, reach: int = 250) -> DataFrame:
-    """doc_id, authority, verb, class, distance: the closest verb of each kind near each citation, unless it is negated."""
-    tagged = [F.struct(F.lit(v).alias("verb"), F.lit(c).alias("class"), matches(F.col("text"), "(?i)" + p).alias("at")) for c, verbs in (("strong", STRONG), ("caution", CAUTION)) for v, p in verbs]
-    verbs = docs.select("doc_id", "text", F.explode(F.array(*tagged)).alias("v")).select("doc_id", "text", "v.verb", "v.class", F.explode("v.at").alias("m"))
-    before = F.substring("text", F.greatest(F.col("m.start") - 59, F.lit(1)), F.least(F.col("m.start"), F.lit(60)))
-    verbs = verbs.where(~before.rlike(NEGATION)).select("doc_id", "verb", "class", F.col("m.start").alias("pos"), F.col("m.start").alias("id"))
-    cites = citations(docs).where("kind <> 'id'").select("doc_id", F.col("start").alias("pos"), F.col("authority").alias("id"))
-    near = M.within(verbs, cites, "doc_id", reach).withColumn("distance", F.abs(F.col("pos") - F.col("other_pos")))
-    return near.groupBy("doc_id", F.col("other_id").alias("authority"), "verb", "class").agg(F.min("distance").alias("distance"))
-
 
 # Titles of filings by their headings, in order of preference.
 TITLES = [("Affidavit of Service", r"(?i)affidavit\s+of\s+service"), ("Memorandum of Law", r"(?i)memorandum\s+of\s+law"), ("Notice of Motion", r"(?i)notice\s+of\s+motion"), ("Order", r"(?i)\border\b"), ("Complaint", r"(?i)\bcomplaint\b"), ("Answer", r"(?i)\banswer\b")]

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .citations import masked as mask_citations
+
 # Abbreviations that end no sentence.
 ABBREVIATIONS = set("v vs no nos art sec ch cf id e.g i.e al etc mr mrs ms dr jr sr st co inc ltd corp dept div app supp ct cir rev stat ann ex".split())
-CITE = re.compile(r"\b\d{1,4}\s+[A-Z][A-Za-z.]*(?:\s?[A-Z0-9][A-Za-z0-9.]*){0,3}\s+\d{1,5}\b")
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -43,11 +44,6 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, i int, start int, end int")
 
 
-def mask_citations(text: str) -> str:
-    """Citations overwritten by underscores; length and line ends stay."""
-    return CITE.sub(lambda m: re.sub(r"[^\n]", "_", m[0]), text)
-
-
 def masked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -92,7 +92,7 @@ def test_grades(spark):
 def test_exact_windows_score_one(needle, around):
     assert quotes.best_window(needle, needle)[0] == 1.0
     ratio, at = quotes.best_window(needle, around)
-    assert 0 <= ratio <= 1 and (not around or ratio >= SequenceMatcher(None, around[: len(needle)], needle, autojunk=False).ratio() - 1e-9 or ratio > 0.98)
+    assert 0 <= ratio <= 1 and (not around or ratio >= SequenceMatcher(None, needle, around[: len(needle)], autojunk=False).ratio() - 1e-9 or ratio > 0.98)
 
 
 @settings(max_examples=100, deadline=None)
