@@ -8,7 +8,6 @@ empty results with the full schema.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,11 +20,10 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one is set where it is unset (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, under the warehouse, which all executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="docketloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -18,10 +18,20 @@ similarity t or more differ in few shingles: |A xor B| <= (|A| + |B|)(1 - t)/(1
 * Verification. Remaining pairs are checked by exact intersection of their hash sets.
 
 Frequent shingles are found in a hashed sample of different texts; which ones count as frequent
-affects speed only. Keys held by many sets (``group_limit``) don't give all their pairs: the
-first round compares each member with the one that lies in the most such groups; pairs of members are
-then formed only across different components, and only of sizes that can link. No link between different components is lost,
-hence components are exact.
+affects speed only. Keys held by many sets (``group_limit``) don't give all their pairs. Sketches are
+linear: a member's sketch XOR that of a centre is the sketch of what the two differ in, and of two members
+A, B with differences DA, DB from one centre C the symmetric difference is DA xor DB. So
+
+* members most of whose shingles no other member has can't link and leave;
+* each large group gets a centre, the member that lies in most large groups, and every member's exact
+  difference from it; small differences are links with the centre;
+* two members that link with the centre need no more work. If A does not, a link of A and B requires
+  2 |DA and DB| >= |DA| + |DB| - (|A| + |B|)(1 - t)/(1 + t) > 0: they share shingles in which both differ from the
+  centre. Differences are ordered by how few members share a shingle, and members meet only in shingles
+  at whose places that many more can still be shared. What all copies have in common is in no difference, hence is no key.
+
+No link between different components is lost, hence components are exact. Links inside a component
+are not all found: the operator gives components, not all pairs.
 
 Rows travel to numbered buckets as packed arrays (6 bytes for each sketch word). Sets equal
 within a task are sent once. Edge cases: null, empty and wordless texts have empty sets, link
@@ -48,8 +58,9 @@ SHINGLE = 5
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 4, 1 << 17
 """Different texts sampled for frequent shingles: one in SAMPLE; frequent: in FREQUENT of them or more; the bound on how many are told apart."""
 GROUP_LIMIT = 8
-SIZE_STEP = 1.34
-"""Sizes of sets that link are at most one step apart: a little over 4/3."""
+SALTED, SLOTS, MOST_LEVELS = 256, 1024, 20_000
+BUCKET_BYTES = 24 << 20
+"""Bytes of text to a bucket of sketch words: at most two bands of a third of the shingles, 6 bytes each."""
 U = np.uint64
 
 
@@ -178,15 +189,132 @@ def _pairs(limit: int):
     return run
 
 
-def _stars(hot: DataFrame) -> DataFrame:
-    """One pair (u, v) for each member v of large groups: u, of the members it shares a key with, is the one of most large groups that a key chooses.
+def _centres(hot: DataFrame) -> DataFrame:
+    """(c, u): members u of large groups, each with the centres c of its groups; a centre is the member that lies in most of them.
 
     What copies were made from lies in more of their groups than any copy.
     """
     held = hot.join(hot.groupBy("u").agg(F.count("key").alias("w")), "u")
     chosen = held.groupBy("key").agg(F.max(F.struct("w", "u")).alias("p"))
-    best = hot.join(chosen, "key").groupBy("u").agg(F.max("p").alias("p"))
-    return best.select(F.col("p.u").alias("u"), F.col("u").alias("v")).where("u <> v")
+    return hot.join(chosen, "key").select(F.col("p.u").alias("c"), "u").distinct()
+
+
+DIFFERENCE = "c binary, s binary, n int, nc int, w int, linked boolean, d array<long>"
+
+
+def _differ(num: int, den: int):
+    """Rows (c, s, set_c, set_s) to the shingles in which s differs from its centre c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("set_c"), batch.column("set_s"), strict=True):
+                c, s = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                d = np.setxor1d(c, s, assume_unique=True).view(np.int64)
+                out.append((len(s), len(c), len(d), len(d) * (den + num) <= (len(s) + len(c)) * (den - num), d))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("s"), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in DIFFERENCE.split(", ")])
+
+    return run
+
+
+def _differences(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Differences of members from their centres. A centre's set is dealt once for every SALTED members."""
+    parts = groups.groupBy("c").agg(F.ceil(F.count("*") / SALTED).cast("long").alias("parts"))
+    members = groups.where("c <> s").join(parts, "c").withColumn("salt", F.pmod(F.xxhash64("s"), F.col("parts"))).drop("parts")
+    members = members.join(sets.select(F.col("sid").alias("s"), F.col("shingles").alias("set_s")), "s")
+    centres = parts.join(sets.select(F.col("sid").alias("c"), F.col("shingles").alias("set_c")), "c").select("c", "set_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    return members.join(centres, ["c", "salt"]).select("c", "s", "set_c", "set_s").mapInArrow(_differ(num, den), DIFFERENCE)
+
+
+def _half(k: int):
+    """sid, and 32 bits of those shingles of each text whose last bit is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = of_process(WordHashes)
+        for batch in batches:
+            sets = [s for s in (shingles(t.lower().split(), hashes, k) for t in texts_of(batch)) if len(s)]
+            half = [(s[s & U(1) == 0] >> U(32)).astype(np.uint32).view(np.int32) for s in sets]
+            sid = pa.array([set_id(s) for s in sets], pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in half]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*half, np.empty(0, np.int32)]), pa.int32()), sid], ["x", "sid"])
+
+    return run
+
+
+def _lonely(docs: DataFrame, rows: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of ``members`` (sid) that can't link with any other: more than n * (1 - t) of their shingles are no other member's.
+
+    Half of the shingles are counted, by 32 bits; equal bits make a shingle seem shared, so none is lost. Sets that have
+    but a passage in common end here, before any set travels whole.
+    """
+    texts, owners = _texts_of(docs, rows, members)
+    halves = texts.mapInArrow(_half(k), "x int, sid binary").join(small(owners.select("sid")), "sid", "left_semi")
+    alone = halves.groupBy("x").agg(F.min("sid").alias("sid"), F.max("sid").alias("last")).where("sid = last").select("sid")
+    counts = alone.groupBy("sid").agg(F.count("*").alias("m"))
+    sizes = rows.where("kind = 'set'").join(small(owners.select("sid")), "sid", "left_semi").select("sid", "n").distinct()
+    return sizes.join(counts, "sid").where(f"{den} * m > {den - num} * n").select("sid")
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a group's differences by slot, on a scale of one byte: only their order matters."""
+    for batch in batches:
+        out = []
+        for l in batch.column("l").to_pylist():
+            m = np.zeros(SLOTS)
+            m[[e["slot"] for e in l]] = [e["m"] for e in l]
+            out.append(np.minimum(255, 12 * np.log2(m + 1)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.binary())], ["g", "levels"])
+
+
+PLACED = "g long, x long, id long, n int, w int, i int, linked boolean, early boolean"
+
+
+def _place(num: int, den: int):
+    """The shingles of each difference that can decide, with their places."""
+    plus, minus = den + num, den - num
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [[np.empty(0, np.int64)] for _ in range(8)]
+            for r in range(len(batch)):
+                g, id_, n, nc, w, linked, levels, d = (c[r] for c in batch.columns)
+                n, w, x = n.as_py(), w.as_py(), d.values.to_numpy()
+                order = np.lexsort((x, np.frombuffer(levels.as_py(), np.uint8)[x & (SLOTS - 1)]))
+                i = np.arange(min(w, n * minus // num + 1))  # no partner of a set of n differs from it in more than n * minus / num
+                early = 2 * plus * i < plus * w + minus * (n - nc.as_py())
+                i = i[early] if linked.as_py() else i
+                for col, v in zip(cols, (g.as_py(), x[order[i]], id_.as_py(), n, w, i + 1, linked.as_py(), early[: len(i)]), strict=True):
+                    col.append(v if isinstance(v, np.ndarray) else np.full(len(i), v))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+            made = [pa.array(np.concatenate(c).astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in PLACED.split(", ")])
+
+    return run
+
+
+def _meetings(differences: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid_a, sid_b): pairs of members of one group, the first not linked with the centre, whose differences can share enough for a link.
+
+    Place i of a shingle in a difference counts from the one that fewest members have (by slots of a hash: any order that the
+    whole group keeps to is right). If x is the first that A and B share, at places i and j, they share at most min(|DA| - i, |DB| - j) + 1.
+    """
+    plus, minus = den + num, den - num
+    some = small(stage(differences.where("not linked").select("g").distinct(), "open"))
+    those = differences.join(some, "g", "left_semi")
+    slots = those.select("g", F.explode("d").alias("x")).groupBy("g", F.col("x").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("m"))
+    levels = slots.groupBy("g").agg(F.collect_list(F.struct("slot", "m")).alias("l")).mapInArrow(_levels, "g long, levels binary")
+    levels = small(stage(levels, "levels"), MOST_LEVELS)
+    placed = those.select("g", "id", "n", "nc", "w", "linked", "d").join(levels, "g").select("g", "id", "n", "nc", "w", "linked", "levels", "d")
+    placed = stage(placed.mapInArrow(_place(num, den), PLACED), "placed")
+    a = placed.where("not linked").select("g", "x", *[F.col(k).alias(f"{k}_a") for k in ("id", "n", "w", "i", "early")])
+    b = placed.where("early").select("g", "x", *[F.col(k).alias(f"{k}_b") for k in ("id", "n", "w", "i", "linked")])
+    can = f"""(linked_b or early_a and id_a < id_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)
+        and {plus} * (w_a + w_b) - {minus} * (n_a + n_b) <= 2 * {plus} * (least(w_a - i_a, w_b - i_b) + 1)"""
+    met = stage(a.join(b, ["g", "x"]).where(can).select("id_a", "id_b").distinct(), "met")
+    name = differences.select("id", "s")
+    met = met.join(name.withColumnsRenamed({"id": "id_a", "s": "s_a"}), "id_a").join(name.withColumnsRenamed({"id": "id_b", "s": "s_b"}), "id_b")
+    return met.where("s_a <> s_b").select(F.least("s_a", "s_b").alias("sid_a"), F.greatest("s_a", "s_b").alias("sid_b")).distinct()
 
 
 def _near(num: int, den: int):
@@ -254,50 +382,66 @@ def _key_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near.select(F.least("sid_a", "sid_b").alias("sid_a"), F.greatest("sid_a", "sid_b").alias("sid_b")).distinct()
 
 
-def _links(docs: DataFrame, rows: DataFrame, near: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Verified links among candidate pairs, by the shingles of one document for each set concerned."""
-    needed = near.select(F.col("sid_a").alias("sid")).unionByName(near.select(F.col("sid_b").alias("sid"))).distinct()
-    owners = rows.where("kind = 'doc'").join(needed, "sid").groupBy("sid").agg(F.min_by("doc_id", "uid").alias("doc_id"), F.min("uid").alias("uid"))
-    owners = stage(owners.select("doc_id", "sid").distinct(), "owners")
+def _texts_of(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts in which all sets ``needed`` (sid) occur, and one (doc_id, sid) for each. Where doc_ids repeat there are other texts besides."""
+    owners = rows.where("kind = 'doc'").join(needed, "sid").groupBy("sid").agg(F.min_by("doc_id", "uid").alias("doc_id"))
+    owners = stage(owners.select("doc_id", "sid"), "owners")
     ids = owners.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = texts.mapInArrow(_sets(k), "sid binary, shingles binary").where("sid is not null").join(owners.select("sid"), "sid", "left_semi")
-    sets = stage(sets.dropDuplicates(["sid"]), "sets")
+    return docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), owners
+
+
+def _sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """sid, shingles of the sets ``needed`` (sid), by the text of one document each."""
+    texts, owners = _texts_of(docs, rows, needed)
+    sets = texts.mapInArrow(_sets(k), "sid binary, shingles binary").where("sid is not null").join(small(owners.select("sid")), "sid", "left_semi")
+    return stage(sets.dropDuplicates(["sid"]), "sets")
+
+
+def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (sid_a, sid_b) that link, by exact intersection."""
     full = near.join(sets.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("set_a")), "sid_a").join(sets.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("set_b")), "sid_b")
     return full.mapInArrow(_verify(num, den), "sid_a binary, sid_b binary")
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = SHINGLE, group_limit: int = GROUP_LIMIT, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; two link when den * |A and B| >= num * |A or B|. num/den is 3/4 or more."""
+    """doc_id, n_shingles, component_id for every row of ``docs``; two link when den * |A and B| >= num * |A or B|. num/den is 3/4 or more.
+
+    ``buckets``: how many tasks the sketch words are dealt to; by default it follows from the bytes of all texts.
+    """
     if 4 * num < 3 * den:
         raise ValueError("sketch words are chosen for similarities of 0.75 or more")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     path = shared_dir(spark, "ngram-join")
     rows = write(docs.mapInArrow(_sketch(shingle, frequent_shingles(docs, shingle), buckets), ROWS), f"{path}/rows", ["kind"])
     keyed = rows.where("kind = 'key'").select("bucket", "base", "a", "b")
     found = write(keyed.groupBy("bucket").applyInArrow(_pairs(group_limit), "u long, v long, key long"), f"{path}/pairs")
     sets = rows.where("kind = 'set'").select("uid", "sid", "n", "a")
-    hot = found.where("v is null").select("key", "u")
-    near = stage(_key_of(found.where("key = 0").select("u", "v").unionByName(_stars(hot)).distinct(), sets, num, den), "near")
-    links = stage(_links(docs, rows, near, shingle, num, den), "links")
+    near = stage(_key_of(found.where("key = 0").select("u", "v").distinct(), sets, num, den), "near")
+    named = sets.select("uid", "sid")
+    groups = _centres(found.where("v is null").select("key", "u")).join(named.withColumnRenamed("uid", "u"), "u").withColumnRenamed("sid", "s")
+    groups = groups.select("s", F.col("c").alias("uid")).join(named, "uid").select(F.col("sid").alias("c"), "s").distinct()
+    groups = stage(groups, "groups")
+    hot = not groups.isEmpty()
+    if hot:
+        lonely = _lonely(docs, rows, groups.select(F.col("s").alias("sid")).distinct(), shingle, num, den)
+        groups = groups.join(lonely.withColumnRenamed("sid", "s"), "s", "left_anti")
+        groups = stage(groups.join(groups.where("c <> s").select("c").distinct(), "c", "left_semi"), "groups")
+    needed = near.select(F.col("sid_a").alias("sid")).unionByName(near.select(F.col("sid_b").alias("sid")))
+    needed = needed.unionByName(groups.select(F.col("s").alias("sid"))).unionByName(groups.select(F.col("c").alias("sid"))).distinct()
+    texts = _sets_of(docs, rows, needed, shingle)
+    links = _verified(near, texts, num, den)
+    if hot:
+        # groups by hash (groups that fall together only add candidates), members by number
+        differences = _differences(groups, texts, num, den).withColumns({"g": F.xxhash64("c"), "id": F.monotonically_increasing_id()})
+        differences = stage(differences, "differences")
+        met = stage(_meetings(differences, num, den).join(near, ["sid_a", "sid_b"], "left_anti"), "met")
+        star = differences.where("linked").select(F.least("c", "s").alias("sid_a"), F.greatest("c", "s").alias("sid_b"))
+        links = links.unionByName(star).unionByName(_verified(met, texts, num, den))
     label = stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
-    if not hot.isEmpty():
-        # members of large groups that aren't connected yet: only pairs across components are formed
-        members = hot.join(sets.select(F.col("uid").alias("u"), "sid", "n"), "u").join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
-        members = members.select("key", F.coalesce("label", "sid").alias("label"), "u", "sid", "n").dropDuplicates(["key", "sid"])
-        several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        members = stage(members.join(several, "key"), "members")
-        step = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
-        other = members.select("key", F.col("label").alias("label_b"), F.col("u").alias("v"), F.col("n").alias("n_b"), step.alias("step"))
-        spread = members.select("key", "label", "u", "n", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-        can = f"label < label_b and {den} * least(n, n_b) >= {num} * greatest(n, n_b)"
-        cross = spread.join(other, ["key", "step"]).where(can).select("u", "v").distinct()
-        more = stage(_key_of(cross, sets, num, den).join(near, ["sid_a", "sid_b"], "left_anti"), "near")
-        if not more.isEmpty():
-            links = stage(links.unionByName(_links(docs, rows, more, shingle, num, den)), "links")
-            label = stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
     per_doc = rows.where("kind = 'doc'").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     per_set = per_doc.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     per_set = per_set.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -78,6 +78,44 @@ def test_edited_copies(spark, limit):
     assert got(ngram_join.near_duplicates(frame, group_limit=limit, buckets=3)) == brute(rows)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 edited copies of one text and its original: the components of all pairs, from far fewer pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2001):
+        words = base[:]
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = [] if rng.random() < 0.3 else [f"e{rng.randrange(10**7)}"]
+        if rng.random() < 0.05:
+            words = words[: rng.randrange(20, 90)]
+        if rng.random() < 0.1:
+            words += [f"t{rng.randrange(12)}" for _ in range(rng.randrange(30))]
+        rows.append((i, " ".join(words)))
+    sets = [shingle_set(t) for _, t in rows]
+    known = {}
+    for x in sets:
+        for y in x:
+            known.setdefault(y, len(known))
+    held = np.zeros((len(sets), len(known)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [known[y] for y in x]] = 1
+    both, size = held @ held.T, np.array([len(x) for x in sets])
+    links = 100 * both >= 75 * (size[:, None] + size[None] - both)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(links, label[None], len(sets)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    counts, plain = {}, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: counts.setdefault(name, plain(df, name)) if name not in counts else plain(df, name))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()} == dict(enumerate(label.tolist()))
+    assert len(set(label.tolist())) > 100 and counts["met"].count() < 200_000  # of 2,001,000 pairs
+
+
 def test_bounds():
     rng = np.random.default_rng(3)
     for _ in range(200):
