@@ -151,3 +151,14 @@ def crosscheck(expected: DataFrame, parsed: DataFrame) -> DataFrame:
     extra = F.array_except(F.coalesce("got", F.array().cast("array<string>")), "want")
     status = F.when(F.col("got").isNull(), "missing").when(F.size(extra) == 0, "matched").otherwise("mismatch")
     return both.select("node", status.alias("status"), extra.alias("unexpected"))
+
+
+def numbered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph, key, number: ``number`` for every graph of a table at once. nodes: graph, key, pos; edges: graph, before, after. A graph is small and one task's work."""
+
+    def one(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        order = list(n.sort_values("pos")["key"])
+        got = number(order, list(zip(e["before"], e["after"], strict=True)))
+        return pd.DataFrame({"graph": [key[0]] * len(got), "key": list(got), "number": list(got.values())})
+
+    return nodes.groupBy("graph").cogroup(edges.withColumnRenamed("graph", "_graph").groupBy("_graph")).applyInPandas(one, "graph long, key string, number int")
