@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..operators import extract as E
+from ..operators import scoring as S
 from ..sources import sinks
 from .registry import query, table
 
@@ -90,3 +91,24 @@ def treatments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Treatment verbs near a mention of Smith, 12 F.3d 15: denied, procedural, foreign and distant ones don't count."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(TREATED).alias("text"), F.array(F.lit("Smith")).alias("tokens"), F.lit("12 F.3d 15").alias("cite"))
     return C.treatments(rows)
+
+
+CHAIN = """'He wrote "these very words". ' || CASE o_orderkey % 4 WHEN 0 THEN repeat('x ', 160) WHEN 1 THEN '' ELSE 'So ' END || 'Baker v. State, 100 F.3d 10' || CASE o_orderkey % 3 WHEN 0 THEN '; Cole v. State, 200 F.3d 20' WHEN 1 THEN '. See Cole v. State, 200 F.3d 20' ELSE '. Then Cole v. State, 200 F.3d 20' END || '.'"""
+
+
+@query("""SELECT o_orderkey AS doc_id, i::BIGINT AS i, i = 2 AS support_only FROM orders, (SELECT unnest([1, 2]) AS i) WHERE o_orderkey % 4 <> 0 AND (i = 1 OR o_orderkey % 3 <> 2)""")
+def quote_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citation that owns a quotation, and the further ones of its string."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(CHAIN).alias("text"))
+    w = Window.partitionBy("doc_id").orderBy("start")
+    return C.owners(docs).select("doc_id", F.row_number().over(w).cast("long").alias("i"), "support_only")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(substr(text, 20, 90)), '[a-z0-9]{3,}')) AS want, list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(text) END), '[a-z0-9]{3,}')) AS have FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT id, CASE WHEN len(want) = 0 THEN 0.0 ELSE len(list_intersect(want, have)) / len(want) END AS score FROM p)
+    SELECT id, round(score, 6)::DOUBLE AS score, score > 0.5 AS supports, round(1 - score, 6)::DOUBLE AS inextractability FROM s""")
+def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage of each document against its text, or against the text reversed, by the lexical scorer."""
+    pairs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.substring("text", 20, 90).alias("proposition"), F.expr("if(doc_id % 2 = 0, text, reverse(text))").alias("text"))
+    scored = S.support(pairs, size=None).select("id", "score", *S.judged(F.col("score")))
+    return scored.select("id", F.round("score", 6).alias("score"), "supports", F.round("inextractability", 6).alias("inextractability"))
