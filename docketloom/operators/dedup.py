@@ -14,9 +14,13 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def running_lines(docs: DataFrame, least_length: int = 12, least_count: int = 3) -> DataFrame:
-    """doc_id, key, n: normalized lines that repeat inside a document. Counts combine on the map side."""
-    keyed = lines(docs).select("doc_id", N.running_line(F.col("line")).alias("key")).where(F.length("key") >= least_length)
-    return keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+    """doc_id, key, n: normalized lines that repeat inside a document. A document is one row, so its lines are counted inside it, by sorting them."""
+    gap = least_count - 1
+    keys = F.array_sort(F.filter(F.transform(F.split("text", "\n", -1), N.running_line), lambda k: F.length(k) >= least_length))
+    base = docs.select("doc_id", keys.alias("keys")).where(F.size("keys") >= least_count)
+    repeated = F.array_distinct(F.filter("keys", lambda k, i: (i >= gap) & (F.col("keys")[F.greatest(i - gap, F.lit(0))] == k)))
+    found = base.select("doc_id", "keys", F.explode(repeated).alias("key"))
+    return found.select("doc_id", "key", F.size(F.filter("keys", lambda k: k == F.col("key"))).cast("long").alias("n"))
 
 
 FURNITURE = r"(?i)^(={5,}|<!--.*-->|[\s—-]*\d{1,4}[\s—-]*|[ivxlcdm]{1,7})$"
@@ -103,3 +107,15 @@ def collapse_authorities(rows: DataFrame) -> DataFrame:
 
 def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 12)
+
+
+RANGE = 1 << 20
+
+
+def placed(rows: DataFrame, bucket: Column, order: list[str], name: str = "place") -> DataFrame:
+    """``rows`` numbered from 1 in an order whose leading part ``bucket`` is: sums run inside the buckets, and over one number for each bucket. Neither depends on how rows are dealt to tasks."""
+    dealt = rows.withColumn("_bucket", bucket)
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    inner = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return inner.join(before, "_bucket").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_before")

@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """root, node, depth: nodes reached from each root within ``depth`` steps. ``edges``: src, dst; ``roots``: root."""
-    edges.createOrReplaceTempView("_edges")
-    roots.createOrReplaceTempView("_roots")
     walked = edges.sparkSession.sql(f"""
         WITH RECURSIVE walk(root, node, depth, path) AS (
-            SELECT root, root, 0, array(root) FROM _roots
+            SELECT root, root, 0, array(root) FROM {{roots}}
             UNION ALL
-            SELECT w.root, e.dst, w.depth + 1, array_append(w.path, e.dst) FROM walk w JOIN _edges e ON e.src = w.node
+            SELECT w.root, e.dst, w.depth + 1, array_append(w.path, e.dst) FROM walk w JOIN {{edges}} e ON e.src = w.node
             WHERE w.depth < {depth} AND NOT array_contains(w.path, e.dst))
-        SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node""")
+        SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node""", edges=edges, roots=roots)
     return walked
 
 
@@ -54,14 +52,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     back = reachable(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     inner = edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_semi")
     longest = edges.select("src").distinct().count()
-    inner.createOrReplaceTempView("_edges")
     return edges.sparkSession.sql(f"""
         WITH RECURSIVE walk(start, node, path) MAX RECURSION LEVEL {longest + 1} AS (
-            SELECT src, dst, array(src) FROM _edges WHERE src <= dst
+            SELECT src, dst, array(src) FROM {{edges}} WHERE src <= dst
             UNION ALL
-            SELECT w.start, e.dst, array_append(w.path, w.node) FROM walk w JOIN _edges e ON e.src = w.node
+            SELECT w.start, e.dst, array_append(w.path, w.node) FROM walk w JOIN {{edges}} e ON e.src = w.node
             WHERE w.node > w.start AND NOT array_contains(w.path, w.node))
-        SELECT concat_ws(' -> ', array_append(path, start)) AS path FROM walk WHERE node = start""")
+        SELECT concat_ws(' -> ', array_append(path, start)) AS path FROM walk WHERE node = start""", edges=inner)
 
 
 def chain_types(edges: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as T
 from ..functions import style as S
+from ..operators import dedup as D
 from ..operators import grade as G
 from ..operators import graph as R
 from ..operators import segment as Z
@@ -174,8 +175,7 @@ CASES = """SELECT event_id, event_id % 13 <> 0 AS opinion_resolved, event_id % 3
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    c = spark.sql(CASES.replace("FROM events", "FROM _events"))
+    c = spark.sql(CASES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
     return c.withColumns({k: F.col(k).cast("double") for k in ("score", "inextractability")})
 
 
@@ -195,8 +195,7 @@ TIERS = """SELECT event_id, user_id, CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN
 
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    return spark.sql(TIERS.replace("FROM events", "FROM _events")).withColumn("tier", G.worst_tier("identity", "quote", "support", "treatment"))
+    return spark.sql(TIERS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")).withColumn("tier", G.worst_tier("identity", "quote", "support", "treatment"))
 
 
 @query(f"SELECT event_id, coalesce(least(identity, quote, support, treatment), 5)::INT AS tier FROM ({TIERS})")
@@ -214,14 +213,12 @@ def tier_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT event_id, user_id, coalesce(least(identity, quote, support, treatment), 5) AS tier FROM ({TIERS})), a AS (SELECT *, min(tier::BIGINT * 1000000000 + event_id) OVER (PARTITION BY user_id) AS anchor FROM t)
     SELECT event_id, row_number() OVER (ORDER BY anchor, tier, event_id) AS place FROM a""")
 def severity_order_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report order: clusters of an authority stay together, at the place of their worst member. Places come from range partitions: counts, then offsets."""
+    """Report order: clusters of an authority stay together, at the place of their worst member."""
     t = tiers(spark, sf_dir).select("event_id", "user_id", "tier")
-    anchored = t.withColumn("anchor", F.min(F.struct("tier", "event_id")).over(Window.partitionBy("user_id")))
-    part = anchored.repartitionByRange("anchor", "tier", "event_id").sortWithinPartitions("anchor", "tier", "event_id").withColumn("at", F.monotonically_increasing_id())
-    part = part.withColumn("p", F.shiftright("at", 33))
-    sizes = part.groupBy("p").agg(F.count("*").alias("n"))
-    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return part.join(F.broadcast(before), "p").select("event_id", (F.col("before") + (F.col("at") - F.shiftleft(F.col("p"), 33)) + 1).alias("place"))
+    anchor = t.groupBy("user_id").agg(F.min(F.struct("tier", "event_id")).alias("anchor"))
+    anchored = t.join(anchor, "user_id")
+    bucket = F.struct(F.col("anchor.tier").alias("tier"), F.floor(F.col("anchor.event_id") / D.RANGE).alias("range"))
+    return D.placed(anchored, bucket, ["anchor", "tier", "event_id"]).select("event_id", "place")
 
 
 @query("SELECT first_line, count(DISTINCT source) AS owners FROM (SELECT source, string_split(text, chr(10))[1] AS first_line FROM documents) GROUP BY 1 HAVING count(DISTINCT source) > 1")

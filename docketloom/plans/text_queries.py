@@ -165,7 +165,8 @@ def doubling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_duplicate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
+    # the digest travels, not the text
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
 
 
 @query("SELECT p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) = 1")
@@ -199,7 +200,7 @@ def finding_fingerprint_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", D.fingerprint(F.col("event_type"), F.col("user_id").cast("string"), F.lit("finding")).alias("fp"))
     known = events.where("event_id % 3 = 0").select("fp").distinct()
     new = events.where("event_id % 3 <> 0").join(known, "fp", "left_anti").groupBy("fp").agg(F.min("event_id").alias("first_event"))
-    return new.withColumn("id", F.row_number().over(Window.orderBy("first_event")).cast("long"))
+    return D.placed(new, F.floor(F.col("first_event") / D.RANGE), ["first_event"], "id")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages")
