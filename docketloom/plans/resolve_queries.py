@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as A
 from ..functions import normalize as N
 from ..operators import resolve as R
-from .match_queries import STOPS, sql_tokens
+from .match_queries import sql_tokens
 from .registry import query, table
 
 NAME = """CASE p_partkey % 6 WHEN 0 THEN 'In re ' || p_name WHEN 1 THEN p_name || ' vs. ' || p_type || ', 12 F.3d 345' WHEN 2 THEN p_name || ', v. ' || p_type || ' (1999)' WHEN 3 THEN '*' || p_name || '* V. ' || p_type ELSE p_name || ' v ' || p_type || ',' END"""
