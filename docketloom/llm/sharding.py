@@ -6,7 +6,9 @@ is. Pass two shuffles each bucket (Spark's ``shuffle`` is a Fisher-Yates shuffle
 writes it. Buckets in a row give a random order of the whole table; equal stretches of
 it are the shards, so row counts differ by one at most (law ``rows``).
 
-Copies of a text have hashes of their own and spread over all buckets. Edge cases: a
+A row's hash takes its place in the input along with its doc_id and text, so copies of a text, and rows that are
+equal in every column, spread over all buckets. ``docs`` must be a stored table, whose rows keep their places when a task runs
+again. In a bucket rows are sorted by that place before they are shuffled. Edge cases: a
 null text has size 8 and the CRC of the empty text; null and repeated doc_ids are kept;
 with fewer rows than shards some shards stay empty; an empty table gives no rows.
 """
@@ -29,9 +31,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 17, bucke
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     buckets = max(1, -(-total["b"] // bucket_bytes))
     rows = total["n"]
-    meta = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars") if c in docs.columns]
-    spread = docs.select(F.pmod(F.xxhash64(F.lit(seed), *meta), F.lit(buckets)).alias("bucket"), F.struct(*docs.columns).alias("record"))
-    gathered = spread.groupBy("bucket").agg(F.collect_list("record").alias("records"))
+    numbered = docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("place"))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "place", "record.doc_id", "record.text"), F.lit(buckets))
+    spread = numbered.select(chosen.alias("bucket"), F.struct("place", "record").alias("r"))
+    gathered = spread.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["record"]).alias("records"))
     mixed = write(gathered.select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("pos", "record")), f"{path}/mixed")
     # where each bucket begins: sums inside groups of buckets, then over the groups
     counts = mixed.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("g", F.floor(F.col("bucket") / GROUP))

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from docketloom.llm import queries, sharding
+from docketloom.llm.common import shared_dir
 from tests.llm import samples
 
 
@@ -35,5 +36,14 @@ def test_documents(spark):
     assert order != sorted(order) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_equal_rows_fill_all_buckets(spark):
+    """Rows without ids and with equal texts spread evenly, so no task gets them all."""
+    path = f"{shared_dir(spark, 't')}"
+    docs = spark.range(0, 3000, numPartitions=3).selectExpr("cast(null as long) doc_id", "'the same text' text")
+    rows = sharding.shuffle_into_shards(docs, shards=4, bucket_bytes=3000 * 21 // 30, path=path).collect()
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/mixed").groupBy("bucket").count().collect()]
+    assert len(rows) == 3000 and len(sizes) == 30 and max(sizes) < 200
+
+
 def test_empty_table(spark):
     assert sharding.shuffle_into_shards(samples.empty(spark)).count() == 0
