@@ -2,8 +2,9 @@
 
 Statistics are expressions of the text alone; nothing is shuffled for them. A decision list is
 learned by sequential covering: a rule grows threshold by threshold (FOIL gain) on two thirds
-of a bounded sample of labelled rows, is pruned on the last third, and joins the list when it is
-precise enough there; rows it covers leave the sample. The list becomes one ordered conditional
+(of the good and of the bad rows) of a bounded sample of labelled rows that pass the base rule, is pruned on the last third, and
+joins the list when it is precise enough there; rows it covers leave the sample. A rule that is not precise
+enough is left out, the bad rows that it grew on stop growing rules, and the search goes on. The list becomes one ordered conditional
 expression. The sample's bound is a documented parameter (``most_rows``); all else covers all rows.
 
 Edge cases: null, empty and wordless texts have zero statistics and fail the base rule; texts
@@ -160,24 +161,32 @@ def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule,
     return best
 
 
-def learn(rows: list[tuple], precision: float = 0.9, least: int = 5, most_rules: int = 16) -> list[Rule]:
-    """Rules, in order, that mark bad rows. ``rows``: FEATURES and a label (1 good, 0 bad)."""
+def learn(rows: list[tuple], precision: float = 0.9, least: int = 4, most_rules: int = 16) -> list[Rule]:
+    """Rules, in order, that mark bad rows. ``rows``: FEATURES and a label (1 good, 0 bad). A rule covers ``least`` rows, one or more of them not grown on."""
     if not rows:
         return []
     table = np.array(rows, float)
     x = {f: table[:, i] for i, f in enumerate(FEATURES)}
-    bad, third = table[:, -1] == 0, np.arange(len(table)) % 3 == 2
-    left, out = np.ones(len(table), bool), []
-    while len(out) < most_rules:
-        a, b = left & ~third, left & third
-        if (bad & a).sum() < least:
-            break
+    bad = table[:, -1] == 0
+    third = np.zeros(len(table), bool)
+    for kind in (bad, ~bad):
+        third[np.flatnonzero(kind)[2::3]] = True
+    left, seeds, out = np.ones(len(table), bool), bad & ~third, []
+    while len(out) < most_rules and seeds.sum() >= 2:
+        a, b = left & ~third & (seeds | ~bad), left & third
         rule = grow({f: v[a] for f, v in x.items()}, bad[a])
+        if not rule:
+            break
+        grown = covers(rule, x, len(table))
         rule, right, cover = prune(rule, {f: v[b] for f, v in x.items()}, bad[b])
-        if not rule or right < precision or cover < least:
+        held = covers(rule, x, len(table)) & left
+        if rule and cover and right >= precision and held.sum() >= least and (held & bad).sum() >= precision * held.sum():
+            out.append(rule)
+            left &= ~held
+        tried = seeds & (grown | ~left)
+        if not tried.any():
             break
-        out.append(rule)
-        left &= ~covers(rule, x, len(table))
+        seeds &= ~tried
     return out
 
 
@@ -193,15 +202,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[tuple]:
-    """At most ``most_rows`` labelled rows in the order of a hash of their doc_ids."""
+    """At most ``most_rows`` labelled rows that pass the base rule, in the order of a hash of their doc_ids."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most_rows)
+    rows = stats.where(~base_failed()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most_rows)
     return [tuple(r) for r in rows.select(*FEATURES, "quality").collect()]
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, base counts, base_failed and kept for every row of ``docs``."""
     stats = stage(statistics(docs), "statistics")
     rules = learn(labelled_sample(stats, labels, most_rows))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = base_failed()
     return stats.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))

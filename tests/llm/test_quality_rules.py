@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from docketloom.llm import quality_rules, queries
@@ -53,6 +54,47 @@ def test_learned_rules_are_thresholds():
     assert len(rules) == 1 and rules[0][0].feature == "symbol_ratio" and rules[0][0].above
 
 
+def test_the_list_decides_on_small_data(spark):
+    """On sf0.01 the learned rules, not the base rule alone, tell bad rows from good ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stats = quality_rules.statistics(samples.documents(spark, sf))
+    rows = quality_rules.labelled_sample(stats, labels)
+    rules = quality_rules.learn(rows)
+    assert rules and len(rows) < labels.count()
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    passed = [(r.kept, quality[r.doc_id]) for r in quality_rules.judge(samples.documents(spark, sf), labels).collect() if r.doc_id in quality and not r.base_failed]
+    bad = [kept for kept, q in passed if q == 0]
+    assert len(bad) >= 20 and sum(bad) <= 0.1 * len(bad) and all(kept for kept, q in passed if q == 1)
+
+
+def test_the_verdict_is_the_first_rule_that_holds(spark):
+    """The learned list as a column against the list read row by row."""
+    rng = np.random.default_rng(2)
+    names = quality_rules.FEATURES
+    rows = [tuple(float(v) for v in rng.integers(0, 5, len(names))) for _ in range(300)]
+    rules = [tuple(quality_rules.Condition(names[int(rng.integers(len(names)))], bool(rng.integers(2)), float(rng.integers(5))) for _ in range(2)) for _ in range(3)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *names])
+    got = {r.i: r.v for r in frame.select("i", quality_rules.verdict(rules).alias("v")).collect()}
+
+    def keeps(row):
+        x = dict(zip(names, row, strict=True))
+        return not any(all(x[c.feature] > c.threshold if c.above else x[c.feature] <= c.threshold for c in rule) for rule in rules)
+
+    assert got == {i: keeps(r) for i, r in enumerate(rows)}
+
+
+def test_search_goes_on_after_a_rule_that_fails():
+    """Words of a middling length are bad where rules grow and good where they are judged; upper case marks other bad rows."""
+    rows = [(100, 5, 0.0, 0, 0, 1, 0.0, 0, 0.0, 0, 9, 1) for _ in range(300)]
+    rows += [(100, 7, 0.0, 0, 0, 1, 0.0, 0, 0.0, 0, 9, 0) for i in range(90)]
+    for i in range(90):  # every third of the bad rows is judged on: there the first mark has as many good rows
+        rows.append((100, 7 if i % 3 == 2 else 5, 0.0, 0, 0, 1, 0.0, 0, 0.0, 0, 9, 1))
+    rows += [(100, 5, 0.0, 0, 0, 1, 0.8, 0, 0.0, 0, 9, 0) for _ in range(30)]
+    rules = quality_rules.learn(rows)
+    assert [c.feature for rule in rules for c in rule] == ["upper_ratio"]
+
+
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(samples.empty(spark), labels).count() == 0
