@@ -8,16 +8,18 @@ start in a document with a smaller doc_id; a word goes when a window over it doe
    words alone, so equal windows contain equal anchors at equal places. A node of the graph is
    an anchor's k-mer, an edge the words from one anchor to the end of the next.
 2. Aggregation by node (map-side combining, so very common passages are no hot spot) gives the
-   least and the greatest document and whether one edge alone leaves and enters it. Nodes of
+   least and the greatest document, where the least has it, and whether one edge alone leaves and enters it. Nodes of
    one document need no more work.
-3. Compaction. A Spark join brings the repeated nodes back to their documents, where
-   nonbranching edges join them into paths. All windows inside a path occur in exactly the
+3. Compaction. A Spark join brings the repeated nodes back to their documents, where a node joins the one before it
+   if a nonbranching edge leads to it: runs of such nodes are paths, one row each. All windows inside a path occur in exactly the
    documents of its nodes, so a path is settled by one comparison.
-4. Verification by coordinates. Windows over repeated nodes that leave a path (at branches and
-   ends) are compared one by one: grouped by their hashes, the least document wins, and the
-   hits return to their coordinates.
+4. Windows over repeated nodes that leave a path (at branches and
+   ends) are compared one by one: grouped by their hashes, the least document wins, and hits that go on side by side
+   in a document and its source become one span.
+5. Verification by source coordinates. Every span names the place of its words in a smaller document. The words there are read
+   again, whole spans by SHA-256, and only a span whose own words are the same is removed.
 
-Words, k-mers, edges and windows are compared by 64-bit hashes. Edge cases: null and empty
+K-mers, edges and windows are found by 64-bit hashes; nothing is removed on their word alone. Edge cases: null and empty
 texts have no words; shorter documents than a window lose nothing; a null doc_id counts as
 larger than any other; documents with equal doc_ids never remove words from each other, nor
 does a document from itself.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, of_process, shared_dir, sliding, small, stage, window_hashes, write
@@ -89,52 +91,43 @@ def _graph(k: int, window: int):
     return run
 
 
-def _spans(k: int, window: int):
-    """Per document with repeated nodes: spans of paths first seen in smaller documents, and windows to compare one by one."""
+def _windows(k: int, window: int):
+    """Per document with repeated nodes (the first and last node of each run): its windows that no path settles, to compare one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = of_process(WordHashes)
         for batch in batches:
-            out = [[], [], [], []]  # uid, rank, start, (end | hash)
-            kinds = []
-            for row, text in zip(batch.select(["uid", "rank", "at", "nodes"]).to_pylist(), texts_of(batch), strict=True):
+            out = [[np.empty(0, np.int64)] for _ in range(4)]
+            for row, text in zip(batch.select(["uid", "rank", "runs"]).to_pylist(), texts_of(batch), strict=True):
                 h = hashes.of(text.split())
-                at = np.array(row["at"], np.int64)
-                found = sorted((x["i"], x["first"], x["one_out"], x["one_in"]) for x in row["nodes"])
                 windows = np.zeros(max(0, len(h) - window + 1) + 1, bool)
                 inside = np.zeros(len(windows), bool)
-                x = 0
-                while x < len(found):
-                    y = x
-                    while y + 1 < len(found) and found[y + 1][0] == found[y][0] + 1 and found[y][2] and found[y + 1][3]:
-                        y += 1
-                    start, end = int(at[found[x][0]]), int(at[found[y][0]]) + k
-                    windows[max(0, start + k - window) : end - k + 1] = True
-                    if end - start >= window:
-                        inside[start : end - window + 1] = True
-                        if found[x][1] < row["rank"]:
-                            kinds.append((row["uid"], row["rank"], start, end, None))
-                    x = y + 1
+                for x in row["runs"]:
+                    windows[max(0, x["start"] + k - window) : x["end"] - k + 1] = True
+                    if x["end"] - x["start"] >= window:
+                        inside[x["start"] : x["end"] - window + 1] = True
                 windows[-1] = False  # one past the last window
                 p = np.flatnonzero(windows & ~inside)
-                if len(p):
-                    w = window_hashes(h, window)[p]
-                    out[0].append(np.full(len(p), row["uid"]))
-                    out[1].append(np.full(len(p), row["rank"]))
-                    out[2].append(p)
-                    out[3].append(w.view(np.int64))
-            n = sum(map(len, out[0]))
-            cat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            spans = list(zip(*kinds, strict=True)) or [[]] * 5
-            m = len(kinds)
-            cols = [np.r_[np.array(spans[j], np.int64), cat[j]] for j in range(3)]
-            end = pa.array([*spans[3], *[None] * n], pa.int64())
-            hash_ = pa.array(np.r_[np.zeros(m, np.int64), cat[3]], mask=np.r_[np.ones(m, bool), np.zeros(n, bool)])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), end, hash_], ["uid", "rank", "start", "end", "hash"])
+                for col, v in zip(out, (np.full(len(p), row["uid"]), np.full(len(p), row["rank"]), p, window_hashes(h, window)[p].view(np.int64)), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["uid", "rank", "start", "hash"])
 
     return run
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the words of a source at the places that are asked for; null where it has too few words."""
+    for batch in batches:
+        out = [[], [], [], []]
+        for uid, wanted, text in zip(batch.column("uid").to_pylist(), batch.column("wanted_spans").to_pylist(), texts_of(batch), strict=True):
+            words = text.split()
+            for w in wanted:
+                part = words[w["start"] : w["start"] + w["n"]]
+                for col, v in zip(out, (uid, w["start"], w["n"], hashlib.sha256(b" ".join(part)).digest() if len(part) == w["n"] else None), strict=True):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["src_uid", "src_start", "n", "digest"])
+
+
 def _cut(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +136,9 @@ def _cut(full: bool):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for s in spans:
-                    gone[s["start"]] += 1
-                    gone[s["end"]] -= 1
+                    if hashlib.sha256(b" ".join(words[s["start"] : s["end"]])).digest() == s["digest"]:  # the words at its source
+                        gone[s["start"]] += 1
+                        gone[s["end"]] -= 1
                 gone = (np.cumsum(gone)[:-1] > 0).tolist()
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
                 uids.append(uid)
@@ -157,18 +151,40 @@ def _cut(full: bool):
     return run
 
 
+def compact(back: DataFrame, k: int) -> DataFrame:
+    """Paths of repeated nodes: uid, rank, start, end, src. ``back``: uid, rank, i, at, src, one_out, one_in of repeated nodes in their documents.
+
+    A node goes on with the path of the one before it (i - 1) if a single edge leaves that and a single one enters it. Documents are
+    windows of their own; a path keeps the source of its first node.
+    """
+    order = Window.partitionBy("uid").orderBy("i")
+    joins = (F.lag("i").over(order) == F.col("i") - 1) & F.lag("one_out").over(order) & F.col("one_in")
+    runs = back.withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
+    paths = runs.groupBy("uid", "run").agg(F.min("rank").alias("rank"), F.min("at").alias("start"), (F.max("at") + k).alias("end"), F.min_by("src", "i").alias("src"))
+    return paths.select("uid", "rank", "start", "end", "src")
+
+
+def spans_of(hits: DataFrame, window: int) -> DataFrame:
+    """Hits (uid, start, src_uid, src_start) that go on side by side in a document and its source, as spans (uid, start, end, src_uid, src_start)."""
+    aside = hits.withColumn("shift", F.col("start") - F.col("src_start"))
+    order = Window.partitionBy("uid", "src_uid", "shift").orderBy("start")
+    island = aside.withColumn("island", F.col("start") - F.dense_rank().over(order))
+    return island.groupBy("uid", "src_uid", "shift", "island").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"), F.min("src_start").alias("src_start")).drop("shift", "island")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, full: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; ``full`` adds kept_text for documents that lose words."""
     path = shared_dir(docs.sparkSession, "substring-dedup")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     graph = write(docs.mapInArrow(_graph(k, window), DOC), f"{path}/graph")
-    around = F.arrays_zip(F.col("node").alias("h"), F.concat("edge", F.array(F.lit(0).cast("long"))).alias("out"), F.concat(F.array(F.lit(0).cast("long")), "edge").alias("into"))
-    seen = graph.where(F.size("node") > 0).select("rank", F.explode(around).alias("x")).select("rank", "x.h", "x.out", "x.into")
-    nodes = seen.groupBy("h").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.min("out").alias("o1"), F.max("out").alias("o2"), F.min("into").alias("i1"), F.max("into").alias("i2"))
-    nodes = write(nodes.where("first < last").select("h", "first", F.expr("o1 = o2 and o1 <> 0").alias("one_out"), F.expr("i1 = i2 and i1 <> 0").alias("one_in")), f"{path}/nodes")
-    places = graph.where(F.size("node") > 0).select("uid", F.posexplode("node").alias("i", "h"))
-    back = places.join(nodes, "h").groupBy("uid").agg(F.collect_list(F.struct("i", "first", "one_out", "one_in")).alias("nodes"))
-    back = write(graph.select("uid", "doc_id", "rank", "text_key", "at").join(back, "uid"), f"{path}/repeated")
+    none = F.array(F.lit(0).cast("long"))
+    around = F.arrays_zip(F.col("node").alias("h"), F.col("at").alias("at"), F.concat("edge", none).alias("out"), F.concat(none, "edge").alias("into"))
+    seen = graph.where(F.size("node") > 0).select("uid", "rank", F.explode(around).alias("x")).select("uid", "rank", "x.h", "x.at", "x.out", "x.into")
+    nodes = seen.groupBy("h").agg(F.min(F.struct("rank", "uid", "at")).alias("src"), F.max("rank").alias("last"), F.min("out").alias("o1"), F.max("out").alias("o2"), F.min("into").alias("i1"), F.max("into").alias("i2"))
+    nodes = nodes.where("src.rank < last").select("h", "src", F.expr("o1 = o2 and o1 <> 0").alias("one_out"), F.expr("i1 = i2 and i1 <> 0").alias("one_in"))
+    nodes = write(nodes, f"{path}/nodes")
+    places = graph.where(F.size("node") > 0).select("uid", "rank", F.posexplode(F.arrays_zip("node", "at")).alias("i", "x")).select("uid", "rank", "i", F.col("x.node").alias("h"), F.col("x.at").cast("long").alias("at"))
+    paths = write(compact(places.join(small(nodes), "h").drop("h"), k), f"{path}/paths")
 
     def with_text(rows: DataFrame) -> DataFrame:
         """Rows (uid, doc_id, text_key, ...) with the texts of their documents; repeated rows may repeat."""
@@ -178,13 +194,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, full: bool
             texts, F.col("wanted").eqNullSafe(F.col("doc_id")) & (F.col("wanted_key") == F.col("text_key"))
         )
 
-    spans = write(with_text(back).mapInArrow(_spans(k, window), "uid long, rank long, start long, end long, hash long"), f"{path}/spans")
-    windows = spans.where("hash is not null")
-    firsts = windows.groupBy("hash").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("hash", "first")
-    hits = windows.join(firsts, "hash").where("first < rank").select("uid", "start", (F.col("start") + window).alias("end"))
-    gone = spans.where("end is not null").select("uid", "start", "end").unionByName(hits)
-    gone = gone.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    gone = write(graph.select("uid", "doc_id", "text_key").join(gone, "uid"), f"{path}/gone")
+    own = graph.select("uid", "doc_id", "text_key")
+    runs = paths.groupBy("uid").agg(F.min("rank").alias("rank"), F.collect_list(F.struct("start", "end")).alias("runs"))
+    windows = write(with_text(write(own.join(runs, "uid"), f"{path}/runs")).mapInArrow(_windows(k, window), "uid long, rank long, start long, hash long"), f"{path}/windows")
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("rank", "uid", "start")).alias("src"), F.max("rank").alias("last")).where("src.rank < last").select("hash", "src")
+    firsts = small(stage(firsts, "firsts"))
+    hits = windows.join(firsts, "hash").where("src.rank < rank").select("uid", "start", F.col("src.uid").alias("src_uid"), F.col("src.start").alias("src_start"))
+    settled = paths.where(f"end - start >= {window} and src.rank < rank").select("uid", "start", "end", F.col("src.uid").alias("src_uid"), F.col("src.at").cast("long").alias("src_start"))
+    spans = write(settled.unionByName(spans_of(hits, window).select(settled.columns)).withColumn("n", F.col("end") - F.col("start")), f"{path}/spans")
+    asked = spans.select(F.col("src_uid").alias("uid"), F.col("src_start").alias("start"), "n").distinct()
+    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("wanted_spans"))
+    sources = with_text(write(own.join(asked, "uid"), f"{path}/asked")).mapInArrow(_digests, "src_uid long, src_start long, n long, digest binary").dropDuplicates(["src_uid", "src_start", "n"])
+    gone = spans.join(sources, ["src_uid", "src_start", "n"]).where("digest is not null").groupBy("uid").agg(F.collect_list(F.struct("start", "end", "digest")).alias("spans"))
+    gone = write(own.join(gone, "uid"), f"{path}/gone")
     changed = with_text(gone).mapInArrow(_cut(full), "uid long, n_removed long, kept_sha256 string" + ", kept_text string" * full)
     out = graph.select("uid", "doc_id", "n_words", "sha").join(changed.dropDuplicates(["uid"]), "uid", "left")
     cols = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
