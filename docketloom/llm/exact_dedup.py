@@ -1,9 +1,12 @@
 """Exact deduplication by a log-structured merge index of digests.
 
 Ingest: each task keeps a memtable (digest -> identifier to keep, count) of bounded
-size and flushes it as a sorted run with a Bloom filter. Compaction: runs merge by
-digest, keeping the smallest (or largest) identifier. Lookup: a batch of digests is
-probed against the filters of the runs and only possible hits are joined. Verification:
+size and flushes it as a sorted run, cut by the digests' first bits into ``ranges`` pieces, each with a
+Bloom filter. Compaction: the pieces of a range merge two by two, the smallest first. One piece is probed against the
+other's filter; only possible hits are searched there, equal digests keep the smallest (or largest) identifier,
+and the merged piece, sorted again, gets a filter of its own. Digests are uniform, so ranges are even, and their number follows
+from the count of rows, so that a range fits in a task. Lookup: digests are probed against
+the filter of their range before the join. Verification:
 the texts of hits are grouped by their bytes, with map-side combining, so two texts
 that share a digest would be told apart.
 
@@ -13,7 +16,9 @@ repeated rows count; an empty table gives an empty index.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +28,74 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, small, stage, write
 
-MEMTABLE = 100_000
+MEMTABLE, RANGE_ROWS = 100_000, 50_000
 FILTER_BITS_PER_KEY, PROBES = 10, 4
-RUN = "run string, digest binary, keep_id long, n long, filter binary"
+RUN = "run string, range int, digests binary, has binary, ids binary, ns binary, filter binary"
+MERGED = "range int, digest binary, keep_id long, n long, filter binary"
 
 
-def bloom(digests: list[bytes]) -> bytes:
+def _places(digests: np.ndarray, size: int) -> np.ndarray:
+    return digests.view("<u8").reshape(len(digests), 4)[:, :PROBES] % np.uint64(size)
+
+
+def bloom(digests: np.ndarray) -> bytes:
     bits = np.zeros(max(64, len(digests) * FILTER_BITS_PER_KEY), bool)
     bits[_places(digests, len(bits)).ravel()] = True
     return np.packbits(bits).tobytes() + len(bits).to_bytes(8, "little")
 
 
-def _places(digests: list[bytes], size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(d[:32] for d in digests), "<u8").reshape(len(digests), 4)[:, :PROBES] % np.uint64(size)
-
-
-def may_hold(filter_: bytes, digests: list[bytes]) -> np.ndarray:
+def may_hold(filter_: bytes, digests: np.ndarray) -> np.ndarray:
     size = int.from_bytes(filter_[-8:], "little")
     bits = np.unpackbits(np.frombuffer(filter_[:-8], np.uint8), count=size).astype(bool)
-    return bits[_places(digests, size)].all(axis=1) if digests else np.zeros(0, bool)
-
-
-def _flush(keep: str, limit: int):
+    return bits[_places(digests, size)].all(axis=1)
+
+
+@dataclass
+class Piece:
+    """Sorted digests (S32) with, for each, whether it has an identifier, the one to keep, and its count."""
+
+    digests: np.ndarray
+    has: np.ndarray
+    ids: np.ndarray
+    ns: np.ndarray
+    filter: bytes
+
+    @staticmethod
+    def sorted(digests: np.ndarray, has: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> Piece:
+        order = np.argsort(digests, kind="stable")
+        digests = np.ascontiguousarray(digests[order])
+        return Piece(digests, has[order], ids[order], ns[order], bloom(digests))
+
+
+def merge(a: Piece, b: Piece, keep: str) -> Piece:
+    """Two pieces to one; ``a`` is probed against the filter of ``b``."""
+    at = np.flatnonzero(may_hold(b.filter, a.digests))
+    to = np.minimum(np.searchsorted(b.digests, a.digests[at]), len(b.digests) - 1)
+    equal = b.digests[to] == a.digests[at]
+    at, to = at[equal], to[equal]
+    has, ids, ns = b.has.copy(), b.ids.copy(), b.ns.copy()
+    better = a.has[at] & (~has[to] | (a.ids[at] > ids[to] if keep == "largest" else a.ids[at] < ids[to]))
+    ids[to[better]] = a.ids[at[better]]
+    has[to] |= a.has[at]
+    ns[to] += a.ns[at]
+    rest = np.ones(len(a.digests), bool)
+    rest[at] = False
+    return Piece.sorted(*(np.concatenate([x, y[rest]]) for x, y in ((b.digests, a.digests), (has, a.has), (ids, a.ids), (ns, a.ns))))
+
+
+def _flush(keep: str, limit: int, ranges: int):
     better = max if keep == "largest" else min
 
     def emit(table: dict, name: str) -> pa.RecordBatch:
-        keys = sorted(table)
-        cols = [[name] * len(keys), keys, [table[k][0] for k in keys], [table[k][1] for k in keys], [bloom(keys), *[None] * (len(keys) - 1)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["run", "digest", "keep_id", "n", "filter"])
+        every = Piece.sorted(np.array(list(table), "S32"), *(np.array(c, t) for c, t in zip(zip(*((i is not None, i or 0, n) for i, n in table.values()), strict=True), (bool, np.int64, np.int64), strict=True)))
+        of = range_of(every.digests, ranges)
+        rows = []
+        for r in np.unique(of).tolist():
+            x, y = np.searchsorted(of, [r, r + 1])
+            d = every.digests[x:y]
+            rows.append((name, r, d.tobytes(), every.has[x:y].tobytes(), every.ids[x:y].tobytes(), every.ns[x:y].tobytes(), bloom(d)))
+        kinds = [pa.string(), pa.int32(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in RUN.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, table, flushed = TaskContext.get().partitionId(), {}, 0
@@ -71,46 +116,80 @@ def _flush(keep: str, limit: int):
     return run
 
 
+def range_of(digests: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges in the order of the digests, by their first four bytes."""
+    first = np.ascontiguousarray(digests).view(">u4").reshape(len(digests), 8)[:, 0].astype(np.uint64)
+    return (first * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _merge_range(keep: str):
+    def run(table: pa.Table) -> pa.Table:
+        heap = []
+        for i, (d, has, ids, ns, f) in enumerate(zip(*(table.column(c).to_pylist() for c in ("digests", "has", "ids", "ns", "filter")), strict=True)):
+            heap.append((len(d), i, Piece(np.frombuffer(d, "S32"), np.frombuffer(has, bool), np.frombuffer(ids, np.int64), np.frombuffer(ns, np.int64), f)))
+        heapq.heapify(heap)
+        serial = len(heap)
+        while len(heap) > 1:
+            (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            whole = merge(a, b, keep)
+            heapq.heappush(heap, (32 * len(whole.digests), serial := serial + 1, whole))
+        p, n, whole = heap[0][2], len(heap[0][2].digests), heap[0][2].digests.tobytes()
+        cols = {
+            "range": pa.array(np.full(n, table.column("range")[0].as_py()), pa.int32()),
+            "digest": pa.array([whole[i : i + 32] for i in range(0, 32 * n, 32)], pa.binary()),
+            "keep_id": pa.array(p.ids, pa.int64(), mask=~p.has),
+            "n": pa.array(p.ns, pa.int64()),
+            "filter": pa.array([p.filter, *[None] * (n - 1)], pa.binary()),
+        }
+        return pa.table(cols)
+
+    return run
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
     """docs with ``text`` not null and its SHA-256 as ``digest``."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def ingest(digests: DataFrame, path: str, keep: str = "largest", limit: int = MEMTABLE) -> DataFrame:
-    """Append the sorted runs of ``digests`` (doc_id, digest) to level 0 of the index at ``path``."""
-    runs = digests.select("doc_id", "digest").mapInArrow(_flush(keep, limit), RUN)
+def ranges_for(rows: int) -> int:
+    return max(1, -(-rows // RANGE_ROWS))
+
+
+def ingest(digests: DataFrame, path: str, keep: str = "largest", limit: int = MEMTABLE, ranges: int | None = None) -> DataFrame:
+    """Append the sorted runs of ``digests`` (doc_id, digest) to level 0 of the index at ``path``. All runs of an index have the same ``ranges``."""
+    ranges = ranges or ranges_for(digests.count())
+    runs = digests.select("doc_id", "digest").mapInArrow(_flush(keep, limit, ranges), RUN)
     runs.write.mode("append").option("compression", "zstd").parquet(f"{path}/level0")
     return digests.sparkSession.read.schema(RUN).parquet(f"{path}/level0")
 
 
 def compact(runs: DataFrame, path: str, keep: str = "largest") -> DataFrame:
-    """Merge runs into one level of sorted, disjoint digests."""
-    best = F.max if keep == "largest" else F.min
-    merged = runs.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    return write(merged.sortWithinPartitions("digest"), f"{path}/level1")
+    """Merge runs into one level of sorted, disjoint digests; the first digest of a range carries the range's filter."""
+    merged = runs.groupBy("range").applyInArrow(_merge_range(keep), MERGED)
+    return write(merged, f"{path}/level1")
 
 
-def lookup(index_runs: DataFrame, digests: DataFrame, most_runs: int = 64) -> DataFrame:
-    """Rows of ``digests`` (doc_id, digest) found in level-0 runs, with keep_id.
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = []
+        for f, l in zip(batch.column("filter").to_pylist(), batch.column("l").to_pylist(), strict=True):
+            hits += [l[i] for i in np.flatnonzero(may_hold(f, np.array(l, "S32"))).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary())], ["digest"])
 
-    While there are at most ``most_runs`` runs, their filters (bounded by the memtable's size)
-    go to every task and rule out most misses before the join; with more runs, compact first.
-    """
-    filters = [bytes(r[0]) for r in index_runs.where(F.col("filter").isNotNull()).select("filter").limit(most_runs + 1).collect()]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_pylist()
-            hit = np.zeros(len(keys), bool)
-            for f in filters:
-                hit |= may_hold(f, keys)
-            yield batch.filter(pa.array(hit))
-
-    rows = digests.select("doc_id", "digest")
-    if len(filters) <= most_runs:
-        rows = rows.mapInArrow(probe, "doc_id long, digest binary")
-    return rows.join(index_runs.groupBy("digest").agg(F.max("keep_id").alias("keep_id")), "digest").select("doc_id", "digest", "keep_id")
+def lookup(index: DataFrame, digests: DataFrame, ranges: int) -> DataFrame:
+    """Rows of ``digests`` (doc_id, digest) found in a compacted index of so many ranges, with its keep_id: the smallest or largest, as it was built.
+
+    Distinct digests meet their range's filter in lists of at most a thousand or so; only those it may hold join the index.
+    """
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    new = digests.select("digest").distinct().withColumn("range", F.floor(first * ranges / F.lit(1 << 32)).cast("int"))
+    lists = new.groupBy("range", F.pmod(F.xxhash64("digest"), F.lit(max(1, RANGE_ROWS // 1000))).alias("part")).agg(F.collect_list("digest").alias("l"))
+    filters = index.where(F.col("filter").isNotNull()).select("range", "filter")
+    hits = lists.join(filters, "range").select("filter", "l").mapInArrow(_probe, "digest binary")
+    found = index.select("digest", "keep_id").join(hits, "digest")
+    return digests.select("doc_id", "digest").join(found, "digest").select("doc_id", "digest", "keep_id")
 
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
