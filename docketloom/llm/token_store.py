@@ -3,8 +3,13 @@
 Layout under one folder, all Parquet: ``raw/kind=chunk`` (key: digest, payload: ids as
 little-endian unsigned integers of 16 or 32 bits, each distinct chunk once),
 ``recipes`` (one row per document in ascending doc_id order: segment, n_tokens,
-the digests and ends of its chunks, its Merkle root) and ``manifest`` (Merkle
-roots over blocks of recipes and over the blocks of a segment).
+the digests and ends of its chunks, its Merkle root) and ``manifest`` (a Merkle tree:
+one root for each block of 1024 recipes over the roots and lengths of its recipes, one for each segment over its
+blocks' roots, one for the store over its segments').
+
+Reading verifies all of it: the tree is built anew from the recipes and must equal the manifest in every node, a recipe's
+root must be that of its digests, a chunk must match its digest, and a document's chunks must be there and
+have its recorded length together. A missing or altered chunk, recipe or node raises.
 
 Chunk ends come from a rolling (gear) hash over the last 32 ids, so equal runs of
 ids in different documents give equal chunks. Payloads pass through one shuffle,
@@ -19,6 +24,7 @@ an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -32,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, of_process, shared_dir, small, write
+from .common import Recent, of_process, shared_dir, small, stage, write
 
 MIN_IDS, MASK_BITS, MAX_IDS = 128, 9, 2048
 BLOCK = 1024
@@ -43,6 +49,17 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 GEAR = np.random.default_rng(20240601).integers(0, 2**32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
+# How a tokenizer whose ids encode() can gather by words treats its text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct word once.
 
@@ -56,7 +73,14 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), Recent(CACHE_WORDS)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        # what encode() relies on; any other tokenizer gets whole texts
+        special = all(t["content"].startswith("<") and not t["normalized"] for t in told["added_tokens"])
+        self.by_words = special and [told["normalizer"], told["pre_tokenizer"], told["model"]["type"], told["model"].get("dropout")] == [NORMALIZER, PRE_TOKENIZER, "BPE", None]
 
     def library(self, pieces: list[bytes]) -> None:
         """Ids of pieces without white space, many to a call; word numbers, else offsets, tell whose they are."""
@@ -96,6 +120,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids end."""
+        if not self.by_words:
+            got = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*got, np.empty(0, self.dtype)]), np.cumsum([len(x) for x in got], dtype=np.int64)
         lower = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))  # "<" may begin a special token, which has a case
         split = pc.ascii_split_whitespace(lower)
         coded = split.flatten().dictionary_encode()
@@ -120,17 +147,21 @@ def by_bytes(texts: pa.Array, most: int = SLICE) -> Iterator[slice]:
         at = to
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash's top bits are zero, between the least and largest length."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash's top bits are zero, for many documents on end: a chunk has more ids than the
+    hash looks back on, so a mark that counts never depends on the document before."""
     h = GEAR[ids & 0xFFFF]
     for shift in (1, 2, 4, 8, 16):
         if len(h) > shift:
             h = h.copy()
             h[shift:] += h[:-shift] << np.uint32(shift)
-    marks = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
+    return np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
+
+
+def cuts(marked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids: at marks, between the least and largest length."""
     ends, start = [], 0
-    for m in marks.tolist():
+    for m in marked:
         while m - start > MAX_IDS:
             start += MAX_IDS
             ends.append(start)
@@ -162,19 +193,21 @@ ENTRY = "key binary, payload binary, doc_id long, n_tokens long, digests array<b
 
 def _encode(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width, end = of_process(WordEncoder, path, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype)
+        encoder, width = of_process(WordEncoder, path, dtype), np.dtype(dtype).itemsize
         sent: set[bytes] = set()
         task, count = TaskContext.get().partitionId(), 0
         for doc_ids, texts in ((b.column(0)[part], t[part]) for b in batches for t in [pc.fill_null(b.column(1), "")] for part in by_bytes(t)):
             rows: list[tuple] = []
             every, to = encoder.encode(texts)
-            for doc_id, x, y in zip(doc_ids.to_pylist(), [0, *to[:-1].tolist()], to.tolist(), strict=True):
-                ids = np.concatenate([every[x:y], end])
-                got, digests, ends, at = ids.tobytes(), [], [], 0
-                for e in cuts(ids):
-                    payload = got[at * width : e * width]
+            ids, stops = np.insert(every, to, end_id), to + np.arange(1, len(to) + 1)
+            begins, data, found = np.r_[0, stops[:-1]], ids.tobytes(), marks(ids)
+            low, high = np.searchsorted(found, begins, "right"), np.searchsorted(found, stops, "right")
+            for doc_id, x, y, i, j in zip(doc_ids.to_pylist(), begins.tolist(), stops.tolist(), low.tolist(), high.tolist(), strict=True):
+                digests, at = [], 0
+                ends = cuts((found[i:j] - x).tolist() if y - x >= MIN_IDS else [], y - x)
+                for e in ends:
+                    payload = data[(x + at) * width : (x + e) * width]
                     digests.append(d := digest_of(payload))
-                    ends.append(e)
                     at = e
                     if d not in sent:
                         sent.add(d)
@@ -201,12 +234,47 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     recipes = raw.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "ends", "root")
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     written = write(ordered.withColumn("segment", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), f"{path}/recipes")
-    blocks = written.select("segment", "at", "root").withColumn("block", F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK))
-    blocks = blocks.groupBy("segment", "block").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("root").alias("r")))), lambda x: x["r"])), 256).alias("root"))
-    write(blocks, f"{path}/manifest")
+    write(manifest_of(written), f"{path}/manifest")
     return path
 
 
+def _node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [merkle_root([x["leaf"] for x in sorted(l, key=lambda x: x["at"])]) for l in batch.column("l").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("segment", "block", "n")), pa.array(roots, pa.binary())], ["segment", "block", "n", "root"])
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """segment, block, n (children), root of every node. Blocks hold BLOCK recipes; a segment's node has no block, the store's neither."""
+    kind = "segment int, block long, n long, root binary"
+
+    def above(nodes: DataFrame, *by: str) -> DataFrame:
+        grouped = nodes.groupBy(*by).agg(F.collect_list(F.struct("at", "leaf")).alias("l"), F.count("*").alias("n"))
+        if "block" not in by:
+            grouped = grouped.withColumn("block", F.lit(None).cast("long"))
+        if "segment" not in by:
+            grouped = grouped.withColumn("segment", F.lit(None).cast("int"))
+        return grouped.select("segment", "block", "n", "l").mapInArrow(_node, kind)
+
+    at = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    leaf = F.concat("root", F.encode(F.col("n_tokens").cast("string"), "utf-8"))
+    leaves = recipes.select("segment", F.floor(at / BLOCK).alias("block"), "at", leaf.alias("leaf"))
+    blocks = stage(above(leaves, "segment", "block"), "blocks")
+    segments = stage(above(blocks.select("segment", F.col("block").alias("at"), F.col("root").alias("leaf")), "segment"), "segments")
+    store = above(segments.select(F.col("segment").cast("long").alias("at"), F.col("root").alias("leaf")))
+    return blocks.unionByName(segments).unionByName(store)
+
+
+def verify_manifest(spark, path: str) -> None:
+    """Raise unless the tree over the recipes equals the written manifest in every node."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    kind = "segment int, block long, n long, root binary"
+    there, now = spark.read.schema(kind).parquet(f"{path}/manifest"), manifest_of(recipes)
+    changed = there.exceptAll(now).unionByName(now.exceptAll(there)).limit(3).collect()
+    if changed:
+        raise ValueError(f"the recipes do not match the manifest, first at {[(r.segment, r.block) for r in changed]}")
+
+
 def read_index(spark, path: str) -> DataFrame:
     """Recipes with ``start``: the ids of all documents before. Totals of segments are few rows; sums run inside segments."""
     recipes = spark.read.parquet(f"{path}/recipes")
@@ -280,6 +348,8 @@ def _check_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if batch.column("crc").null_count:
+            raise ValueError("a recipe names a chunk that is not in the store")
         crc = shift_crc(batch.column("crc").to_numpy(), batch.column("follow").to_numpy())
         yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("doc_id"), pa.array(crc.astype(np.int64)), batch.column("n")], ["at", "doc_id", "part", "n"])
 
@@ -290,29 +360,40 @@ def read_digests(spark, path: str, dtype: str = "<u2") -> DataFrame:
     Each stored chunk is read and checked against its digest once; documents then need
     only the chunk's length and CRC-32, since CRCs of parts combine by xor.
     """
+    verify_manifest(spark, path)
     chunks = stored_chunks(spark, path).mapInArrow(_read_chunks(dtype), "key binary, crc long, n int")
     recipes = spark.read.parquet(f"{path}/recipes").select("at", "doc_id", "n_tokens", "digests", "ends", "root")
     recipes = recipes.mapInArrow(_check_recipes, recipes.schema)
     parts = recipes.select("at", "doc_id", "n_tokens", F.explode(F.arrays_zip(F.col("digests").alias("d"), F.col("ends").alias("e"))).alias("x"))
     parts = parts.select("at", "doc_id", F.col("x.d").alias("key"), ((F.col("n_tokens") - F.col("x.e")) * 4).alias("follow"))
-    shifted = parts.join(chunks, "key").select("at", "doc_id", "crc", "follow", "n").mapInArrow(_shift, "at long, doc_id long, part long, n int")
+    shifted = parts.join(chunks, "key", "left").select("at", "doc_id", "crc", "follow", "n").mapInArrow(_shift, "at long, doc_id long, part long, n int")
     whole = shifted.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.expr("bit_xor(part)").alias("ids_crc32"), F.sum("n").alias("got"))
     index = read_index(spark, path)
-    return whole.join(index, "at").select("doc_id", "start", F.col("got").alias("n_tokens"), "ids_crc32")
+    length = F.when(F.col("got") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks do not have its recorded length")))
+    return index.join(whole, "at", "left").select("doc_id", "start", length.alias("n_tokens"), "ids_crc32")
 
 
 def _join(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), dtype).astype(np.int64) for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+            out = []
+            for parts, n in zip(batch.column("parts").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
+                if any(p["payload"] is None or digest_of(p["payload"]) != p["key"] for p in parts):
+                    raise ValueError("a chunk is not in the store or does not match its digest")
+                ids = np.frombuffer(b"".join(p["payload"] for p in sorted(parts, key=lambda p: p["i"])), dtype).astype(np.int64)
+                if len(ids) != n:
+                    raise ValueError("a document's chunks do not have its recorded length")
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return run
 
 
 def read_documents(spark, path: str, dtype: str = "<u2") -> DataFrame:
-    """doc_id and the whole array of ids of every document, rebuilt from recipes and chunks."""
-    chunks = stored_chunks(spark, path)
-    parts = spark.read.parquet(f"{path}/recipes").select("at", "doc_id", F.posexplode("digests").alias("i", "key")).join(chunks, "key")
-    whole = parts.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("i", "payload"))).alias("parts"))
-    return whole.select("doc_id", "parts").mapInArrow(_join(dtype), "doc_id long, ids array<long>")
+    """doc_id and the whole array of ids of every document, rebuilt from recipes and chunks and verified like the digests."""
+    verify_manifest(spark, path)
+    recipes = spark.read.parquet(f"{path}/recipes").select("at", "doc_id", "n_tokens", "digests", "ends", "root")
+    recipes = recipes.mapInArrow(_check_recipes, recipes.schema)
+    parts = recipes.select("at", "doc_id", "n_tokens", F.posexplode("digests").alias("i", "key")).join(stored_chunks(spark, path), "key", "left")
+    whole = parts.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.collect_list(F.struct("i", "key", "payload")).alias("parts"))
+    return whole.select("doc_id", "n_tokens", "parts").mapInArrow(_join(dtype), "doc_id long, ids array<long>")
