@@ -53,8 +53,8 @@ def cite_text(volume: Column, reporter: Column, page: Column, listed: Column) ->
 
 
 def cited_year(cite: Column) -> Column:
-    """The last year of 1700 to 2099 in a cite."""
-    return F.try_element_at(F.regexp_extract_all(cite, F.lit(r"\b(?:1[7-9]|20)\d{2}\b"), F.lit(0)), F.lit(-1)).cast("int")
+    """The last year of 1800 to 2099 in a cite."""
+    return F.try_element_at(F.regexp_extract_all(cite, F.lit(r"\b(?:1[89]|20)\d{2}\b"), F.lit(0)), F.lit(-1)).cast("int")
 
 
 def decision_date(cite: Column) -> Column:
