@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup, token_store, toxicity
+from . import bpe, exact_dedup, late_overwrite, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup, token_store, toxicity
+from .common import shared_dir, stage
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,6 +64,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), temperature=0.7, epochs=1.0, seed=29)
 
 
+def op13_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority"]
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet").select(*columns)
+    n = sales.count()
+    h, day = F.crc32(F.col("sale_id").cast("string")), late_overwrite.day_of(F.col("sold_at"))
+    later = lambda c, days: F.col(c) + F.make_dt_interval(days.cast("int"))
+    copies = sales.where((h % 3 == 0) & (day % 4 == 0)).withColumns({"total": F.col("total") + 1, "sold_at": later("sold_at", h % 2), "arrived_at": later("arrived_at", 1 + h % 97)})
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-03-20 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    rows = sales.union(copies)
+    first, late = stage(rows.where(early), "sales-early"), stage(rows.where(~early), "sales-late")
+    layout = late_overwrite.Layout(shared_dir(spark, "sales-layout"), 1 + n // 1100, first.schema)
+    late_overwrite.lay_out(first, layout)
+    started = stage(late_overwrite.files_of(layout, spark), "sales-started")
+    late_overwrite.take_in(late, layout)
+    out = late_overwrite.report(layout, spark, "total", started)
+    return out.select("day", "file_no", "n_rows", "cents", "rows_crc", "path", "columns", "ids_sha256", "rewritten")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op13_late_overwrite": op13_late_overwrite,
 }
 
 def _secret_oracle() -> str:
