@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, late_overwrite, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup, token_store, toxicity, whitening
+from . import bpe, exact_dedup, late_overwrite, mixing, ngram_join, pieces, quality_rules, secret_scan, sharding, substring_dedup, token_store, toxicity, whitening
 from .common import shared_dir, stage
 
 
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), temperature=0.7, epochs=1.0, seed=29)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_pieces": op11_pieces,
     "op12_whitening": op12_whitening,
     "op13_late_overwrite": op13_late_overwrite,
 }
