@@ -1,70 +1,121 @@
-"""Reference and charge graphs: closures by recursive SQL, validation by joins, numbering.
+"""Reference and charge graphs: closures, components and cycles in rounds of joins, validation, numbering.
 
-Closures keep the least depth of each node (breadth first). Cycles end the recursion, as a path
-never repeats a node.
+Every round joins what the round before found to the edges and writes it to the shared folder. Nodes
+and edges are never gathered. Null ends make no edge; repeated edges count once.
 """
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import shared_dir, stage, written
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
-    """root, node, depth: nodes reached from each root within ``depth`` steps. ``edges``: src, dst; ``roots``: root."""
-    walked = edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(root, node, depth, path) AS (
-            SELECT root, root, 0, array(root) FROM {{roots}}
-            UNION ALL
-            SELECT w.root, e.dst, w.depth + 1, array_append(w.path, e.dst) FROM walk w JOIN {{edges}} e ON e.src = w.node
-            WHERE w.depth < {depth} AND NOT array_contains(w.path, e.dst))
-        SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node""", edges=edges, roots=roots)
-    return walked
+
+def known_edges(edges: DataFrame) -> DataFrame:
+    """src, dst once each, without nulls, as a table of its own."""
+    return stage(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """node, label, depth: every label carried along the edges, with the least number of steps it takes (at most ``most``).
+
+    ``seeds``: node, label. Each round joins only the pairs that are new to the edges and leaves out those known, so a pair
+    travels once, however many ways lead to it; rounds end when there is nothing new.
+    """
+    spark, folder = edges.sparkSession, shared_dir(edges.sparkSession, "spread")
+    e = known_edges(edges)
+    new = written(seeds.select("node", "label", F.lit(0).alias("depth")).where("node is not null").distinct(), f"{folder}/0")
+    paths = [f"{folder}/0"]
+    while (most is None or len(paths) <= most) and not new.isEmpty():
+        known = spark.read.schema(new.schema).parquet(*paths)
+        reached = new.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
+        fresh = reached.alias("r").join(known.alias("k"), (F.col("r.node") == F.col("k.node")) & F.col("r.label").eqNullSafe(F.col("k.label")), "left_anti")
+        new = written(fresh.select("node", "label", F.lit(len(paths)).alias("depth")), f"{folder}/{len(paths)}")
+        paths.append(f"{folder}/{len(paths)}")
+    return spark.read.schema(new.schema).parquet(*paths)
+
+
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = 2) -> DataFrame:
+    """root, node, depth: nodes reached from each root within ``depth`` steps (None: any number). ``edges``: src, dst; ``roots``: root."""
+    return spread(edges, roots.select(F.col("root").alias("node"), F.col("root").alias("label")), depth).select(F.col("label").alias("root"), "node", "depth")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """src, dst: all pairs with a way of one step or more, of any length. The graph is walked in one task."""
-    kind = edges.schema["src"].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            after.setdefault(a, set()).add(b)
-        pairs = []
-        for root in after:
-            seen, todo = set(), list(after[root])
-            while todo:
-                if (node := todo.pop()) not in seen:
-                    seen.add(node)
-                    todo += after.get(node, ())
-            pairs += [(root, node) for node in seen]
-        return pd.DataFrame(pairs, columns=["src", "dst"])
-
-    known = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    return known.groupBy().applyInPandas(walk, f"src {kind}, dst {kind}")
+    """src, dst: all pairs with a way of one step or more."""
+    return spread(edges, edges.select(F.col("dst").alias("node"), F.col("src").alias("label")).where("label is not null")).select(F.col("label").alias("src"), F.col("node").alias("dst"))
+
+
+def least_before(edges: DataFrame) -> DataFrame:
+    """node, least: of all nodes with a way to a node, and itself, the first by hash. Only colours that changed travel on."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state = stage(ends.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("least"), F.lit(True).alias("changed")), "colours")
+    while not state.where("changed").isEmpty():
+        offers = state.where("changed").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("least").alias("offer"))
+        both = state.join(offers, F.col("node") == F.col("dst"), "left")
+        state = stage(both.select("node", F.least("least", "offer").alias("least"), F.coalesce(F.col("offer") < F.col("least"), F.lit(False)).alias("changed")), "colours")
+    return state.select("node", "least")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: strongly connected components, each named by its least node; a node on no cycle is its own.
+
+    Forward and backward colouring: a node whose first ancestor and first descendant are the same lies in that node's component; edges
+    between nodes that differ in either are in none and go. First is by hash, so what is left halves from round to round, as in quicksort.
+    """
+    all_edges = known_edges(edges)
+    live = stage(all_edges.where("src <> dst"), "live")
+    spark, folder, paths = edges.sparkSession, shared_dir(edges.sparkSession, "components"), []
+    while not live.isEmpty():
+        forward, backward = least_before(live), least_before(turned(live)).withColumnRenamed("least", "back")
+        coloured = stage(forward.join(backward, "node"), "coloured")
+        paths.append(f"{folder}/{len(paths)}")
+        written(coloured.where("least = back").select("node", F.col("least.n").alias("head")), paths[-1])
+        open_ = coloured.where("least <> back").select("node", F.struct("least", "back").alias("c"))
+        left = live.join(open_.select(F.col("node").alias("src"), F.col("c").alias("c_src")), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("c_dst")), "dst")
+        live = stage(left.where("c_src = c_dst").select("src", "dst"), "live")
+    nodes = all_edges.select(F.col("src").alias("node")).union(all_edges.select("dst")).distinct()
+    if not paths:
+        return nodes.withColumn("component", F.col("node"))
+    heads = spark.read.parquet(*paths)
+    names = heads.groupBy("head").agg(F.min("node").alias("component"))
+    found = heads.join(names, "head").select("node", "component")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def inside(edges: DataFrame) -> DataFrame:
+    """The edges that lie on some cycle: both ends in one component."""
+    parts = stage(components(edges), "parts")
+    ends = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    ends = ends.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    return ends.where("a = b").select("src", "dst")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """path: each simple cycle once, from its least node. Only edges that lie on a cycle are walked."""
-    back = reachable(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    inner = edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_semi")
-    longest = edges.select("src").distinct().count()
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(start, node, path) MAX RECURSION LEVEL {longest + 1} AS (
-            SELECT src, dst, array(src) FROM {{edges}} WHERE src <= dst
-            UNION ALL
-            SELECT w.start, e.dst, array_append(w.path, w.node) FROM walk w JOIN {{edges}} e ON e.src = w.node
-            WHERE w.node > w.start AND NOT array_contains(w.path, w.node))
-        SELECT concat_ws(' -> ', array_append(path, start)) AS path FROM walk WHERE node = start""", edges=inner)
+    """path: each simple cycle once, from its least node. Only edges inside a component are walked; there are as many rows as cycles, which dense components have many of."""
+    spark, folder, paths = edges.sparkSession, shared_dir(edges.sparkSession, "cycles"), []
+    e = stage(inside(edges), "inside")
+    walk = stage(e.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("path")), "walk")
+    while not walk.isEmpty():
+        paths.append(f"{folder}/{len(paths)}")
+        written(walk.where("node = start").select(F.concat_ws(" -> ", F.array_append("path", F.col("start"))).alias("path")), paths[-1])
+        on = walk.where("node > start").withColumn("path", F.array_append("path", F.col("node")))
+        walk = stage(on.join(e, F.col("node") == F.col("src")).where("dst >= start and (dst = start or not array_contains(path, dst))").select("start", F.col("dst").alias("node"), "path"), "walk")
+    return spark.read.schema("path string").parquet(*paths) if paths else spark.createDataFrame([], "path string")
 
 
-def chain_types(edges: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """key, types: the sorted types of all nodes on the chains from each node. ``nodes``: key, type."""
-    reached = closure(edges, nodes.select(F.col("key").alias("root")), depth)
-    return reached.join(nodes, F.col("node") == F.col("key")).groupBy("root").agg(F.array_sort(F.collect_set("type")).alias("types")).withColumnRenamed("root", "key")
+def chain_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, types: the sorted types of all nodes on the chains from each node, of any length. ``nodes``: key, type. Types travel against the edges, each once to a node."""
+    found = spread(turned(edges), nodes.select(F.col("key").alias("node"), F.col("type").alias("label")))
+    return found.join(nodes.select(F.col("key").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("key")).agg(F.array_sort(F.collect_set("label")).alias("types"))
 
 
 YES_NO = ["liability", "defense", "predicate", "causation", "exemplary_predicate"]
@@ -94,7 +145,7 @@ def validate(nodes: DataFrame, predicates: DataFrame, others: DataFrame, parts:
     ways = predicates.select(F.col("node").alias("src"), F.col("source").alias("dst")).union(alternatives.select("node", "target")).distinct()
     ways = ways.join(nodes.select(F.col("key").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
     rings = cycles(ways).withColumn("node", F.split("path", " -> ")[0])
-    liable = reachable(ways).join(nodes.where("type = 'liability'").select(F.col("key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    liable = spread(turned(ways), nodes.where("type = 'liability'").select(F.col("key").alias("node"), F.lit(True).alias("label"))).select("node")
     fed = p_typed.where("type in ('damages', 'exemplary_predicate', 'fees')").select(F.col("source").alias("node")).union(alternatives.select(F.col("target").alias("node")))
     used = predicates.select(F.col("source").alias("node")).union(others.where("kind = 'blocks'").select("node"))
     unanimous = p_typed.where("k_type = 'exemplary_predicate' and unanimous").select("node")
@@ -126,17 +177,25 @@ def validate(nodes: DataFrame, predicates: DataFrame, others: DataFrame, parts:
 
 
 def number(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
-    """Stable topological numbers of one small graph: always the earliest declared ready node. Edges: (before, after)."""
-    waiting = {n: {a for a, b in edges if b == n and a in nodes} for n in nodes}
+    """Stable topological numbers of one small graph: always the earliest declared ready node. Edges: (before, after); those with an end that isn't declared don't count."""
+    place = {n: i for i, n in enumerate(nodes)}
+    after: dict[str, set[str]] = {n: set() for n in nodes}
+    waits = dict.fromkeys(nodes, 0)
+    for a, b in edges:
+        if a in place and b in place and b not in after[a]:
+            after[a].add(b)
+            waits[b] += 1
+    ready = [i for n, i in place.items() if not waits[n]]
     out: dict[str, int] = {}
-    while waiting:
-        ready = next((n for n in nodes if n in waiting and not waiting[n]), None)
-        if ready is None:
-            raise ValueError(f"cycle among {sorted(waiting)}")
-        out[ready] = len(out) + 1
-        del waiting[ready]
-        for before in waiting.values():
-            before.discard(ready)
+    while ready:
+        n = nodes[heapq.heappop(ready)]
+        out[n] = len(out) + 1
+        for b in after[n]:
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(ready, place[b])
+    if len(out) < len(place):
+        raise ValueError(f"cycle among {sorted(set(nodes) - out.keys())}")
     return out
 
 
@@ -151,11 +210,12 @@ def crosscheck(expected: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def numbered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph, key, number: ``number`` for every graph of a table at once. nodes: graph, key, pos; edges: graph, before, after. A graph is small and one task's work."""
+    """graph, key, number: ``number`` for every graph of a table at once. nodes: graph, key, pos, and type if there is one: instructions have no number;
+    edges: graph, before, after. A graph is small and one task's work."""
+    asked = nodes.where("type is null or type <> 'instruction_only'") if "type" in nodes.columns else nodes
 
     def one(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        order = list(n.sort_values("pos")["key"])
-        got = number(order, list(zip(e["before"], e["after"], strict=True)))
+        got = number(list(n.sort_values("pos")["key"]), list(zip(e["before"], e["after"], strict=True)))
         return pd.DataFrame({"graph": [key[0]] * len(got), "key": list(got), "number": list(got.values())})
 
-    return nodes.groupBy("graph").cogroup(edges.withColumnRenamed("graph", "_graph").groupBy("_graph")).applyInPandas(one, "graph long, key string, number int")
+    return asked.select("graph", "key", "pos").groupBy("graph").cogroup(edges.select(F.col("graph").alias("_graph"), "before", "after").groupBy("_graph")).applyInPandas(one, "graph long, key string, number int")

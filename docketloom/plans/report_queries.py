@@ -101,7 +101,7 @@ def xref_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.closure(edges(spark, sf_dir), roots, 3)
 
 
-@query(f"""WITH RECURSIVE e AS {EDGES}, w AS (SELECT src AS start, dst AS node, [src] AS path FROM e WHERE src <= dst UNION ALL SELECT start, dst, list_append(path, node) FROM w JOIN e ON src = node WHERE node > start AND NOT list_contains(path, node) AND len(path) < 8)
+@query(f"""WITH RECURSIVE e AS {EDGES}, w AS (SELECT src AS start, dst AS node, [src] AS path FROM e WHERE src <= dst UNION ALL SELECT start, dst, list_append(path, node) FROM w JOIN e ON src = node WHERE node > start AND NOT list_contains(path, node))
     SELECT array_to_string(list_append(path, start), ' -> ') AS path FROM w WHERE node = start""")
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cycles(edges(spark, sf_dir))
@@ -114,7 +114,7 @@ TYPE = "CASE n_nationkey % 4 WHEN 0 THEN 'liability' WHEN 1 THEN 'damages' WHEN
     SELECT root AS key, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM w JOIN n ON node = key GROUP BY root""")
 def chain_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as key", f"{TYPE} as type")
-    return R.chain_types(edges(spark, sf_dir), nodes, 25).select("key", F.array_join("types", ",").alias("types"))
+    return R.chain_types(edges(spark, sf_dir), nodes).select("key", F.array_join("types", ",").alias("types"))
 
 
 @query(f"""WITH RECURSIVE n AS (SELECT 'q' || n_nationkey AS key, n_regionkey AS part, {TYPE} AS type, n_nationkey % 2 = 0 AS pp, n_nationkey % 6 <> 5 AS sourced FROM nation),
