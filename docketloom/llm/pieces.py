@@ -19,9 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+import string
 import struct
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -121,12 +125,21 @@ class Pieces:
         self.byte_ids = [self.texts.index(f"<0x{b:02X}>") for b in range(256)] if trainer.get(35, 0) else None
         bytes_of = {i: b for b, i in enumerate(self.byte_ids or [])}
         self.surface = [bytes([bytes_of[i]]) if i in bytes_of else b"" if k == CONTROL else self.unknown_text.encode() if k == UNKNOWN else t.replace(SPACE, " ").encode() for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True))]
-        reaching = [t for t in self.ids if len(t) > 1]
-        inner = any(SPACE in t.lstrip(SPACE) for t in reaching)
-        feed = "" if any("\n" in t for t in reaching) else r"\n"
-        self.cut = None if inner else re.compile(rf"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+" + (r"|\n+" if feed else ""))
+        self.cut = self._cutter()
         self.cuts = Recent(bound)
 
+    def _cutter(self) -> re.Pattern | None:
+        """Cuts between characters that no piece holds side by side: before a space mark that follows another character, around line feeds, and
+        between a letter or digit and the marks that never follow one."""
+        pairs = {p for t in self.ids for p in pairwise(t)}
+        if any(b == SPACE != a for a, b in pairs):
+            return None
+        feed = "" if any("\n" in p for p in pairs) else r"\n"
+        apart = "".join(re.escape(c) for c in string.punctuation if c != "_" and not any(b == c and a.isalnum() for a, b in pairs))
+        other, joined, word = rf"(?:[^\w{SPACE}{feed}]|_)", rf"(?:[^\w{SPACE}{feed}{apart}]|_)", r"[^\W_]"
+        words = rf"(?:{word}+(?:{joined}{other}*)?)"
+        return re.compile(rf"{SPACE}+{other}*{words}*|{other}+{words}*|{words}+" + (r"|\n+" if feed else ""))
+
     # normalisation
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -139,9 +152,11 @@ class Pieces:
         """No map and no spaces to drop: characters stay, spaces become marks."""
         if not text:
             return "", np.zeros(1, np.int64)
-        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        begins = np.r_[0, np.cumsum(widths)]
+        data = text.encode()
+        if len(data) == len(text):
+            begins = np.arange(len(data) + 1)
+        else:
+            begins = np.flatnonzero((np.frombuffer(data + b"\0", np.uint8) & 0xC0) != 0x80)
         out = text.replace(" ", SPACE) if self.escape else text
         return (SPACE if self.escape else " ") * self.prefix + out, np.r_[[0] * self.prefix, begins]
 
@@ -179,18 +194,19 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """Pieces of one cut: the pair of the best score merges, the leftmost of equals, until none is known."""
-        scores, parts = self.scores, list(text)
+        parts = list(text)
         if len(parts) > SHORT:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, where = score, i
-            if where < 0:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        score, none = self.scores.get, -math.inf
+        pairs = [score(a + b, none) for a, b in pairwise(parts)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def _merge_long(self, parts: list) -> list[str]:
@@ -220,50 +236,47 @@ class Pieces:
             offer(left, after[left])
         return [p for p in parts if p is not None]
 
-    def _encode_cut(self, text: str) -> tuple[bytes, bytes]:
-        """Ids, and how many characters each covers; all bytes of an unknown character but the last cover none."""
-        ids, sizes = [], []
+    def _encode_cut(self, text: str) -> bytes:
+        """Pairs of an id and how many characters it covers; all bytes of an unknown character but the last cover none."""
+        out: list[int] = []
         for piece in self.merge(text):
             known = self.ids.get(piece)
             if known is not None:
-                ids.append(known)
-                sizes.append(len(piece))
+                out += (known, len(piece))
             elif self.byte_ids:
-                data = piece.encode()
-                ids += [self.byte_ids[b] for b in data]
-                sizes += [0] * (len(data) - 1) + [len(piece)]
-            elif ids and ids[-1] == self.unknown:
-                sizes[-1] += len(piece)
+                for b in piece.encode():
+                    out += (self.byte_ids[b], 0)
+                out[-1] = len(piece)
             else:
-                ids.append(self.unknown)
-                sizes.append(len(piece))
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+                out += (self.unknown, len(piece))
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids with begin and end ids, and [begin, end) of source bytes for each, of every text."""
         normal = [self.normalise(t) for t in texts]
         plans = [(self.cut.findall(t) if self.cut else [t]) if t else [] for t, _ in normal]
-        for cut in self.cuts.lacking({c for plan in plans for c in plan}):
+        for cut in self.cuts.lacking(set().union(*plans)):
             self.cuts[cut] = self._encode_cut(cut)
         out = []
         for plan, (_, begins) in zip(plans, normal, strict=True):
-            found = [self.cuts[c] for c in plan]
-            ids = np.frombuffer(b"".join([i for i, _ in found]), "<u4")
-            ends = np.cumsum(np.frombuffer(b"".join([s for _, s in found]), "<u4"), dtype=np.int64)
+            found = np.frombuffer(b"".join(map(self.cuts.__getitem__, plan)), "<u4").reshape(-1, 2)
+            ids, ends = found[:, 0], np.cumsum(found[:, 1], dtype=np.int64)
             if self.byte_ids is None and len(ids) > 1:  # unknown characters in a row are one piece, across cuts too
                 stay = ~((ids == self.unknown) & np.r_[ids[1:] == self.unknown, False])
                 ids, ends = ids[stay], ends[stay]
-            bounds = begins[np.r_[0, ends]]
-            spans = np.column_stack([bounds[:-1], bounds[1:]])
-            last = bounds[-1]
-            out.append((np.r_[self.bos, ids, self.eos].astype("<u4"), np.vstack([[[0, 0]], spans, [[last, last]]])))
+            bounds = np.zeros(len(ids) + 3, np.int64)  # the begin and end ids span nothing
+            bounds[1:-1] = begins[np.concatenate([[0], ends])]
+            bounds[0], bounds[-1] = bounds[1], bounds[-2]
+            whole = np.empty(len(ids) + 2, "<u4")
+            whole[0], whole[1:-1], whole[-1] = self.bos, ids, self.eos
+            out.append((whole, np.column_stack([bounds[:-1], bounds[1:]])))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of any ids: control ids give nothing, bytes in a row are read as UTF-8, what isn't is replaced byte by byte."""
         kinds, rest = self.kinds, ids.tolist()
         lead = next((i for i, t in enumerate(rest) if kinds[t] != CONTROL), len(rest))
-        data = [self.surface[t] for t in rest]
+        data = list(map(self.surface.__getitem__, rest))
         if lead < len(rest) and (self.prefix or self.squeeze) and kinds[rest[lead]] == NORMAL and self.texts[rest[lead]].startswith(SPACE):
             data[lead] = data[lead][1:] if not self.squeeze else data[lead].lstrip(b" ")
         try:
@@ -296,7 +309,7 @@ def replaced(data: bytes) -> str:
     return "".join(out)
 
 
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
 
 
 def _run(path: str, full: bool):
@@ -306,7 +319,7 @@ def _run(path: str, full: bool):
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             encoded = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             texts = [coder.decode(ids) for ids, _ in encoded]
-            cols = [batch.column(0), pa.array([len(i) for i, _ in encoded], pa.int64()), pa.array([sha(i.tobytes()) for i, _ in encoded]), pa.array([sha(t.encode()) for t in texts]), pa.array([sha(s.astype("<i8").tobytes()) for _, s in encoded])]
+            cols = [batch.column(0), pa.array([len(i) for i, _ in encoded], pa.int64()), pa.array([sha(i.tobytes()) for i, _ in encoded]), pa.array([sha(t.encode()) for t in texts]), pa.array([zlib.crc32(s.astype("<u4").tobytes()) for _, s in encoded], pa.int64())]
             names = [x.split()[0] for x in DIGESTS.split(", ")]
             if full:
                 cols += [pa.array([i.astype(np.int64) for i, _ in encoded], pa.list_(pa.int64())), pa.array([s.tolist() for _, s in encoded], pa.list_(pa.list_(pa.int64()))), pa.array(texts)]
