@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_sums
 from .common import shared_dir
 
 # The patterns of the base kinds.
@@ -56,23 +57,17 @@ SPAN = "array<struct<start:int,end:int>>"
 def spans(text: Column, rule: Rule) -> Column:
     """Start and end of the leftmost non-overlapping matches, without those too short."""
     none = F.array().cast(SPAN)
-    hits = F.zip_with(
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-        F.split(text, rule.pattern, -1),
-        lambda hit, before: F.struct(hit.alias("hit"), F.length(before).alias("before")),
-    )
-    hits = F.filter(hits, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["before"]
-        end = begin + F.length(x["hit"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        if rule.least:
-            one = F.when(F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least, one).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    return F.when(text.rlike(rule.pattern), F.aggregate(hits, start, step, lambda acc: acc["out"])).otherwise(none)
+    before = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+
+    def placed(x: Column) -> Column:
+        """Ends of the hits are running sums of what lies before and in them."""
+        ends = running_sums(F.transform(x["hits"], lambda h, i: F.get(x["before"], i) + F.length(h)))
+        fits = lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)
+        found = F.zip_with(x["hits"], ends, lambda h, e: F.when(fits(h), F.struct((e - F.length(h)).cast("int").alias("start"), e.cast("int").alias("end"))))
+        return F.filter(found, lambda s: s.isNotNull())
+
+    return F.when(text.rlike(rule.pattern), let(F.struct(hits.alias("hits"), before.alias("before")), placed)).otherwise(none)
 
 
 LEDGER = f"blob string, rule string, spans {SPAN}"

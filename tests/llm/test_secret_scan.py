@@ -68,3 +68,15 @@ def test_only_unseen_pairs_are_scanned(spark):
 
 def test_empty_table(spark):
     assert secret_scan.scan_documents(samples.empty(spark)).count() == 0
+
+
+def test_many_hits_in_one_text(spark):
+    """Linear in the hits: a text with 100,000 ends soon, and agrees."""
+    import time
+
+    docs = spark.range(1).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 100000), i -> if(i % 5 = 0, concat('token=', md5(string(i))), substr(md5(string(i)), 1, 10 + i % 12)))) text")
+    began = time.time()
+    out = secret_scan.report(secret_scan.scan(docs, shared_dir(spark, "ledger")))
+    rows = out.collect()
+    assert time.time() - began < 60
+    assert [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows] == [(0, *brute(docs.first().text))]
