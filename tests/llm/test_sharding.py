@@ -47,3 +47,24 @@ def test_equal_rows_fill_all_buckets(spark):
 
 def test_empty_table(spark):
     assert sharding.shuffle_into_shards(samples.empty(spark)).count() == 0
+
+
+def test_any_column_type(spark):
+    docs = spark.sql("select id doc_id, concat('text ', id % 7) text, map('k', id) m, array(map(1, 2)) am, date'2024-01-01' d from range(50)")
+    rows = sharding.shuffle_into_shards(docs, shards=3, bucket_bytes=200).collect()
+    laws(rows, docs.collect(), 3)
+    assert {(r.record.doc_id, r.record.m["k"]) for r in rows} == {(i, i) for i in range(50)}
+
+
+def test_a_seed_gives_the_same_shards_for_any_layout(spark):
+    docs = samples.documents(spark).unionByName(samples.table(spark)).unionByName(samples.table(spark))  # equal rows too
+    places = []
+    for files, partitions in ((2, "3"), (7, "9")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        path = shared_dir(spark, "layout")
+        docs.repartition(files, "n_chars").write.parquet(path)
+        rows = sharding.shuffle_into_shards(spark.read.parquet(path), shards=5, bucket_bytes=50_000).collect()
+        places.append(sorted((r.shard, r.slot, str(r.record)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert places[0] == places[1]
+    assert places[0] != sorted((r.shard, r.slot, str(r.record)) for r in sharding.shuffle_into_shards(docs, shards=5, seed=18, bucket_bytes=50_000).collect())
