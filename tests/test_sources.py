@@ -4,7 +4,7 @@ import io
 import zipfile
 
 
-from docketloom.operators import extract
+from docketloom.operators import citations, extract
 from docketloom.sources import files
 from docketloom.streaming import ledger
 
@@ -76,16 +76,19 @@ def test_ledger_batch_and_stream(spark, tmp_path):
 
 
 def test_negated_verbs_are_no_treatment(spark):
-    docs = spark.createDataFrame([(1, "We do not overrule. 12 F.3d 4 was not overruled here."), (2, "12 F.3d 4 was overruled."), (3, "overruled " + "x" * 260 + " 12 F.3d 4")], "doc_id long, text string")
-    got = {(r.doc_id, r.authority, r.verb, r["class"]) for r in extract.treatments(docs).collect()}
-    assert got == {(2, "12 f3d 4", "overruled", "strong")}
+    rows = [(1, "We do not overrule. 12 F.3d 4 was not overruled here."), (2, "12 F.3d 4 was overruled."), (3, "overruled " + "x" * 260 + " 12 F.3d 4")]
+    pairs = spark.createDataFrame([(i, t, [], "12 F.3d 4") for i, t in rows], "id long, text string, tokens array<string>, cite string")
+    got = {(r.id, r["class"], r.verb) for r in citations.treatments(pairs).collect()}
+    assert got == {(2, "strong", "overruled")}
 
 
 def test_citation_offsets(spark):
-    text = "é See 37 N.Y.3d 371; Id. at 5; 5 U.S.C. § 552; 2020 WL 12345."
-    rows = extract.citations(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("start").collect()
-    assert [(r.kind, text[r.start : r.end]) for r in rows] == [("full", "37 N.Y.3d 371"), ("id", "Id. at 5"), ("statute", "5 U.S.C. § 552"), ("database", "2020 WL 12345")]
-    assert rows[1].authority == "37 ny3d 371"
+    texts = {1: "é See 37 N.Y.3d 371; Id. at 5; 5 U.S.C. § 552; 2020 WL 12345.", 3: "é See 37 N.Y.3d 371. “A quotation of some length,” Id. at 5."}
+    docs = spark.createDataFrame([*texts.items(), (2, None)], "doc_id long, text string")
+    rows = citations.citations(docs).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.kind, texts[r.doc_id][r.start : r.end]) for r in rows] == [(1, "full", "37 N.Y.3d 371"), (1, "full", "2020 WL 12345"), (3, "full", "37 N.Y.3d 371"), (3, "id", "Id. at 5")]
+    assert [r.key for r in rows] == ["37 ny3d 371", "2020 wl 12345", "37 ny3d 371", "37 ny3d 371"]  # an id. without a quotation folds into its antecedent
+    assert [(r.doc_id, r.kind, r.reference) for r in citations.references(docs).collect()] == [(1, "statute", "U.S.C. § 552")]
 
 
 def test_sections(spark):
