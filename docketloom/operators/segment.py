@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -15,22 +16,45 @@ from .citations import masked as mask_citations
 ABBREVIATIONS = set("v vs no nos art sec ch cf id e.g i.e al etc mr mrs ms dr jr sr st co inc ltd corp dept div app supp ct cir rev stat ann ex".split())
 
 
+MARK = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)|\n\s*\n")
+WORD_BEFORE, NEXT, BLANK = re.compile(r"[\w.]+$"), re.compile(r"\s*(\S)"), re.compile(r"\s*")
+LONGEST = max(map(len, ABBREVIATIONS)) + 1
+
+
+def _ends(text: str, m: re.Match, start: int) -> bool:
+    """Whether a mark ends a sentence: not after an abbreviation or an initial, nor before a lower-case letter or a digit. Looks at a few characters on both sides only."""
+    if not m[0].startswith("."):
+        return True
+    low = max(start, m.start() - LONGEST)
+    word = WORD_BEFORE.search(text[low : m.start()])
+    if word and (low == start or word.start()) and (word[0].lower() in ABBREVIATIONS or (len(word[0]) == 1 and word[0].isupper())):
+        return False
+    after = NEXT.match(text, m.end())
+    return not (after and (after[1].islower() or after[1].isdigit()))
+
+
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """[start, end) of sentences: a mark of the end, closing quotes, then space and no lower-case letter or digit, unless an abbreviation or initial stands before."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?]+[\"'”’)\]]*(?=\s|$)|\n\s*\n", text):
-        if m[0].startswith("."):
-            word = re.search(r"([\w.]+)$", text[start : m.start()])
-            nxt = text[m.end() :].lstrip()[:1]
-            if (word and (word[1].lower() in ABBREVIATIONS or (len(word[1]) == 1 and word[1].isupper()))) or nxt.islower() or nxt.isdigit():
-                continue
-        if text[start : m.end()].strip():
-            begin = start + len(text[start:]) - len(text[start:].lstrip())
-            out.append((begin, m.end() if not m[0].startswith("\n") else m.start()))
-        start = m.end()
-    if text[start:].strip():
-        out.append((start + len(text[start:]) - len(text[start:].lstrip()), len(text.rstrip())))
-    return out
+    out, start, size = [], 0, len(text.rstrip())
+    for m in MARK.finditer(text):
+        if _ends(text, m, start):
+            begin = BLANK.match(text, start).end()
+            if begin < (end := m.start() if m[0].startswith("\n") else m.end()):
+                out.append((begin, end))
+            start = m.end()
+    begin = BLANK.match(text, start).end()
+    return [*out, (begin, size)] if begin < size else out
+
+
+def sentence_at(begins: list[int], at: int) -> int:
+    """Index of the sentence around an offset, or the one before it if it stands between two; -1 before the first."""
+    return bisect.bisect_right(begins, at) - 1
+
+
+def clamped(span: tuple[int, int], at: int, most: int = 700) -> tuple[int, int]:
+    """A span of more than ``most`` characters cut to half as many on both sides of an offset in it."""
+    start, end = span
+    return span if end - start <= most else (max(start, at - most // 2), min(end, at + most // 2))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
