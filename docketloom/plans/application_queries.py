@@ -45,3 +45,17 @@ DEFINED = """concat('Acme (the "Acme', o_custkey % 3, '") and others (collective
 def party_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat_ws("", F.collect_list(F.expr(DEFINED))).alias("text"))
     return A.aliases(rows).select("doc_id", F.lower("alias").alias("alias"))
+
+
+CAPTION = """concat('SUPREME COURT\\n\\nACME', c_custkey % 7, ' CORP. and The Widget', c_custkey % 5, ' Works, Inc., Plaintiffs,\\nv.\\nJohn Doe', c_custkey, ', Defendant.\\n\\nThe sale (the "Buyer', c_custkey % 3, '") and its note (the "Defendant") went to ACME', c_custkey % 7, ' (the "ACME', c_custkey % 7, '").')"""
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS c, 'w' || (o_orderkey % 5) AS t FROM orders UNION SELECT o_custkey, 'b' || (o_orderkey % 40) FROM orders),
+    n AS (SELECT c_custkey AS c, 0 AS pos, 'ACME' || (c_custkey % 7) AS name, '' AS t FROM customer UNION ALL SELECT c_custkey, 1, 'Widget' || (c_custkey % 5) || ' Works', 'w' || (c_custkey % 5) FROM customer
+        UNION ALL SELECT c_custkey, 2, 'John Doe' || c_custkey, '' FROM customer UNION ALL SELECT c_custkey, 3, 'Buyer' || (c_custkey % 3), 'b' || (c_custkey % 3) FROM customer)
+    SELECT c AS doc_id, pos, name, EXISTS (SELECT 1 FROM a WHERE a.c = n.c AND a.t = n.t) AS downweighted FROM n""")
+def party_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parties and aliases of a caption for each customer, against the cases that its orders cite."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(CAPTION).alias("text"))
+    cited = F.explode(F.array(F.expr("concat('In re Widget', o_orderkey % 5, ' Works Holdings')"), F.expr("concat('Buyer', o_orderkey % 40, ' v. State')")))
+    return A.roster(docs, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), cited.alias("name")))
