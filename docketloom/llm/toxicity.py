@@ -10,10 +10,11 @@ are one number a word each, windows cost sliding sums only.
 Training sees a bounded sample of labelled rows and runs in one task of an executor: at most ``most_toxic`` and
 ``most_clean`` rows in the order of a hash of their doc_ids, and ``most_bytes`` of text together. If they have more, an equal
 allowance for each text is found that keeps to the bound, and a longer text gives the consecutive pieces that a hash chooses. The first
-coordinate of an embedding is how much more often a word or n-gram stands in toxic than in clean documents (in standard
-deviations); while training, a document's inputs take it from the half of the sample that the document isn't in. All
+coordinate of an embedding is how much more a word or n-gram counts in toxic than in clean documents (in standard
+deviations), the more the more often it comes back in one, so that a stem with ever new endings shows, also in a language with few documents; while training, a document's inputs take it from the half of the sample that the document isn't in. All
 other coordinates, of words and of n-grams, are learned with the network. Labels are of documents, so
-each epoch trains on the windows that the current network scores highest in each document.
+each epoch trains on the windows that the current network scores highest in each document. At the end a logistic
+fit of the sample's labels to the highest logits of its documents turns a document's logit into its score.
 The language, source and doc_id of a row are never inputs.
 
 Edge cases: null and empty texts are one window of nothing and get a score; labels that are
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import sliding, stage
 from .ngram_join import texts_of
 
-WIDTH, CORE, CONTEXT = 24, 48, 8
+WIDTH, CORE, CONTEXT = 32, 48, 12
 HIDDEN, ATTENTION, EMBED = 8, 8, 4
 INPUTS = 3 * EMBED
 BUCKETS = 1 << 18
@@ -43,6 +44,7 @@ MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 900, 5400, 64 << 20
 PIECE = 4096
 CLEAN_A_EPOCH = 1800
 THRESHOLD = 0.3
+OFTEN = 4
 BATCH, RATE, LEAST_BETWEEN = 64, 0.05, 60
 # Letters to lower case, all other ASCII characters but digits to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -119,6 +121,7 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": init(INPUTS, 3 * HIDDEN), f"h{d}": init(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, F32)}
         self.constant: float | None = None
+        self.scale = (1.0, 0.0)
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """One row a word, after a row of zeros."""
@@ -237,33 +240,51 @@ class Network:
             return np.full(len(texts), self.constant or 0.0)
         words, ids, begin, sizes = number(texts)
         best = np.maximum.reduceat(self.logits(self.inputs(words), ids, begin, sizes), begin)
-        return 1 / (1 + np.exp(-best))
+        return 1 / (1 + np.exp(-(self.scale[0] * best + self.scale[1])))
 
     def packed(self) -> tuple:
         """The parameters, and only those embeddings that training touched."""
         at = [np.flatnonzero(e.any(axis=1)) for e in (self.word, self.gram)]
-        return self.p, at, [self.word[at[0]], self.gram[at[1]]], self.constant
+        return self.p, at, [self.word[at[0]], self.gram[at[1]]], self.constant, self.scale
 
     @staticmethod
     def unpacked(packed: tuple) -> Network:
         net = Network()
-        net.p, at, rows, net.constant = packed
+        net.p, at, rows, net.constant, net.scale = packed
         net.word[at[0]], net.gram[at[1]] = rows
         return net
 
 
-def spread(buckets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """By bucket: in how many more toxic documents it stands than chance would have it, in standard deviations, scaled and clipped."""
+def recurring(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a document, and how much each counts: a quarter for each time up to ``OFTEN``. A stem that comes back in ever new words weighs more than one that occurs."""
+    at, n = np.unique(buckets, return_counts=True)
+    return at.astype(np.int32), (np.minimum(n, OFTEN) / OFTEN).astype(F32)
+
+
+def spread(buckets: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """By bucket: how much more it counts in toxic documents than chance would have it, in standard deviations, scaled and clipped."""
     t, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, y in zip(buckets, toxic, strict=True):
-        all_[b] += 1
+    for (b, n), y in zip(buckets, toxic, strict=True):
+        all_[b] += n
         if y:
-            t[b] += 1
+            t[b] += n
     expected = all_ * (toxic.mean() if len(toxic) else 0.0)
     z = (t - expected) / np.sqrt(expected + 1)
     return np.where(all_ > 0, np.clip(z, -3, 8) / 4, 0).astype(F32)
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
+    """Slope and shift of a logistic fit of labels to logits, by Newton's method from (1, 0)."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = q * (1 - q) + 1e-9
+        g = np.array([((q - y) * x).sum() + ridge * (a - 1), (q - y).sum()])
+        step = np.linalg.solve([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum()]], g)
+        a, b = a - step[0], b - step[1]
+    return float(a), float(b)
+
+
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: int = 600, seed: int = 7) -> Network:
     net = Network(seed)
     toxic = np.asarray(toxic, bool)
@@ -273,14 +294,14 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
     rng = np.random.default_rng(seed)
     by_word, by_gram = [], []
     for t in texts:  # one document's words at a time
-        own = list(dict.fromkeys(words_of(t)))
-        by_word.append(np.unique(word_buckets(own)).astype(np.int32))
-        by_gram.append(np.unique(gram_buckets(own)[0]).astype(np.int32) if own else np.empty(0, np.int32))
+        own = words_of(t)
+        by_word.append(recurring(word_buckets(own)))
+        by_gram.append(recurring(gram_buckets(own)[0] if own else np.empty(0, np.int64)))
     fold = np.arange(len(texts)) % 2
     fold[toxic] = np.arange(toxic.sum()) % 2
     stats = []  # for each fold the counts of the other, so that no document meets its own label in its inputs
     for table, buckets in ((net.word, by_word), (net.gram, by_gram)):
-        touched = np.unique(np.concatenate(buckets))
+        touched = np.unique(np.concatenate([b for b, _ in buckets]))
         table[touched, 1:] = rng.standard_normal((len(touched), EMBED - 1)).astype(F32) * F32(0.02)
         stats.append([spread([b for b, f in zip(buckets, fold, strict=True) if f != k], toxic[fold != k]) for k in (0, 1)])
         stats[-1].append((stats[-1][0] + stats[-1][1]) / 2)
@@ -345,6 +366,8 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
                 of = (own[1:] - 1) % len(words)
                 np.subtract.at(net.word[:, 1:], word_b[of], F32(RATE) * drows[1:, 1:EMBED])
                 learn_grams(net.gram, gram_b, gram_at[of], gram_n[of], F32(RATE) * drows[1:])
+    table = np.concatenate([inputs(0), inputs(1)[1:]])
+    net.scale = calibrated(np.maximum.reduceat(net.logits(table, ids, begin, sizes), begin), toxic)
     inputs(2)
     return net
 
