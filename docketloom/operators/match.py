@@ -66,6 +66,39 @@ def within(left: DataFrame, right: DataFrame, by: str, reach: int) -> DataFrame:
     return bins.join(other, [by, "bin"]).where(F.abs(F.col("pos") - F.col("other_pos")) <= reach).drop("bin")
 
 
+def nearest(rows: DataFrame, most: int = 1) -> DataFrame:
+    """cite_id, cand_id, pos, exact, want, shared: for each row the few others of its area that can be among its ``most`` best, whichever counts first of address, shared tokens and id.
+
+    rows: id, area, address, tokens. Equal names are scored once: areas' distinct names meet by tokens, and each keeps its ``most + 1`` best
+    members and partners, as one of them may be the row itself. An address keeps its first ids and its best by name, an area its first ids, for rows that share nothing.
+    """
+    kept = most + 1
+    t = rows.select("id", "area", "address", F.array_sort(F.array_distinct("tokens")).alias("t"))
+
+    def first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= kept).drop("_rn")
+
+    best = [F.desc("shared"), F.col("cand_id")]
+    member = lambda df: df.withColumnRenamed("id", "cand_id")
+    # by name
+    names = t.select("area", "t").distinct()
+    words = names.select("area", "t", F.explode("t").alias("token"))
+    met = words.join(words.withColumnRenamed("t", "u"), ["area", "token"]).groupBy("area", "t", "u").agg(F.count("*").alias("shared"))
+    members = member(first(t.select("id", "area", "t"), ["area", "t"], [F.col("id")])).withColumnRenamed("t", "u")
+    named = first(met.join(members, ["area", "u"]), ["area", "t"], best).select("area", "t", "cand_id")
+    # by address
+    held = member(first(t, ["area", "address", "t"], [F.col("id")])).withColumnRenamed("t", "u")
+    both = t.select("area", "address", "t").distinct().join(held, ["area", "address"]).withColumn("shared", F.size(F.array_intersect("t", "u")))
+    alike = first(both, ["area", "address", "t"], best).select("area", "address", "t", "cand_id")
+    early = member(first(t, ["area", "address"], [F.col("id")])).select("area", "address", "cand_id")
+    fill = member(first(t, ["area"], [F.col("id")])).select("area", "cand_id")
+    pairs = [t.join(x, [c for c in x.columns if c != "cand_id"]).select("id", "address", "t", "cand_id") for x in (named, alike, early, fill)]
+    pairs = reduce(DataFrame.union, pairs).where("id <> cand_id").dropDuplicates(["id", "cand_id"])
+    other = t.select(F.col("id").alias("cand_id"), F.col("address").alias("a"), F.col("t").alias("u"))
+    told = pairs.join(other, "cand_id")
+    return told.select(F.col("id").alias("cite_id"), "cand_id", F.col("cand_id").alias("pos"), F.coalesce(F.col("address") == F.col("a"), F.lit(False)).alias("exact"), F.size("t").alias("want"), F.size(F.array_intersect("t", "u")).alias("shared"))
+
+
 def pick(candidates: DataFrame) -> DataFrame:
     """cite_id, cand_id: an exact cite first; else two shared tokens (all of one) over half of the name; else none.
 
@@ -86,8 +119,22 @@ def address_check(cited: Column, family: Column, record: Column, record_families
     )
 
 
-def identity_gate(text: Column, names: list[str], least: int = 200) -> Column:
-    """Whether two numbers stand within 60 characters, or two of the name tokens occur, anywhere in a text of ``least`` characters."""
-    low = F.lower(text)
-    found = reduce(Column.__add__, (F.contains(low, F.lit(n)).cast("int") for n in dict.fromkeys(names)))
-    return (F.length(text) >= least) & (text.rlike(r"(?s)\b\d+\b.{0,60}\b\d+\b") | (found >= 2))
+def together(text: Column, first: Column, second: Column, reach: int = 60) -> Column:
+    """Whether two words stand in a text in this order, within ``reach`` characters from the start of one to the end of the other."""
+    whole = lambda w: F.concat(F.lit(r"\b\Q"), w, F.lit(r"\E\b"))
+    between = F.lit(reach) - F.length(first) - F.length(second)
+    pattern = F.concat(F.lit("(?s)"), whole(first), F.lit(".{0,"), F.greatest(between, F.lit(0)).cast("string"), F.lit("}"), whole(second))
+    return F.coalesce((first != "") & (second != "") & (between >= 0) & F.contains(text, second) & F.rlike(text, pattern), F.lit(False))
+
+
+def identity_gate(text: Column, volume: Column, page: Column, tokens: Column, docket: Column, least: int = 200) -> Column:
+    """Whether a text of ``least`` characters is a cite's: its volume and page stand within 60 characters, or two of its name's distinct tokens (of three letters or more) occur,
+    or its docket number does, however its parts are joined. Any of a cite's parts may be null or empty; such a part proves nothing. All are of the row, none is constant."""
+    low = F.regexp_replace(F.lower(text), r"\s+", " ")
+    names = F.array_distinct(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.lower(t)))
+    found = F.size(F.filter(names, lambda t: (F.length(t) >= 3) & F.contains(low, t)))
+    joined = lambda c: F.regexp_replace(F.lower(c), r"\s*[-–—]\s*", "-")
+    number = joined(docket)
+    docketed = (F.length(number) >= 6) & F.contains(joined(low), number)
+    yes = together(low, F.lower(volume), F.lower(page)) | (found >= 2) | F.coalesce(docketed, F.lit(False))
+    return F.coalesce(F.length(text) >= least, F.lit(False)) & F.coalesce(yes, F.lit(False))

@@ -52,18 +52,15 @@ CANDIDATES = """(SELECT c.p_partkey AS cite_id, s.p_partkey AS cand_id, c.p_size
     FROM part c JOIN part s ON c.p_brand = s.p_brand WHERE c.p_partkey <> s.p_partkey)"""
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    c = part.select(F.col("p_partkey").alias("cite_id"), "p_brand", F.col("p_size").alias("size_c"), F.split("p_type", " ").alias("t"))
-    s = part.select(F.col("p_partkey").alias("cand_id"), "p_brand", F.col("p_size").alias("size_s"), F.split("p_type", " ").alias("u"))
-    pairs = c.join(s, "p_brand").where("cite_id <> cand_id")
-    return pairs.select("cite_id", "cand_id", F.col("cand_id").alias("pos"), (F.col("size_c") == F.col("size_s")).alias("exact"), F.size(F.array_distinct("t")).alias("want"), F.size(F.array_intersect("t", "u")).alias("shared"))
+    return M.nearest(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("area"), F.col("p_size").alias("address"), F.split("p_type", " ").alias("tokens")), most)
 
 
 @query(f"""SELECT cite_id, cand_id, exact FROM {CANDIDATES} WHERE exact OR (shared >= least(want, 2) AND 2 * shared >= want)
     QUALIFY row_number() OVER (PARTITION BY cite_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE -shared END, cand_id) = 1""")
 def pick_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.pick(candidates(spark, sf_dir))
+    return M.pick(candidates(spark, sf_dir, 1))
 
 
 @query(f"""SELECT cite_id, cand_id, row_number() OVER (PARTITION BY cite_id ORDER BY exact DESC, shared DESC, cand_id) AS rank FROM {CANDIDATES}
@@ -71,7 +68,7 @@ def pick_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published (here: exact) first, then overlap; three for each cite."""
     w = Window.partitionBy("cite_id").orderBy(F.desc("exact"), F.desc("shared"), "cand_id")
-    return candidates(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("cite_id", "cand_id", "rank")
+    return candidates(spark, sf_dir, 3).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("cite_id", "cand_id", "rank")
 
 
 @query("""
@@ -156,10 +153,22 @@ def caption_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", kind.alias("kind"))
 
 
-@query("""SELECT doc_id, length(text) >= 200 AND (regexp_matches(text, '(?s)\\b\\d+\\b.{0,60}\\b\\d+\\b') OR len(list_distinct(regexp_extract_all(lower(text), '(?:the|der|les|que)'))) >= 2) AS accepted FROM documents""")
+CITED = {
+    "volume": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat(doc_id % 90 + 10, '') END",
+    "page": "CASE WHEN doc_id % 13 <> 0 THEN concat(doc_id % 700 + 1000, '') END",
+    "docket": "CASE WHEN doc_id % 3 = 0 THEN concat('05-24-', doc_id + 10000, '-CV') END",
+}
+PRINTED = """CASE doc_id % 8 WHEN 0 THEN concat(text, ' 7 ', doc_id % 90 + 10, ' F.3d', chr(10), ' ', doc_id % 700 + 1000, '. ') WHEN 1 THEN concat(doc_id % 90 + 10, repeat(' x', 30), ' ', doc_id % 700 + 1000, ' ', text)
+    WHEN 2 THEN concat(text, ' Smith', doc_id, ' and JONES', doc_id) WHEN 3 THEN concat(text, ' Smith', doc_id, ' alone') WHEN 4 THEN concat(text, ' No. 05 – 24-', doc_id + 10000, '-cv') WHEN 5 THEN concat('1', doc_id % 90 + 10, ' ', doc_id % 700 + 1000, ' ', text) ELSE text END"""
+
+
+@query(f"""WITH c AS (SELECT doc_id, {', '.join(f'{e} AS {n}' for n, e in CITED.items())}, {PRINTED} AS text FROM documents), l AS (SELECT *, regexp_replace(lower(text), '\\s+', ' ', 'g') AS low FROM c)
+    SELECT doc_id, coalesce(length(text) >= 200, false) AND (coalesce(volume <> '' AND regexp_matches(low, '(?s)\\b' || volume || '\\b.{{0,' || (60 - length(volume) - length(page)) || '}}\\b' || page || '\\b'), false)
+        OR coalesce(contains(low, 'smith' || doc_id) AND contains(low, 'jones' || doc_id), false) OR coalesce(contains(regexp_replace(low, '\\s*[-–—]\\s*', '-', 'g'), lower(docket)), false)) AS accepted FROM l""")
 def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text is accepted if volume and page stand close together or two name tokens occur; short texts never."""
-    return table(spark, sf_dir, "documents").select("doc_id", M.identity_gate(F.col("text"), ["the", "der", "les", "que"]).alias("accepted"))
+    """Each document against a cite of its own: volume and page, two names, a docket number, each printed in some documents, near misses in others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *(F.expr(e).alias(n) for n, e in CITED.items()), F.expr(PRINTED.replace("chr(10)", "char(10)")).alias("text"), F.expr("array(concat('Smith', doc_id), concat('Jones', doc_id), 'v')").alias("tokens"))
+    return docs.select("doc_id", M.identity_gate(*map(F.col, ("text", "volume", "page", "tokens", "docket"))).alias("accepted"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS occurrence_index, count(*) OVER (PARTITION BY user_id, event_type) AS occurrence_count FROM events")

@@ -17,9 +17,31 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_identity_gate_reads_the_whole_text(spark):
-    rows = [(1, "x " * 3500 + "12 F.3d 345"), (2, "x " * 200 + "the y der"), (3, "x " * 3500 + "the y the"), (4, "the 12 der 345"), (5, "x " * 3500 + "12" + " y" * 31 + " 345")]
-    got = spark.createDataFrame(rows, "id long, text string").select("id", match.identity_gate(F.col("text"), ["the", "der"]).alias("ok")).collect()
-    assert {r.id: r.ok for r in got} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    x = "x " * 3500
+    rows = [
+        (1, x + "12 F.3d 345", True), (2, "x " * 200 + "the y der", True), (3, x + "the y the", False), (4, "the 12 der 345", False), (5, x + "12" + " y" * 31 + " 345", False),
+        (6, x + "112 F.3d 345", False), (7, x + "345 and 12", False), (8, x + "No. 05 - 24-00053 -CV.", True), (9, x + "05-24-00054-CV", False), (10, None, False), (11, x + "12" + " y" * 26 + " 345", True),
+    ]
+    df = spark.createDataFrame(rows, "id long, text string, want boolean")
+    gate = match.identity_gate(F.col("text"), F.lit("12"), F.lit("345"), F.array(F.lit("The"), F.lit("der"), F.lit("the"), F.lit("x")), F.lit("05-24-00053-CV"))
+    assert {r.id: r.ok for r in df.select("id", gate.alias("ok")).collect()} == {r[0]: r[2] for r in rows}
+    none = match.identity_gate(F.col("text"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("array<string>"), F.lit(None).cast("string"))
+    assert {r.ok for r in df.select(none.alias("ok")).collect()} == {False}
+
+
+def test_nearest_by_definition(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice("AB"), r.choice([None, 1, 2, 3]), r.sample("abcdef", r.randrange(4))) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, area string, address int, tokens array<string>")
+    for most in (1, 3):
+        got = {}
+        for x in match.nearest(df, most).collect():
+            got.setdefault(x.cite_id, []).append((not x.exact, -x.shared, x.cand_id))
+        for i, area, address, t in rows:
+            want = sorted((not (address is not None and address == b), -len(set(t) & set(u)), j) for j, other, b, u in rows if other == area and j != i)
+            assert sorted(got[i])[:most] == want[:most]
+            firsts = lambda found: min((j for miss, _, j in found if not miss), default=None)
+            assert firsts(got[i]) == firsts(want)
 
 
 @pytest.mark.parametrize("least", [0.3, 0.62, 1.0])
