@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .segment import token_chunks
+
 Scorer = Callable[[list[str], list[str]], list[float]]
-CHUNK = 2000
+CHUNK = 512
 
 
 def words(text: str) -> set[str]:
@@ -52,12 +54,12 @@ def isolated(scorer: Scorer, propositions: list[str], texts: list[str]) -> list[
 
 
 def support(pairs: DataFrame, scorer: Scorer = lexical, size: int | None = CHUNK) -> DataFrame:
-    """id, score: for ``pairs`` (id, proposition, text) the best score of the text's chunks (of the whole text if ``size`` is None). Null if any input is, or if no chunk could be scored."""
+    """id, score: for ``pairs`` (id, proposition, text) the best score of the text's chunks of ``size`` tokens at most (of the whole text if it is None). Null if any input is, or if no chunk could be scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, props, texts = (c.to_pylist() for c in batch.columns)
-            flat = [(i, p, c) for i, (p, t) in enumerate(zip(props, texts, strict=True)) if p is not None and t is not None for c in (pieces(t, size) if size else [t])]
+            flat = [(i, p, c) for i, (p, t) in enumerate(zip(props, texts, strict=True)) if p is not None and t is not None for c in ([t[a:b] for a, b in token_chunks(t, size)] or [t] if size else [t])]
             best: list[float | None] = [None] * len(ids)
             for (i, _, _), s in zip(flat, isolated(scorer, [p for _, p, _ in flat], [c for _, _, c in flat]) if flat else [], strict=True):
                 if s is not None and (best[i] is None or s > best[i]):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,40 +77,103 @@ def masked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string")
 
 
+TOKEN = re.compile(r"\w+|[^\w\s]")
+# What parts a text, the strongest first; a cut is made where the strongest stands.
+BOUNDARIES = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"[.!?][\"'”’)\]]*\s", r"[;:]\s", r",\s", r"\s")]
+
+
+def token_chunks(text: str, budget: int, tokens: Callable[[str], Iterable[int]] | None = None) -> list[tuple[int, int]]:
+    """[start, end) of chunks of at most ``budget`` tokens that together are the text.
+
+    A chunk is cut in its second half, at the last of the strongest boundaries there (paragraph, line, sentence, clause, comma, space, else anywhere
+    between tokens). ``tokens`` gives where a text's tokens begin, in order; by default words and marks. Linear: each token is looked at twice at most.
+    """
+    starts = list(tokens(text)) if tokens else [m.start() for m in TOKEN.finditer(text)]
+    if not text or budget < 1:
+        return [(0, len(text))] if text else []
+    levels = [len(BOUNDARIES)] * len(starts)
+    for level in range(len(BOUNDARIES) - 1, -1, -1):
+        at = 0
+        for m in BOUNDARIES[level].finditer(text):
+            at = bisect.bisect_left(starts, m.end(), at)
+            if at < len(starts) and (at == 0 or starts[at - 1] < m.end()):
+                levels[at] = min(levels[at], level)
+    out, first, begin = [], 0, 0
+    while len(starts) - first > budget:
+        places = range(first + budget, first + budget // 2, -1)
+        cut = min(places, key=levels.__getitem__)  # the first of equals is the last place
+        out.append((begin, starts[cut]))
+        first, begin = cut, starts[cut]
+    return [*out, (begin, len(text))]
+
+
+def chunked(docs: DataFrame, budget: int = 512) -> DataFrame:
+    """doc_id, i, start, end, text of the chunks of ``docs`` (doc_id, text). Null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, i, a, b, t[a:b]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, (a, b) in enumerate(token_chunks(t or "", budget))]
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "i", "start", "end", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, i int, start int, end int, text string")
+
+
+def _udf(f: Callable, kind: str, *columns: Column) -> Column:
+    """``f`` row by row over Arrow batches, for work that a fold could only do by copying what it has for every element. A null in any column gives null."""
+
+    @F.pandas_udf(kind)
+    def run(*series: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
+
+    return run(*columns)
+
+
+def paragraph_chunks(text: str, target: int, separator: str = "\n\n") -> list[str]:
+    done, open_, n = [], [], 0
+    for p in (x.strip(" ") for x in text.split(separator)):
+        if not p:
+            continue
+        if open_ and n + len(p) > target:
+            done.append(separator.join(open_))
+            open_, n = [p], len(p)
+        else:
+            open_.append(p)
+            n += len(p) + 2
+    return [*done, separator.join(open_)] if open_ else done
+
+
 def chunks(text: Column, target: int, separator: str = "\n\n") -> Column:
     """Paragraphs packed in order until the target length: a paragraph counts two more, but for the one that opens a chunk after a flush."""
-    parts = F.filter(F.transform(F.split(text, separator, -1), lambda p: F.trim(p)), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    return _udf(lambda t: paragraph_chunks(t, target, separator), "array<string>", text)
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["n"] + F.length(p) > target) & (F.size(acc["open"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], separator))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.array_append(acc["open"], p)).alias("open"),
-            F.when(full, F.length(p)).otherwise(acc["n"] + F.length(p) + 2).alias("n"),
-        )
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], separator))).otherwise(acc["done"]))
+def part_starts(text: str, parts: list[str]) -> list[int]:
+    out, at = [], 0
+    for p in parts:
+        found = text.find(p, at)
+        out.append(found if found >= 0 else at - 1)
+        at = out[-1] + len(p)
+    return out
 
 
 def offsets(text: Column, parts: Column) -> Column:
     """Start of each part, searched for from the end of the part before."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    return _udf(part_starts, "array<int>", text, parts)
 
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["pos"] + F.position(p, F.substring(text, acc["pos"] + 1, F.length(text))) - 1
-        return F.struct((at + F.length(p)).alias("pos"), F.array_append(acc["out"], at).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def batch_numbers(keys: list[str], most: int, most_chars: int) -> list[int]:
+    out, b, n, c = [], 0, 0, 0
+    for k in keys:
+        size = len(k) + 1
+        if n + 1 > most or c + size > most_chars:
+            b, n, c = b + (n > 0), 1, size
+        else:
+            n, c = n + 1, c + size
+        out.append(b)
+    return out
 
 
 def batches(keys: Column, most: int = 250, most_chars: int = 64_000) -> Column:
     """Batch numbers of ordered keys: at most ``most`` keys and ``most_chars`` characters in each."""
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, k: Column) -> Column:
-        full = (acc["n"] + 1 > most) | (acc["c"] + F.length(k) + 1 > most_chars)
-        b = acc["b"] + F.when(full & (acc["n"] > 0), 1).otherwise(0)
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, F.length(k) + 1).otherwise(acc["c"] + F.length(k) + 1).alias("c"), F.array_append(acc["out"], b).alias("out"))
-
-    return F.aggregate(keys, start, step, lambda acc: acc["out"])
+    return _udf(lambda ks: batch_numbers(ks, most, most_chars), "array<int>", keys)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import routing
+from ..operators.resolve import routing_sentences
+from ..operators.staging import stage
 from .registry import query, table
 
 LINES = """l AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS node, l_orderkey AS o FROM lineitem),
@@ -54,3 +57,25 @@ def line_chain_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of line on the chains from every line."""
     types = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.concat("l_returnflag", "l_linestatus").alias("type")).distinct()
     return G.chain_types(line_edges(spark, sf_dir), types).select("key", F.array_join("types", ",").alias("types"))
+
+
+ROUTED = """r AS (SELECT node, o, i, lag(node) OVER (PARTITION BY o ORDER BY i) AS p FROM s)"""
+
+
+@query(f"""WITH {LINES}, {ROUTED},
+    x AS (SELECT o AS doc_id, i AS target, o % 5 = 0 AND node % 2 = 0 AS altered, o % 11 = 0 AND i = 2 AS lost FROM r WHERE i >= 2)
+    SELECT doc_id, target::INT AS target, CASE WHEN lost THEN 'missing' WHEN altered THEN 'mismatch' ELSE 'matched' END AS status, CASE WHEN altered AND NOT lost THEN 1 ELSE 0 END::INT AS n_unexpected FROM x""")
+def routing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A charge for each order, a question a line: its routing sentences are written out, altered in some orders, left out in others, read back and checked against the map."""
+    s = stage(lines(spark, sf_dir).withColumn("p", F.lag("node").over(Window.partitionBy("o").orderBy("i"))).withColumn("q", F.lag("node", 2).over(Window.partitionBy("o").orderBy("i"))), "charge")
+    numbers = s.select(F.col("node").alias("key"), F.col("i").alias("number"))
+    predicates = s.where("i >= 2").selectExpr("o as doc_id", "node", "p as source", "if(node % 2 = 0, 'Yes', 'No') as answer", "case node % 3 when 0 then 'any_party' when 1 then 'same_party' else 'all' end as scope", "node % 5 = 0 as unanimous", "1 as pos")
+    others = s.where("i >= 3 and node % 4 = 0").selectExpr("o as doc_id", "node", "q as target", "'alternative' as kind", "1 as pos")
+    said = routing_sentences(s.selectExpr("node as key", "if(node % 2 = 0, 'AND', 'OR') as logic"), predicates, others, numbers)
+    rows = s.join(said, "node", "left").withColumn("sentence", F.when((F.col("o") % 11 == 0) & (F.col("i") == 2), "").otherwise(F.coalesce("sentence", F.lit(""))))
+    told = F.when(F.col("o") % 5 == 0, F.replace("sentence", F.lit("“Yes”"), F.lit("“No”"))).otherwise(F.col("sentence"))
+    told = F.when(F.col("o") % 7 == 0, F.regexp_replace(told, r"then answer Question No\. \d+", "then answer the following question")).otherwise(F.replace(told, F.lit(" "), F.lit("\n ")))
+    part = F.concat(told, F.lit("\nQUESTION NO. 99 Did it happen?\nGRANTED: ____\n"))
+    texts = rows.select("o", "i", part.alias("part")).groupBy(F.col("o").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("text"))
+    want = routing.expected(predicates, others, s.selectExpr("o as doc_id", "node as key", "i as number"))
+    return routing.checked(routing.routes(texts), want).select("doc_id", "target", "status", F.size("unexpected").alias("n_unexpected"))

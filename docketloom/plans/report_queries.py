@@ -239,14 +239,35 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.where("vec_id <> 0").select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-@query()
+# Lines of a text that aren't only spaces, put together by a running length that starts anew when it passes 800: a recursion over the lines.
+@query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, trim(line, ' ') AS line, length(trim(line, ' ')) AS len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL) WHERE trim(line, ' ') <> ''),
+    w AS (SELECT doc_id, i, len, 0 AS c, len + 2 AS n FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, p.len, CASE WHEN n + p.len > 800 THEN c + 1 ELSE c END, CASE WHEN n + p.len > 800 THEN p.len ELSE n + p.len + 2 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+    SELECT doc_id, c::INT AS i, (sum(len) + count(*) - 1)::INT AS n_chars FROM w GROUP BY doc_id, c""")
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = table(spark, sf_dir, "documents").select("doc_id", Z.chunks(F.col("text"), 800, "\n").alias("chunks"))
+    return text.select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", F.length("c").alias("n_chars"))
+
+
+@query()
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the chunks of ``chunk_paragraphs`` begin."""
     text = table(spark, sf_dir, "documents").select("doc_id", "text", Z.chunks(F.col("text"), 800, "\n").alias("chunks"))
     starts = text.select("doc_id", F.arrays_zip(F.col("chunks").alias("c"), Z.offsets(F.col("text"), F.col("chunks")).alias("s")).alias("z"))
     return starts.select("doc_id", F.posexplode("z").alias("i", "x")).select("doc_id", "i", F.col("x.s").alias("start"), F.length("x.c").alias("n_chars"))
 
 
-@query()
+@query("SELECT doc_id, sum(length(text))::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents WHERE length(text) > 0 GROUP BY doc_id, text")
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 64 tokens at most, put together again in order: the texts."""
+    found = Z.chunked(table(spark, sf_dir, "documents"), 64)
+    parts = F.array_sort(F.collect_list(F.struct("start", "text")))
+    whole = found.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("t"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+    return whole.select("doc_id", "n_chars", F.md5("t").alias("text_md5"))
+
+
+@query("""WITH RECURSIVE k AS (SELECT c_mktsegment, c_name, length(c_name) + 1 AS len, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) AS i FROM (SELECT DISTINCT c_mktsegment, c_name FROM customer WHERE c_name IS NOT NULL)),
+    w AS (SELECT c_mktsegment, i, 0 AS b, 1 AS n, len AS c FROM k WHERE i = 1 UNION ALL SELECT k.c_mktsegment, k.i, CASE WHEN n + 1 > 250 OR c + len > 6400 THEN b + 1 ELSE b END, CASE WHEN n + 1 > 250 OR c + len > 6400 THEN 1 ELSE n + 1 END, CASE WHEN n + 1 > 250 OR c + len > 6400 THEN len ELSE c + len END FROM w JOIN k ON k.c_mktsegment = w.c_mktsegment AND k.i = w.i + 1)
+    SELECT c_mktsegment, b::INT AS batch, count(*) AS n FROM w GROUP BY c_mktsegment, b""")
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique keys of each customer segment packed into batches of at most 250 keys and 6400 characters."""
     keys = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_sort(F.collect_set("c_name")).alias("keys"))
