@@ -70,8 +70,8 @@ def test_ledger_batch_and_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     events.write.parquet(src)
     stream = spark.readStream.schema(events.schema).parquet(src)
-    ledger.follow(stream, "id", str(tmp_path / "ck"), "latest_findings").awaitTermination(120)
-    assert {r.id: r.latest.note for r in spark.table("latest_findings").collect()} == {"f1": "fixed", "f2": "open"}
+    ledger.follow(stream, "id", str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination(120)
+    assert {r.id: r.note for r in ledger.followed(spark, str(tmp_path / "out"), "id").collect()} == {"f1": "fixed", "f2": "open"}
     assert [r.id for r in ledger.remaining(events.select("id").distinct(), events.where("note = 'fixed'"), "id").collect()] == ["f2"]
 
 
