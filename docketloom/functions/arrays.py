@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +41,13 @@ def running_sums(values: Column, levels: int = 3) -> Column:
         return let(v, lambda x: blocked(x, levels))
 
     return F.when(values.isNotNull(), blocked_(F.transform(values, lambda x: x.cast("long")), levels))
+
+
+def by_row(f: Callable, kind: str, *columns: Column) -> Column:
+    """``f`` row by row over Arrow batches, for work that a fold could only do by copying what it has for every element. A null in any column gives null."""
+
+    @F.pandas_udf(kind)
+    def run(*series: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
+
+    return run(*columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions.arrays import by_row
 
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -86,8 +87,16 @@ def token_containment(left: DataFrame, right: DataFrame, least: float = 0.62) ->
 def merge_spans(spans: DataFrame, within: int = 8) -> DataFrame:
     """Spans (doc_id, name, start) without those that start within ``within`` of the last kept one of that name."""
     ordered = spans.groupBy("doc_id", F.lower("name").alias("name")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    kept = F.aggregate("starts", F.array().cast("array<bigint>"), lambda acc, s: F.when((F.size(acc) == 0) | (s - F.element_at(acc, -1) > within), F.concat(acc, F.array(s))).otherwise(acc))
-    return ordered.select("doc_id", "name", F.explode(kept).alias("start"))
+    return ordered.select("doc_id", "name", F.explode(by_row(lambda starts: spaced(starts, within), "array<bigint>", F.col("starts"))).alias("start"))
+
+
+def spaced(starts: list[int], within: int) -> list[int]:
+    """Of rising numbers those that are further than ``within`` from the last one taken."""
+    out: list[int] = []
+    for s in starts:
+        if not out or s - out[-1] > within:
+            out.append(int(s))
+    return out
 
 
 def first_of(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import by_row
 from .citations import masked as mask_citations
 
 # Abbreviations that end no sentence.
@@ -119,16 +120,6 @@ def chunked(docs: DataFrame, budget: int = 512) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, i int, start int, end int, text string")
 
 
-def _udf(f: Callable, kind: str, *columns: Column) -> Column:
-    """``f`` row by row over Arrow batches, for work that a fold could only do by copying what it has for every element. A null in any column gives null."""
-
-    @F.pandas_udf(kind)
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
-
-    return run(*columns)
-
-
 def paragraph_chunks(text: str, target: int, separator: str = "\n\n") -> list[str]:
     done, open_, n = [], [], 0
     for p in (x.strip(" ") for x in text.split(separator)):
@@ -145,7 +136,7 @@ def paragraph_chunks(text: str, target: int, separator: str = "\n\n") -> list[st
 
 def chunks(text: Column, target: int, separator: str = "\n\n") -> Column:
     """Paragraphs packed in order until the target length: a paragraph counts two more, but for the one that opens a chunk after a flush."""
-    return _udf(lambda t: paragraph_chunks(t, target, separator), "array<string>", text)
+    return by_row(lambda t: paragraph_chunks(t, target, separator), "array<string>", text)
 
 
 def part_starts(text: str, parts: list[str]) -> list[int]:
@@ -159,7 +150,7 @@ def part_starts(text: str, parts: list[str]) -> list[int]:
 
 def offsets(text: Column, parts: Column) -> Column:
     """Start of each part, searched for from the end of the part before."""
-    return _udf(part_starts, "array<int>", text, parts)
+    return by_row(part_starts, "array<int>", text, parts)
 
 
 def batch_numbers(keys: list[str], most: int, most_chars: int) -> list[int]:
@@ -176,4 +167,4 @@ def batch_numbers(keys: list[str], most: int, most_chars: int) -> list[int]:
 
 def batches(keys: Column, most: int = 250, most_chars: int = 64_000) -> Column:
     """Batch numbers of ordered keys: at most ``most`` keys and ``most_chars`` characters in each."""
-    return _udf(lambda ks: batch_numbers(ks, most, most_chars), "array<int>", keys)
+    return by_row(lambda ks: batch_numbers(ks, most, most_chars), "array<int>", keys)

@@ -11,9 +11,13 @@ application, treatment, nested, url.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import by_row
+
 from .grade import THIN, is_false, is_true
 
 CRITICAL, UNVERIFIED, DEFECT, REVIEW, PASS = 1, 2, 3, 4, 5
@@ -162,19 +166,19 @@ def all_clean(tier: Column) -> Column:
     return (tier == PASS) & F.forall(F.array(*(F.col(f"{a}.tier") for a in AXES)), lambda t: t.isNull() | (t == PASS))
 
 
-def in_brackets(text: Column) -> Column:
-    """For each word whether it stands inside square brackets or has one, by a running depth that never falls under 0."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    count = lambda w, mark: F.length(w) - F.length(F.replace(w, F.lit(mark), F.lit("")))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<boolean>").alias("flags"))
+def bracket_flags(text: str) -> list[bool]:
+    out, depth = [], 0
+    for w in re.split(r"[ \t\n\x0b\f\r]+", text):
+        if w:
+            opened, closed = w.count("["), w.count("]")
+            out.append(depth > 0 or opened > 0 or closed > 0)
+            depth = max(0, depth + opened - closed)
+    return out
 
-    def step(acc: Column, w: Column) -> Column:
-        opened, closed = count(w, "["), count(w, "]")
-        return F.struct(
-            F.greatest(acc["depth"] + opened - closed, F.lit(0)).alias("depth"), F.concat(acc["flags"], F.array((acc["depth"] > 0) | (opened > 0) | (closed > 0))).alias("flags")
-        )
 
-    return F.aggregate(words, start, step, lambda acc: acc["flags"])
+def in_brackets(text: Column) -> Column:
+    """For each word whether it stands inside square brackets or has one, by a running depth that never falls under 0."""
+    return by_row(bracket_flags, "array<boolean>", text)
 
 
 def high_risk() -> Column:
