@@ -9,7 +9,7 @@ from ..operators import citations as C
 from ..operators import extract as E
 from ..operators import scoring as S
 from ..sources import sinks
-from .registry import query, table
+from .registry import query, table, texts
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE ELSE o_orderdate::DATE + 1 END::VARCHAR AS date, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 90 + 1) END::INT AS docket,
     CASE WHEN o_orderkey % 5 = 0 THEN 'Affidavit of Service' ELSE 'Order' END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM orders""")
@@ -104,11 +104,11 @@ def quote_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.owners(docs).select("doc_id", F.row_number().over(w).cast("long").alias("i"), "support_only")
 
 
-@query("""WITH p AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(substr(text, 20, 90)), '[a-z0-9]{3,}')) AS want, list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(text) END), '[a-z0-9]{3,}')) AS have FROM documents WHERE text IS NOT NULL),
+@query("""WITH p AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(substr(text, 20, 90)), '[a-z0-9]{3,}')) AS want, list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(text) END), '[a-z0-9]{3,}')) AS have FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
     s AS (SELECT id, CASE WHEN len(want) = 0 THEN 0.0 ELSE len(list_intersect(want, have)) / len(want) END AS score FROM p)
     SELECT id, round(score, 6)::DOUBLE AS score, score > 0.5 AS supports, round(1 - score, 6)::DOUBLE AS inextractability FROM s""")
 def support_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A passage of each document against its text, or against the text reversed, by the lexical scorer."""
-    pairs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.substring("text", 20, 90).alias("proposition"), F.expr("if(doc_id % 2 = 0, text, reverse(text))").alias("text"))
+    pairs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring("text", 20, 90).alias("proposition"), F.expr("if(doc_id % 2 = 0, text, reverse(text))").alias("text"))
     scored = S.support(pairs, size=None).select("id", "score", *S.judged(F.col("score")))
     return scored.select("id", F.round("score", 6).alias("score"), "supports", F.round("inextractability", 6).alias("inextractability"))

@@ -9,17 +9,17 @@ from ..functions import names as A
 from ..functions import normalize as N
 from ..operators import graph as R
 from ..operators import ledger as G
-from .registry import query, table
+from .registry import query, table, texts
 
 ODD = "concat(substr(text, 1, 60), ' “[T]he [sic] rule… of... law” — O0 1 rnodern *12 [345] it''s', doc_id)"
 DUCK_ODD = "substr(text, 1, 60) || ' “[T]he [sic] rule… of... law” — O0 1 rnodern *12 [345] it''s' || doc_id"
 
 
-@query(f"""WITH d AS (SELECT doc_id, translate({DUCK_ODD}, '“”„‘’‚`´—–−‒', '\"\"\"''''''''''----') AS f FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH d AS (SELECT doc_id, translate({DUCK_ODD}, '“”„‘’‚`´—–−‒', '\"\"\"''''''''''----') AS f FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents))
     SELECT doc_id, trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g'), ' ') AS alnum, regexp_replace(regexp_replace(f, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS folded FROM d""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded and letters-and-digits forms of texts with typographic marks."""
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", N.fold(F.expr(ODD.replace("it''s", "it\\'s"))).alias("f"))
+    rows = texts(spark, sf_dir).select("doc_id", N.fold(F.expr(ODD.replace("it''s", "it\\'s"))).alias("f"))
     return rows.select("doc_id", F.trim(F.regexp_replace(F.lower("f"), "[^a-z0-9]+", " ")).alias("alnum"), N.collapse(F.col("f")).alias("folded"))
 
 
@@ -33,10 +33,10 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEAD = "CASE doc_id % 5 WHEN 0 THEN 'See, e.g., ' WHEN 1 THEN '*12 ' WHEN 2 THEN 'IV. ' WHEN 3 THEN 'But see ' ELSE '' END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_replace({LEAD} || 'Xa' || substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace({LEAD} || 'Xa' || substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
     a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)^(see|see also|cf\\.|accord|but see|see, e\\.g\\.,)\\s+', ''), '^\\[?\\*?\\d{{1,4}}\\]?\\s+', ''), '(?i)^[IVX]+\\.\\s+', '') AS s FROM d) SELECT doc_id, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS sentence FROM a""")
 def sentence_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(f"concat({LEAD}, 'Xa', substr(text, 1, 30))").alias("s"))
+    rows = texts(spark, sf_dir).select("doc_id", F.expr(f"concat({LEAD}, 'Xa', substr(text, 1, 30))").alias("s"))
     return rows.select("doc_id", A.without_lead(F.col("s")).alias("sentence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
-from .registry import query, table
+from .registry import query, table, texts
 
 
 def joined(rows: DataFrame, by: str, at: str, text: str, between: str = "") -> DataFrame:
@@ -24,11 +24,11 @@ def stitched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rows(docs, lambda t: [(L.stitched(t),)], "text string")
 
 
-@query(r"""WITH d AS (SELECT doc_id, text AS t, 'Contents ........ 3' || chr(10) || 'INTRODUCTION' || chr(10) || text || chr(10) || 'Dated: now' AS b FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH d AS (SELECT doc_id, text AS t, 'Contents ........ 3' || chr(10) || 'INTRODUCTION' || chr(10) || text || chr(10) || 'Dated: now' AS b FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents))
     SELECT doc_id, md5(CASE WHEN length(b) < 500 THEN b ELSE regexp_replace('INTRODUCTION' || chr(10) || t, '\s+$', '') END) AS body_md5 FROM d""")
 def argument_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the body of a brief, between a line of its contents and a closing."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Contents ........ 3\nINTRODUCTION\n"), "text", F.lit("\nDated: now")).alias("text"))
+    docs = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("Contents ........ 3\nINTRODUCTION\n"), "text", F.lit("\nDated: now")).alias("text"))
     return L.rows(docs, lambda t: [(L.argument(t),)], "body string").select("doc_id", F.md5("body").alias("body_md5"))
 
 
@@ -43,14 +43,13 @@ def authority_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "name", "cite", F.array_join("pages", ",").alias("pages"))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) || ' *77 ' || substr(text, length(text) // 2 + 1) AS t, length(text) // 2 + 1 AS p FROM documents WHERE text IS NOT NULL),
-    w AS (SELECT *, greatest(0, p - 9000) AS low, least(length(t), p + 9003) AS high FROM d)
-    SELECT doc_id, md5(CASE WHEN length(t) <= 28000 THEN t WHEN low > 1500 THEN substr(t, 1, 1500) || chr(10) || '[...]' || chr(10) || substr(t, low + 1, high - low) ELSE substr(t, low + 1, high - low) END) AS window_md5 FROM w WHERE NOT regexp_matches(replace(t, ' *77 ', ''), '\\*\\s*77([^0-9]|$)')""")
+@query("""WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2) || ' *987654321 ' || substr(text, length(text) // 2 + 1) AS t, length(text) // 2 + 1 AS p FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
+    w AS (SELECT *, greatest(0, p - 9000) AS low, least(length(t), p + 9010) AS high FROM d)
+    SELECT doc_id, md5(CASE WHEN length(t) <= 28000 THEN t WHEN low > 1500 THEN substr(t, 1, 1500) || chr(10) || '[...]' || chr(10) || substr(t, low + 1, high - low) ELSE substr(t, low + 1, high - low) END) AS window_md5 FROM w""")
 def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents around the mark of page 77, which is put into their middle. Documents that have such a mark of their own are left out."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and not rlike(text, '\\\\*\\\\s*77([^0-9]|$)')")
-    marked = docs.select("doc_id", F.expr("concat(substr(text, 1, length(text) div 2), ' *77 ', substr(text, length(text) div 2 + 1))").alias("text"))
-    return L.rows(marked, lambda t: [(L.page_window(t, "77"),)], "w string").select("doc_id", F.md5("w").alias("window_md5"))
+    """Documents around the mark of a page that none has, which is put into their middle."""
+    marked = texts(spark, sf_dir).select("doc_id", F.expr("concat(substr(text, 1, length(text) div 2), ' *987654321 ', substr(text, length(text) div 2 + 1))").alias("text"))
+    return L.rows(marked, lambda t: [(L.page_window(t, "987654321"),)], "w string").select("doc_id", F.md5("w").alias("window_md5"))
 
 
 @query("""WITH l AS (SELECT user_id AS doc_id, event_id, event_id % 5 AS m, CASE event_id % 5 WHEN 0 THEN (event_id % 90 + 1) || ' The note' WHEN 1 THEN '' ELSE 'goes on' END AS line FROM events),
@@ -65,15 +64,15 @@ def footnote_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def single_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' turns as pages, of which every third is there twice: characters that go, and the share of doubled pages of a conversation."""
+    """Conversations with a turn a page, of which every third is there twice: characters, those that stay, and the share of doubled pages."""
     page = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), "turn", page.alias("text"))
-    return L.rows(docs, lambda t, turn: [(turn, len(t), len(L.single_layer(t)), L.doubling([t]))], "turn long, n_chars int, n_kept int, doubled double", "turn")
+    docs = joined(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(page, F.lit("")).alias("page")), "conv_id", "turn", "page", "\f")
+    return L.rows(docs, lambda t: [(len(t), sum(len(L.single_layer(p)) for p in t.split("\f")), L.doubling(t.split("\f")))], "n_chars int, n_kept int, doubled double")
 
 
-@query("""SELECT doc_id, greatest(1, ceil(length(text) / 5000.0))::BIGINT AS n, length(text)::BIGINT AS n_chars FROM documents WHERE length(text) > 0 AND NOT contains(text, chr(10)) UNION ALL SELECT doc_id, NULL, length(text) FROM documents WHERE length(text) > 0 AND contains(text, chr(10))""")
+@query("""SELECT doc_id, CASE WHEN NOT contains(text, chr(10)) THEN ceil(length(text) / 5000.0)::BIGINT END AS n, length(text)::BIGINT AS n_chars, true AS fits FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents) WHERE length(text) > 0""")
 def lookup_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of at most 5,000 characters, cut at line ends: together the text; how many is shown for texts of one line."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    """Pieces of at most 5,000 characters, cut at line ends: together the text; how many is shown for texts of one line. An empty text has none."""
+    docs = texts(spark, sf_dir)
     found = L.rows(docs.withColumn("one", ~F.contains("text", F.lit("\n"))), lambda t, one: [(one, len(p), len(p) <= 5000) for p in L.split_at_lines(t, 5000)], "one boolean, n int, fits boolean", "one")
-    return found.where("fits").groupBy("doc_id").agg(F.when(F.bool_and("one"), F.count("*")).alias("n"), F.sum("n").alias("n_chars"))
+    return found.groupBy("doc_id").agg(F.when(F.bool_and("one"), F.count("*")).alias("n"), F.sum("n").alias("n_chars"), F.bool_and("fits").alias("fits"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,3 +24,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+WHOLE = "(SELECT * REPLACE (coalesce(text, '') AS text) FROM documents) AS documents"
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a null text as an empty one; ``WHOLE`` is the same in SQL."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))

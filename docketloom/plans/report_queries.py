@@ -11,7 +11,7 @@ from ..operators import dedup as D
 from ..operators import grade as G
 from ..operators import graph as R
 from ..operators import segment as Z
-from .registry import query, table
+from .registry import query, table, texts
 
 # Dates written out from orders; every seventh has a wrong weekday, every ninth a day that doesn't exist.
 MENTION = "concat(date_format(date_add(to_date(o_orderdate), if(o_orderkey % 7 = 0, 1, 0)), 'EEEE'), ', ', date_format(o_orderdate, 'MMMM'), ' ', if(o_orderkey % 9 = 0, 31, day(o_orderdate)), ', ', year(o_orderdate))"
@@ -149,13 +149,13 @@ def route_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.crosscheck(expected, parsed).select("node", "status", F.size("unexpected").alias("n_unexpected"))
 
 
-@query("""WITH q AS (SELECT s_suppkey * 7 AS want FROM supplier), s AS (SELECT p_partkey AS n FROM part WHERE p_partkey % 5 <> 0)
+@query("""WITH q AS (SELECT s_suppkey * 7 + CASE WHEN s_suppkey % 3 = 0 THEN 100000 ELSE 0 END AS want FROM supplier), s AS (SELECT p_partkey AS n FROM part)
     SELECT want, n AS section, 'exact' AS kind FROM q JOIN s ON n = want
     UNION ALL SELECT want, n, 'near' FROM (SELECT want, n, row_number() OVER (PARTITION BY want ORDER BY n) AS r FROM q JOIN s ON substr(n::VARCHAR, 1, 2) = substr(want::VARCHAR, 1, 2) WHERE want NOT IN (SELECT n FROM s)) WHERE r <= 8""")
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section by number; else up to eight that share two leading characters, in numeric order."""
-    want = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("want"))
-    sections = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("section"))
+    want = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey * 7 + if(s_suppkey % 3 = 0, 100000, 0)").alias("want"))
+    sections = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("section"))
     exact = want.join(sections, F.col("want") == F.col("section")).select("want", "section", F.lit("exact").alias("kind"))
     prefix = lambda c: F.substring(F.col(c).cast("string"), 1, 2)
     lost = want.join(sections, F.col("want") == F.col("section"), "left_anti").withColumn("p", prefix("want"))
@@ -240,7 +240,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Lines of a text that aren't only spaces, put together by a running length that starts anew when it passes 800: a recursion over the lines.
-@query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, trim(line, ' ') AS line, length(trim(line, ' ')) AS len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL) WHERE trim(line, ' ') <> ''),
+@query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, trim(line, ' ') AS line, length(trim(line, ' ')) AS len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)) WHERE trim(line, ' ') <> ''),
     w AS (SELECT doc_id, i, len, 0 AS c, len + 2 AS n FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, p.len, CASE WHEN n + p.len > 800 THEN c + 1 ELSE c END, CASE WHEN n + p.len > 800 THEN p.len ELSE n + p.len + 2 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
     SELECT doc_id, c::INT AS i, (sum(len) + count(*) - 1)::INT AS n_chars FROM w GROUP BY doc_id, c""")
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

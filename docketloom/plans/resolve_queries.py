@@ -9,7 +9,7 @@ from ..functions import names as A
 from ..functions import normalize as N
 from ..operators import resolve as R
 from .match_queries import sql_tokens
-from .registry import query, table
+from .registry import query, table, texts
 
 NAME = """CASE p_partkey % 6 WHEN 0 THEN 'In re ' || p_name WHEN 1 THEN p_name || ' vs. ' || p_type || ', 12 F.3d 345' WHEN 2 THEN p_name || ', v. ' || p_type || ' (1999)' WHEN 3 THEN '*' || p_name || '* V. ' || p_type ELSE p_name || ' v ' || p_type || ',' END"""
 FIRST = """CASE p_partkey % 6 WHEN 0 THEN 'In re ' || p_name WHEN 3 THEN '*' || p_name || '*' ELSE p_name END"""
@@ -39,11 +39,11 @@ def cite_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHOWN = """CASE doc_id % 5 WHEN 0 THEN '“' || substr(text, 1, 20) WHEN 1 THEN substr(text, 1, 20) || '”' WHEN 2 THEN '"' || substr(text, 1, 20) WHEN 3 THEN substr(text, 1, 20) || '"' ELSE substr(text, 1, 20) END"""
 
 
-@query(f"""WITH s AS (SELECT doc_id, trim({SHOWN}, ' ') AS s FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH s AS (SELECT doc_id, trim({SHOWN}, ' ') AS s FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
     c AS (SELECT doc_id, CASE WHEN length(s) - length(replace(s, '”', '')) > length(s) - length(replace(s, '“', '')) THEN '“' || s WHEN length(s) - length(replace(s, '“', '')) > length(s) - length(replace(s, '”', '')) THEN s || '”' ELSE s END AS s FROM s)
     SELECT doc_id, CASE WHEN (length(s) - length(replace(s, '"', ''))) % 2 = 1 THEN CASE WHEN length(s) - instr(reverse(s), '"') > length(s) / 2 THEN '"' || s ELSE s || '"' END ELSE s END AS shown FROM c""")
 def balanced_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", A.balanced(F.expr(SHOWN)).alias("shown"))
+    return texts(spark, sf_dir).select("doc_id", A.balanced(F.expr(SHOWN)).alias("shown"))
 
 
 ENTRY = "l_suppkey || ' F.3d ' || (l_partkey % 50) AS key, CASE l_linenumber % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 300 END AS status, l_orderkey * 10 + l_linenumber AS pos, l_partkey::VARCHAR AS value"

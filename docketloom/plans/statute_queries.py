@@ -27,14 +27,15 @@ def statute_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.targets(rows, rows).select("cite_id", "code", "section", "distance", "rank")
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k, regexp_replace(lower(trim(regexp_replace(replace(replace(substr(text, 1, 400), '“', '"'), '”', '"'), '\\s+', ' ', 'g'), ' ')), '[\\[\\]"…]', '', 'g') AS t, length(text) AS n FROM documents)
-    SELECT doc_id, CASE WHEN k = 1 OR k = 4 THEN 0 ELSE 1 END::INT AS matched, 1 AS total, CASE WHEN k >= 3 THEN '2019,2021' ELSE '' END AS later FROM d WHERE n >= 200 AND regexp_full_match(substr(t, 1, 60), '[a-zäöüßéèêàçñáíóúâîôû ]{60}')""")
+SECTION = "concat('a person of class ', o_custkey, ' must give notice ', o_orderkey, ' to the owner within ten days of the sale')"
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 4) THEN 0 ELSE 1 END::INT AS matched, 1 AS total, CASE WHEN o_orderkey % 6 >= 3 THEN '2019,2021' ELSE '' END AS later FROM orders""")
 def statute_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage of each document that begins with plain words against its own text as the section's: whole, with another word, with an ellipsis."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 200")
-    flat = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), "[“”]", '"'), r"\s+", " "))), r'[\[\]"…]', "")
-    docs = docs.select("doc_id", flat.alias("t"), (F.col("doc_id") % 6).alias("k")).where("rlike(substr(t, 1, 60), '^[a-zäöüßéèêàçñáíóúâîôû ]{60}$')")
-    quote = F.expr("case k when 1 then concat(substr(t, 1, 30), 'zzz', substr(t, 31, 30)) when 2 then concat(substr(t, 1, 28), '. . .', substr(t, 33, 28)) when 4 then concat(substr(t, 1, 25), '…', 'not in this text at all') else concat('[', substr(t, 1, 1), ']', substr(t, 2, 40)) end")
-    acts = F.expr("concat(t, ' Acts 2001, ch. 1; Acts 2021, ch. 2; Acts 2019')")
-    cite = F.expr("if(k >= 3, 'A v. B (Tex. 2015)', 'A v. B (Tex. 2022)')")
-    return docs.select("doc_id", S.check(F.array(quote), acts, cite).alias("c")).select("doc_id", "c.matched", "c.total", F.array_join(F.transform("c.later", lambda y: y.cast("string")), ",").alias("later"))
+    """A passage of a section for each order, against its text: whole with a changed capital, with another word, with ellipses, one of them with words that aren't there."""
+    quote = F.expr("""case o_orderkey % 6 when 1 then concat('must give notice ', o_orderkey + 1, ' to the owner') when 2 then concat('A person of class ', o_custkey, ' must give . . . the owner within ten days')
+        when 4 then concat('must give notice ', o_orderkey, '…', 'to whom it may concern') else concat('[M]ust give “notice” ', o_orderkey, ' to the  owner within ten days') end""")
+    text = F.concat(F.replace(F.expr(SECTION), F.lit("notice"), F.lit('"notice"')), F.lit(" Acts 2001, ch. 1; Acts 2021, ch. 2; Acts 2019"))
+    quote = F.when(F.col("o_orderkey") % 6 == 2, quote).otherwise(F.replace(F.replace(quote, F.lit("give notice"), F.lit("give “notice”")), F.lit("““"), F.lit("“")))
+    cite = F.expr("if(o_orderkey % 6 >= 3, 'A v. B (Tex. 2015)', 'A v. B (Tex. 2022)')")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.check(F.array(quote), text, cite).alias("c")).select("o_orderkey", "c.matched", "c.total", F.array_join(F.transform("c.later", lambda y: y.cast("string")), ",").alias("later"))

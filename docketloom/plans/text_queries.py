@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..operators import dedup as D
 from ..operators import quotes as Q
-from .registry import query, table
+from .registry import query, table, texts
 
 FOLD = "lower(trim(regexp_replace(regexp_replace(translate({c}, '“”„‘’‚`´—–−‒', '\"\"\"''''''''''----'), '[*_]', '', 'g'), '\\s+', ' ', 'g')))"
 
@@ -47,7 +47,7 @@ ALTERED = """case doc_id % 5 when 0 then regexp_replace(excerpt, '(\\\\w)\\\\w(\
 
 
 def attributed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("excerpt", F.expr(EXCERPT))
+    docs = texts(spark, sf_dir).withColumn("excerpt", F.expr(EXCERPT))
     return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.expr(ALTERED).alias("quote"), "text")
 
 
@@ -58,11 +58,11 @@ def quote_best_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("ratio", 2).alias("similarity"), Q.grade(F.col("ratio"), F.col("word_ratio"), F.lit(False)).alias("result"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {sql_fold('text')} AS hay, {sql_fold("substr(text, 31, 14)")} AS needle FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH d AS (SELECT doc_id, {sql_fold('text')} AS hay, {sql_fold("substr(text, 31, 14)")} AS needle FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents))
     SELECT doc_id, CASE WHEN needle <> '' AND contains(hay, CASE WHEN doc_id % 3 = 0 THEN reverse(needle) ELSE needle END) THEN 'VERBATIM' ELSE 'FABRICATED' END AS result FROM d""")
 def quote_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short quotation of each document, every third one reversed: it stands there or it is made up."""
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", N.duplicate_fold(F.col("text")).alias("hay"), N.duplicate_fold(F.substring("text", 31, 14)).alias("needle"))
+    rows = texts(spark, sf_dir).select("doc_id", N.duplicate_fold(F.col("text")).alias("hay"), N.duplicate_fold(F.substring("text", 31, 14)).alias("needle"))
     needle = F.when(F.col("doc_id") % 3 == 0, F.reverse("needle")).otherwise(F.col("needle"))
     return rows.select("doc_id", Q.strict(needle, F.col("hay")).alias("result"))
 
@@ -79,14 +79,14 @@ def quote_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", Q.recheck(made("wr", "ws"), made("fr", "fs"), F.col("whole")).alias("x")).select("event_id", "x.*")
 
 
-@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS pos FROM documents WHERE length(text) > 0),
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS pos FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)),
     c AS (SELECT *, greatest(pos - 80, 0) AS lo, least(pos + 20 + 80, n) AS hi FROM d), t AS (SELECT *, trim(substr(text, lo + 1, hi - lo), ' ') AS cut FROM c),
     h AS (SELECT *, CASE WHEN lo > 0 AND instr(cut, '. ') > 1 AND instr(cut, '. ') - 1 < 80 THEN substr(cut, instr(cut, '. ') + 2) ELSE cut END AS head FROM t),
     l AS (SELECT *, length(head) - instr(reverse(head), ' .') - 1 AS last FROM h)
     SELECT doc_id, trim(CASE WHEN hi < n AND contains(head, '. ') AND last > length(head) - 80 AND last > 0 THEN substr(head, 1, last + 1) ELSE head END, ' ') AS passage FROM l""")
 def quote_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty characters from the middle of each document in their sentences."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", Q.passage(F.col("text"), F.expr("length(text) div 2"), F.lit(20)).alias("passage"))
 
 
@@ -115,7 +115,7 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, trim(line) = '' OR NOT (regexp_matches(trim(line), '(?i)^(={{5,}}|<!--.*-->|[\\s—-]*\\d{{1,4}}[\\s—-]*|[ivxlcdm]{{1,7}})$') OR (length(key) >= 12 AND count(*) OVER (PARTITION BY doc_id, key) >= 3)) AS kept FROM l)
     SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '') AS text, count(*) FILTER (NOT kept)::INT AS n_dropped FROM m GROUP BY doc_id""")
 def strip_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.strip_furniture(table(spark, sf_dir, "documents").where("text is not null"))
+    return D.strip_furniture(texts(spark, sf_dir))
 
 
 @query("""
