@@ -93,9 +93,9 @@ def word_checks(paragraphs: DataFrame) -> DataFrame:
 
 
 def prefer_sidecar(files: DataFrame, sidecars: DataFrame, least: int = 20) -> DataFrame:
-    """files (path, text) with the text of an equally named sidecar where that has ``least`` characters."""
+    """files (path, text) with the text of an equally named sidecar (of several the first by path) where that has ``least`` characters."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    side = sidecars.where(F.length(F.trim("text")) >= least).select(stem.alias("stem"), F.col("text").alias("side"))
+    side = sidecars.where(F.length(F.trim("text")) >= least).groupBy(stem.alias("stem")).agg(F.min_by("text", "path").alias("side"))
     return files.withColumn("stem", stem).join(side, "stem", "left").select("path", F.coalesce("side", "text").alias("text"), F.col("side").isNotNull().alias("from_sidecar"))
 
 
@@ -111,7 +111,10 @@ class Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Reads pages of a service through a function (page number -> rows or None past the end); a partition is a run of pages."""
+    """Reads pages of a service through a function (page number -> rows or None past the end); a partition is a run of pages.
+
+    What is left out shows: where more pages follow the last one allowed, or a page fails, a row without an id says so in ``note``. The pages before a failure stay.
+    """
 
     def __init__(self, options: dict):
         self.module, _, self.name = options["fetch"].rpartition(":")
@@ -124,23 +127,31 @@ class PagedReader(DataSourceReader):
         import importlib
 
         fetch = getattr(importlib.import_module(self.module), self.name)
-        for page in range(partition.start, partition.end):
-            rows = fetch(page)
+        last = partition.end == self.pages
+        for page in range(partition.start, partition.end + last):
+            try:
+                rows = fetch(page)
+            except Exception as e:  # noqa: BLE001 - the function is foreign code
+                yield page, -1, None, None, f"failed: {type(e).__name__}"
+                return
             if rows is None:
                 return
+            if page == self.pages:
+                yield page, -1, None, None, "truncated"
+                return
             for i, (id_, payload) in enumerate(rows):
-                yield page, i, id_, payload
+                yield page, i, id_, payload, None
 
 
 class PagedSource(DataSource):
-    """format("paged"): page, i, id, payload. Options: fetch ("module:function"), maxpages, pagesperpartition."""
+    """format("paged"): page, i, id, payload, note. Options: fetch ("module:function"), maxpages, pagesperpartition."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "page int, i int, id string, payload string"
+        return "page int, i int, id string, payload string, note string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)

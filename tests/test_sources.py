@@ -57,6 +57,27 @@ def test_paged_source(spark):
     assert sorted(r.id for r in df.collect()) == [f"{p}-{i}" for p in range(4) for i in range(3)]
 
 
+def failing(page: int):
+    if page == 3:
+        raise TimeoutError
+    return fetch(page)
+
+
+def test_what_a_paged_source_leaves_out_shows(spark):
+    spark.dataSource.register(files.PagedSource)
+    read = lambda name, most: spark.read.format("paged").option("fetch", f"tests.test_sources:{name}").option("maxPages", most).option("pagesPerPartition", "2").load().collect()
+    assert [(r.page, r.note) for r in read("fetch", "3") if r.id is None] == [(3, "truncated")]
+    assert [r.note for r in read("fetch", "4") if r.id is None] == []
+    rows = read("failing", "6")
+    assert [(r.page, r.note) for r in rows if r.id is None] == [(3, "failed: TimeoutError")] and {r.page for r in rows if r.id} == {0, 1, 2}
+
+
+def test_sidecars_of_one_name_count_once(spark):
+    got = spark.createDataFrame([("/a/x.md", "t")], "path string, text string")
+    side = spark.createDataFrame([("/s/x.txt", "second of twenty letters"), ("/r/x.txt", "first of twenty letters")], "path string, text string")
+    assert [r.text for r in files.prefer_sidecar(got, side).collect()] == ["first of twenty letters"]
+
+
 def test_opinion_text(spark):
     rows = spark.createDataFrame([(" ", "<p>a &amp; b</p>"), ("plain", "<p>x</p>"), (None, None)], "plain string, html string")
     assert [r.t for r in rows.select(files.opinion_text("plain", "html").alias("t")).collect()] == ["a & b", "plain", None]
