@@ -13,6 +13,9 @@ Ranks come from a range partitioning: rows are numbered inside their partition,
 whole, is written by one task in a stream from an external sort. Days and files, bounded by the layout, are
 the only lists that meet; a join broadcasts one only behind a count.
 
+A run that is cut off between the two last steps, new files and the removal of numbers that a day no longer reaches, leaves some of these;
+taking the same rows in again mends it, as every day where a key stands twice counts as touched.
+
 Edge cases: a null time belongs to day -1 and sorts first, as does a null key; null keys are one key; a null arrival is earlier than
 any other; of rows that arrived together the later time, then the later source row stays. Repeated rows are rows with one key. Empty inputs leave an empty
 folder. Extra columns travel along; should one be called like a partition column, the partition's name gets an underscore. A clash of
@@ -87,11 +90,11 @@ def _narrow(rows: DataFrame, layout: Layout, late: bool) -> DataFrame:
 
 
 def _latest(narrow: DataFrame) -> DataFrame:
-    """One row a key, its latest, with the day where the key stood before (null: nowhere)."""
+    """One row a key, its latest, with the days where the key stood before: one, or two if a run was cut off (null: nowhere)."""
     top = F.max(F.struct("_arrived", "_at", "_late", *POINTER))
-    stood = F.max(F.when(~F.col("_late"), day_of(F.col("_at"))))
-    best = narrow.groupBy("_key").agg(top.alias("t"), stood.alias("_stood"))
-    return best.select("_key", "t._at", "t._late", "t._file", "t._row", "_stood", day_of(F.col("t._at")).alias("_day"))
+    stood = F.when(~F.col("_late"), day_of(F.col("_at")))
+    best = narrow.groupBy("_key").agg(top.alias("t"), F.min(stood).alias("_from"), F.max(stood).alias("_to"))
+    return best.select("_key", "t._at", "t._late", "t._file", "t._row", "_from", "_to", day_of(F.col("t._at")).alias("_day"))
 
 
 def _plan(kept: DataFrame, rows_per_file: int) -> DataFrame:
@@ -143,7 +146,7 @@ def take_in(late: DataFrame, layout: Layout) -> None:
     spark = late.sparkSession
     standing = layout.read(spark)
     kept = stage(_latest(_narrow(standing, layout, late=False).union(_narrow(late, layout, late=True))), "late-kept")
-    touched = kept.where("_late").select(F.explode(F.array("_day", "_stood")).alias("_day")).where("_day is not null").distinct()
+    touched = kept.where("_late").select(F.explode(F.array("_day", "_from", "_to")).alias("_day")).where("_day is not null").distinct()
     touched = stage(touched, "late-days")
     plan = stage(_plan(kept.join(small(touched), "_day", "left_semi"), layout.rows_per_file), "late-plan")
     old = standing.join(small(touched), F.col(layout.day) == F.col("_day"), "left_semi")

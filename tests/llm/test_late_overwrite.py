@@ -3,6 +3,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +124,25 @@ def test_edges(spark):
     assert {k: v[1] for k, v in contents(layout_, spark).items() if k[0] in (19723, 19725)} == {(19723, 0): [1], (19723, 1): [2], (19725, 0): [4], (19725, 1): [6]}
 
 
+@pytest.mark.parametrize("to", [2, 9])
+def test_a_run_that_is_cut_off(spark, monkeypatch, to):
+    d = lambda n: datetime(2024, 1, n)
+    early = rows_of(spark, [(i, d(5), d(5)) for i in range(4)] + [(9, d(9), d(9)), (2, d(2), d(1))])
+    layout_ = lo.Layout(shared_dir(spark, "test-layout"), 1, early.schema)
+    lo.lay_out(early, layout_)
+    late = rows_of(spark, [(3, d(to), d(20))])
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+        m.setattr(lo, "_remove", dies)
+        lo.take_in(late, layout_)
+    assert sorted(i for _, ids in contents(layout_, spark).values() for i in ids) == [0, 1, 2, 3, 3, 9]
+    lo.take_in(late, layout_)
+    assert sorted(i for _, ids in contents(layout_, spark).values() for i in ids) == [0, 1, 2, 3, 9]
+
+
 def test_empty(spark):
     none = spark.read.parquet(f"{samples.SF}/sales.parquet").where("false")
     layout_ = lo.Layout(shared_dir(spark, "test-layout"), 3, none.schema)
