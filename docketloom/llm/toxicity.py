@@ -261,14 +261,9 @@ def recurring(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (np.minimum(n, OFTEN) / OFTEN).astype(F32)
 
 
-def spread(buckets: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """By bucket: how much more it counts in toxic documents than chance would have it, in standard deviations, scaled and clipped."""
-    t, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for (b, n), y in zip(buckets, toxic, strict=True):
-        all_[b] += n
-        if y:
-            t[b] += n
-    expected = all_ * (toxic.mean() if len(toxic) else 0.0)
+def spread(t: np.ndarray, all_: np.ndarray, rate: float) -> np.ndarray:
+    """By bucket: how much more it counts in toxic documents (``t`` of ``all_``) than their share would have it, in standard deviations, scaled and clipped."""
+    expected = all_ * rate
     z = (t - expected) / np.sqrt(expected + 1)
     return np.where(all_ > 0, np.clip(z, -3, 8) / 4, 0).astype(F32)
 
@@ -292,18 +287,22 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 7, least_steps: i
         net.constant = float(toxic.mean()) if len(toxic) else 0.1
         return net
     rng = np.random.default_rng(seed)
-    by_word, by_gram = [], []
-    for t in texts:  # one document's words at a time
-        own = words_of(t)
-        by_word.append(recurring(word_buckets(own)))
-        by_gram.append(recurring(gram_buckets(own)[0] if own else np.empty(0, np.int64)))
     fold = np.arange(len(texts)) % 2
     fold[toxic] = np.arange(toxic.sum()) % 2
-    stats = []  # for each fold the counts of the other, so that no document meets its own label in its inputs
-    for table, buckets in ((net.word, by_word), (net.gram, by_gram)):
-        touched = np.unique(np.concatenate([b for b, _ in buckets]))
+    counts = np.zeros((2, 2, 2, BUCKETS))  # of words and n-grams, by fold: in toxic documents, in all
+    for text, k, y in zip(texts, fold, toxic, strict=True):  # one document's words at a time
+        own = words_of(text)
+        for kind, buckets in enumerate((word_buckets(own), gram_buckets(own)[0] if own else np.empty(0, np.int64))):
+            at, n = recurring(buckets)
+            counts[kind, k, 1, at] += n
+            if y:
+                counts[kind, k, 0, at] += n
+    stats = []  # for each fold from the counts of the other, so that no document meets its own label in its inputs
+    for kind, table in enumerate((net.word, net.gram)):
+        touched = np.flatnonzero(counts[kind, :, 1].any(axis=0))
         table[touched, 1:] = rng.standard_normal((len(touched), EMBED - 1)).astype(F32) * F32(0.02)
-        stats.append([spread([b for b, f in zip(buckets, fold, strict=True) if f != k], toxic[fold != k]) for k in (0, 1)])
+        rate = [toxic[fold == k].mean() if (fold == k).any() else 0.0 for k in (0, 1)]
+        stats.append([spread(*counts[kind, 1 - k], rate[1 - k]) for k in (0, 1)])
         stats[-1].append((stats[-1][0] + stats[-1][1]) / 2)
     words, ids, begin, sizes = number(texts)
     word_b, (gram_b, gram_at) = word_buckets(words), gram_buckets(words)
