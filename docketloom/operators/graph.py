@@ -54,15 +54,17 @@ def reachable(edges: DataFrame) -> DataFrame:
     return spread(edges, edges.select(F.col("dst").alias("node"), F.col("src").alias("label")).where("label is not null")).select(F.col("label").alias("src"), F.col("node").alias("dst"))
 
 
-def least_before(edges: DataFrame) -> DataFrame:
-    """node, least: of all nodes with a way to a node, and itself, the first by hash. Only colours that changed travel on."""
+def least_both_ways(edges: DataFrame) -> DataFrame:
+    """node, least, back: of all nodes with a way to a node, and itself, the first by hash; and of those that it has a way to. Both go round together, and only colours that changed travel on."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    state = stage(ends.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("least"), F.lit(True).alias("changed")), "colours")
+    ways = stage(edges.select("src", "dst", F.lit(0).alias("way")).union(turned(edges).select("src", "dst", F.lit(1))), "ways")
+    state = ends.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("least"), F.lit(True).alias("changed"))
+    state = stage(state, "colours")
     while not state.where("changed").isEmpty():
-        offers = state.where("changed").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("least").alias("offer"))
-        both = state.join(offers, F.col("node") == F.col("dst"), "left")
-        state = stage(both.select("node", F.least("least", "offer").alias("least"), F.coalesce(F.col("offer") < F.col("least"), F.lit(False)).alias("changed")), "colours")
-    return state.select("node", "least")
+        offers = state.where("changed").withColumnRenamed("node", "src").join(ways, ["src", "way"]).groupBy(F.col("dst").alias("node"), "way").agg(F.min("least").alias("offer"))
+        both = state.join(offers, ["node", "way"], "left")
+        state = stage(both.select("node", "way", F.least("least", "offer").alias("least"), F.coalesce(F.col("offer") < F.col("least"), F.lit(False)).alias("changed")), "colours")
+    return state.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("least"))).alias("least"), F.max(F.when(F.col("way") == 1, F.col("least"))).alias("back"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,8 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     live = stage(all_edges.where("src <> dst"), "live")
     spark, folder, paths = edges.sparkSession, shared_dir(edges.sparkSession, "components"), []
     while not live.isEmpty():
-        forward, backward = least_before(live), least_before(turned(live)).withColumnRenamed("least", "back")
-        coloured = stage(forward.join(backward, "node"), "coloured")
+        coloured = stage(least_both_ways(live), "coloured")
         paths.append(f"{folder}/{len(paths)}")
         written(coloured.where("least = back").select("node", F.col("least.n").alias("head")), paths[-1])
         open_ = coloured.where("least <> back").select("node", F.struct("least", "back").alias("c"))
