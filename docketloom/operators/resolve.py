@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import large
+
 BIN = 512
 
 
@@ -161,7 +163,7 @@ def routing_sentences(nodes: DataFrame, predicates: DataFrame, others: DataFrame
 
     nodes: key, logic; predicates: node, source, answer, scope, unanimous, pos; others: node, target, kind, pos (a blocker's node blocks its target); numbers: key, number.
     """
-    number = numbers.select(F.col("key").alias("source"), F.col("number").alias("n"))
+    number = large(numbers.select(F.col("key").alias("source"), F.col("number").alias("n")))
     said = lambda n, answer, unanimous, tail: F.concat(F.lit("you "), unanimous, F.lit("answered “"), answer, F.lit("” to Question No. "), n.cast("string"), tail)
     tail = F.when(F.col("scope") == "any_party", " regarding any party").when(F.col("scope") == "same_party", " regarding a party").otherwise("")
     first = predicates.join(number, "source").select("node", F.lit(0).alias("kind"), "pos", said(F.col("n"), F.col("answer"), F.when(F.col("unanimous"), "unanimously ").otherwise(""), tail).alias("text"), (F.col("scope") == "same_party").alias("per_party"))
@@ -172,7 +174,7 @@ def routing_sentences(nodes: DataFrame, predicates: DataFrame, others: DataFrame
     grouped = all_.groupBy("node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "text"))), lambda x: x["text"]).alias("conditions"), F.bool_or("per_party").alias("per_party"), F.bool_or(F.col("kind") == 1).alias("blocked")
     )
-    joined = grouped.join(nodes.select(F.col("key").alias("node"), "logic"), "node").join(numbers.select(F.col("key").alias("node"), "number"), "node")
+    joined = grouped.join(large(nodes.select(F.col("key").alias("node"), "logic")), "node").join(large(numbers.select(F.col("key").alias("node"), "number")), "node")
     joiner = F.when(F.col("blocked") | (F.col("logic") == "AND"), F.array_join("conditions", " and ")).otherwise(F.array_join("conditions", " or "))
     me = F.concat(F.lit("Question No. "), F.col("number").cast("string"))
     return joined.select("node", F.concat(F.lit("If "), joiner, F.lit(", then answer "), me, F.when(F.col("per_party"), " regarding that party").otherwise(""), F.lit(". Otherwise, do not answer "), me, F.lit(".")).alias("sentence"))

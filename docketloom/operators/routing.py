@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import large
+
 # A heading is in capitals, a reference is not; how instructions and their conditions are worded, in two styles.
 HEADING, RULING = re.compile(r"QUESTION\s+NO\.\s*\d+"), re.compile(r"GRANTED:")
 CONDITION = re.compile(
@@ -78,8 +80,8 @@ def routes(docs: DataFrame) -> DataFrame:
 
 def expected(predicates: DataFrame, others: DataFrame, numbers: DataFrame) -> DataFrame:
     """doc_id, target, want: what each question of a map depends on. predicates: doc_id, node, source, answer, unanimous; others: doc_id, node, target, kind; numbers: doc_id, key, number."""
-    source = numbers.select("doc_id", F.col("key").alias("source"), F.col("number").alias("s"))
-    target = numbers.select("doc_id", F.col("key").alias("node"), F.col("number").alias("target"))
+    source = large(numbers.select("doc_id", F.col("key").alias("source"), F.col("number").alias("s")))
+    target = large(numbers.select("doc_id", F.col("key").alias("node"), F.col("number").alias("target")))
     given = predicates.select("doc_id", "node", "source", "answer", F.coalesce("unanimous", F.lit(False)).alias("unanimous"))
     no = lambda rows, node, source: rows.select("doc_id", F.col(node).alias("node"), F.col(source).alias("source"), F.lit("No").alias("answer"), F.lit(False).alias("unanimous"))
     all_ = given.union(no(others.where("kind = 'blocks'"), "target", "node")).union(no(others.where("kind = 'alternative'"), "node", "target"))
@@ -92,12 +94,11 @@ def checked(found: DataFrame, want: DataFrame) -> DataFrame:
 
     matched: its conditions are among those expected; mismatch; unparsed: it has none; unmapped: the map has none for its target; group, lost: no single target; missing.
     """
-    both = found.join(want.withColumn("_known", F.lit(True)), ["doc_id", "target"], "left")
+    found, known = found.withColumn("_found", F.lit(True)), large(want.withColumn("_known", F.lit(True)))
+    both = found.join(known, ["doc_id", "target"], "full")  # one pass over the texts: what is read back and what is missing
     none = F.array().cast(ROUTE)
     extra = F.array_except("conditions", F.coalesce("want", none))
     status: Column = (
-        F.when(F.col("kind").isin("group", "lost"), F.col("kind")).when(F.col("_known").isNull(), "unmapped").when(F.size("conditions") == 0, "unparsed").when(F.size(extra) == 0, "matched").otherwise("mismatch")
+        F.when(F.col("_found").isNull(), "missing").when(F.col("kind").isin("group", "lost"), F.col("kind")).when(F.col("_known").isNull(), "unmapped").when(F.size("conditions") == 0, "unparsed").when(F.size(extra) == 0, "matched").otherwise("mismatch")
     )
-    rows = both.select("doc_id", "target", status.alias("status"), F.when(F.col("_known"), extra).otherwise(none).alias("unexpected"))
-    missing = want.join(found.select("doc_id", "target").distinct(), ["doc_id", "target"], "left_anti")
-    return rows.union(missing.select("doc_id", "target", F.lit("missing"), none))
+    return both.select("doc_id", "target", status.alias("status"), F.when(F.col("_found") & F.col("_known"), extra).otherwise(none).alias("unexpected"))

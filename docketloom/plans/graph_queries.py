@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import routing
 from ..operators.resolve import routing_sentences
-from ..operators.staging import stage
+from ..operators.staging import large, stage
 from .registry import query, table
 
 LINES = """l AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS node, l_orderkey AS o FROM lineitem),
@@ -72,7 +72,7 @@ def routing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicates = s.where("i >= 2").selectExpr("o as doc_id", "node", "p as source", "if(node % 2 = 0, 'Yes', 'No') as answer", "case node % 3 when 0 then 'any_party' when 1 then 'same_party' else 'all' end as scope", "node % 5 = 0 as unanimous", "1 as pos")
     others = s.where("i >= 3 and node % 4 = 0").selectExpr("o as doc_id", "node", "q as target", "'alternative' as kind", "1 as pos")
     said = routing_sentences(s.selectExpr("node as key", "if(node % 2 = 0, 'AND', 'OR') as logic"), predicates, others, numbers)
-    rows = s.join(said, "node", "left").withColumn("sentence", F.when((F.col("o") % 11 == 0) & (F.col("i") == 2), "").otherwise(F.coalesce("sentence", F.lit(""))))
+    rows = s.join(large(said), "node", "left").withColumn("sentence", F.when((F.col("o") % 11 == 0) & (F.col("i") == 2), "").otherwise(F.coalesce("sentence", F.lit(""))))
     told = F.when(F.col("o") % 5 == 0, F.replace("sentence", F.lit("“Yes”"), F.lit("“No”"))).otherwise(F.col("sentence"))
     told = F.when(F.col("o") % 7 == 0, F.regexp_replace(told, r"then answer Question No\. \d+", "then answer the following question")).otherwise(F.replace(told, F.lit(" "), F.lit("\n ")))
     part = F.concat(told, F.lit("\nQUESTION NO. 99 Did it happen?\nGRANTED: ____\n"))
