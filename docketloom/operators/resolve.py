@@ -17,17 +17,18 @@ def lookup_map(entries: DataFrame) -> DataFrame:
 
 
 def contained_cite(cites: DataFrame, listed: DataFrame, width: int = 4) -> DataFrame:
-    """cite_id, list_id: the first listed cite (by list_id) that contains a cite's compact key of four characters or more.
+    """cite_id, list_id: the first listed cite (by list_id) that contains a cite's compact key of ``width`` characters or more.
 
-    Keys: (cite_id, key) and (list_id, listed). The key's first ``width`` characters are looked up among all runs of
-    so many characters of the listed cites, which are short; so nothing is compared that shares no run.
+    Keys: (cite_id, key) and (list_id, listed). Listed cites are short: each gives its runs of the lengths that keys have, the first listed cite of
+    a run is found before anything is joined, and a key meets but one row, however many listed cites hold it.
     """
-    keys = cites.where(F.length("key") >= width).select("key").distinct().withColumn("run", F.substring("key", 1, width))
-    chars = F.split("listed", "")
-    runs = F.when(F.length("listed") >= width, F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("listed") - width), lambda i: F.concat(*(chars[i + j] for j in range(width))))))
-    pieces = listed.select("list_id", "listed", F.explode(runs).alias("run"))
-    hits = keys.join(pieces, "run").where(F.contains("listed", "key")).groupBy("key").agg(F.min("list_id").alias("list_id"))
-    return cites.select("cite_id", "key").join(hits, "key").select("cite_id", "list_id")
+    cites = cites.where(F.length("key") >= width)
+    sizes = cites.agg(F.array_sort(F.collect_set(F.length("key"))).alias("sizes"))  # one row, of a few numbers
+    ends = F.transform("sizes", lambda n: F.when(F.length("listed") >= n, F.transform(F.sequence(F.lit(1), F.length("listed") - n + 1), lambda i: F.substring("listed", i, n))))
+    runs = F.array_distinct(F.flatten(F.filter(ends, lambda r: r.isNotNull())))
+    pieces = listed.crossJoin(F.broadcast(sizes)).select("list_id", F.explode(runs).alias("key"))
+    first = pieces.groupBy("key").agg(F.min("list_id").alias("list_id"))
+    return cites.join(large(first), "key").select("cite_id", "list_id")
 
 
 def choose_candidate(candidates: DataFrame, most: int = 3) -> DataFrame:

@@ -18,3 +18,15 @@ def plan(df):
 def test_routing_joins_are_not_broadcast_and_texts_are_read_once(spark):
     text = plan(catalogue.QUERIES["routing_roundtrip"](spark, SF))
     assert "BroadcastExchange" not in text and text.count("MapInArrow") == 1
+
+
+def test_a_contained_cite_meets_one_row(spark):
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("12f") for _ in range(n))
+    listed = [(i, digits(r.randrange(12))) for i in range(200)] + [(900, None), (901, "9991f")] + [(1000 + i, "9992f") for i in range(50)]
+    cites = [(i, digits(r.randrange(2, 9))) for i in range(300)] + [(500, None), (501, "9992f")]
+    got = resolve.contained_cite(spark.createDataFrame(cites, "cite_id long, key string"), spark.createDataFrame(listed, "list_id long, listed string"))
+    want = {c: min(hits) for c, k in cites if k and len(k) >= 4 and (hits := [i for i, t in listed if t and k in t])}
+    assert {x.cite_id: x.list_id for x in got.collect()} == want and want[501] == 1000
+    join = plan(got).index("SortMergeJoin")
+    assert "min(list_id" in plan(got)[join:]  # the first listed cite of a run is known before the join
