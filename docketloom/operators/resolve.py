@@ -63,13 +63,15 @@ def archive_match(cites: DataFrame, entries: DataFrame, least: int = 2) -> DataF
     """cite_id, entry_id, score: the docket entry of a day before to a day after the decision that reads like a ruling and holds most name tokens in its slug.
 
     cites: cite_id, date, tokens; entries: entry_id, filed, description, slug. Days are the join keys; an exact day counts one more; ties go to the smaller id.
+    Equal names of one day are looked up once, and of equal slugs of one day only the first can win, so what is compared grows with different texts, not with rows.
     """
-    days = cites.select("cite_id", "date", "tokens", F.explode(F.array(F.date_sub("date", 1), F.col("date"), F.date_add("date", 1))).alias("filed"))
-    both = days.join(entries.where(F.col("description").rlike(RULING)), "filed")
-    matched = F.size(F.filter("tokens", lambda t: F.contains(F.lower("slug"), t)))
-    scored = both.withColumn("m", matched).where(F.col("m") >= least).withColumn("score", F.col("m") + (F.col("filed") == F.col("date")).cast("int"))
-    best = scored.groupBy("cite_id").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("b"))
-    return best.select("cite_id", "b.entry_id", "b.score")
+    names = cites.select("date", "tokens").where("date is not null and tokens is not null").distinct()
+    days = names.select("date", "tokens", F.explode(F.array(F.date_sub("date", 1), F.col("date"), F.date_add("date", 1))).alias("filed"))
+    rulings = entries.where(F.col("description").rlike(RULING)).groupBy("filed", F.lower("slug").alias("slug")).agg(F.min("entry_id").alias("entry_id"))
+    matched = F.size(F.filter("tokens", lambda t: F.contains("slug", t)))
+    scored = days.join(large(rulings), "filed").withColumn("m", matched).where(F.col("m") >= least).withColumn("score", F.col("m") + (F.col("filed") == F.col("date")).cast("int"))
+    best = scored.groupBy("date", "tokens").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("b"))
+    return cites.join(large(best), ["date", "tokens"]).select("cite_id", "b.entry_id", "b.score")
 
 
 def later_history(cited: Column, citing: Column) -> Column:

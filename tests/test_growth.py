@@ -30,3 +30,21 @@ def test_a_contained_cite_meets_one_row(spark):
     assert {x.cite_id: x.list_id for x in got.collect()} == want and want[501] == 1000
     join = plan(got).index("SortMergeJoin")
     assert "min(list_id" in plan(got)[join:]  # the first listed cite of a run is known before the join
+
+
+def test_an_archive_with_many_equal_slugs_of_one_day(spark):
+    r, day = random.Random(5), dt.date(2020, 3, 1)
+    cites = [(i, day + dt.timedelta(r.randrange(3)), r.choice([["ab", "cd"], ["ab", "x"], [], None, ["ab", "ab"]])) for i in range(200)] + [(777, None, ["ab", "cd"])]
+    entries = [(i, day + dt.timedelta(r.randrange(5) - 1), r.choice(["Order", "reordered", "an OPINION"]), r.choice(["AB-v-cd", "ab-x", "zz", None])) for i in range(300)]
+    df = spark.createDataFrame(cites, "cite_id long, date date, tokens array<string>")
+    es = spark.createDataFrame(entries, "entry_id long, filed date, description string, slug string")
+    want = {}
+    for c, d, tokens in cites:
+        found = [(-m - (f == d), e) for e, f, k, s in entries if d and tokens and s and abs((f - d).days) <= 1 and k != "reordered" and (m := sum(t in s.lower() for t in tokens)) >= 2]
+        if found:
+            want[c] = (min(found)[1], -min(found)[0])
+    got = resolve.archive_match(df, es)
+    assert {x.cite_id: (x.entry_id, x.score) for x in got.collect()} == want and want
+    many = resolve.archive_match(spark.range(40_000).select(F.col("id").alias("cite_id"), F.lit(day).alias("date"), F.array(F.lit("ab"), F.lit("cd")).alias("tokens")),
+                                 spark.range(40_000).select(F.col("id").alias("entry_id"), F.lit(day).alias("filed"), F.lit("Order").alias("description"), F.lit("AB-v-CD").alias("slug")))
+    assert many.groupBy("entry_id", "score").count().collect() == [(0, 3, 40_000)]  # 1,600,000,000 pairs of rows, one of texts
