@@ -216,5 +216,5 @@ def topn_citing_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH s AS (SELECT user_id, event_id % 5 = 0 AS strong, (value::INT % 10) * 10 AS weight, event_id % 11 = 0 AS later, event_id % 3 AS op FROM events)
     SELECT user_id, CASE WHEN bool_or(strong AND (weight >= 80 OR later)) THEN 'negative' WHEN bool_or(strong) THEN 'caution' WHEN count(DISTINCT CASE WHEN NOT strong THEN op END) >= 2 THEN 'caution' ELSE 'none' END AS class FROM s GROUP BY user_id""")
 def evidence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").selectExpr("user_id", "event_id % 5 = 0 as strong", "(cast(round(value) as int) % 10) * 10 as weight", "event_id % 11 = 0 as later", "event_id % 3 as op")
+    s = table(spark, sf_dir, "events").selectExpr("user_id", "event_id % 5 = 0 as strong", "(cast(rint(value) as int) % 10) * 10 as weight", "event_id % 11 = 0 as later", "event_id % 3 as op")
     return s.groupBy("user_id").agg(G.evidence_class(*map(F.col, ("strong", "weight", "later", "op"))).alias("class"))

@@ -115,8 +115,8 @@ def later_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, count(*) AS n, min(span) AS span FROM p JOIN s USING (doc) WHERE a <= pos AND pos < b GROUP BY event_id""")
 def offsets_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets in footnotes, sentences or parentheticals: each event's place in its customer's spans."""
-    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), "event_id", F.expr("cast(round(value * 37) as int)").alias("at"))
-    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("span"), F.expr("cast(round(o_totalprice % 3000) as int)").alias("start")).withColumn("end", F.col("start") + F.col("span") % 900)
+    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), "event_id", F.expr("cast(rint(value * 37) as int)").alias("at"))
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("span"), F.expr("cast(rint(o_totalprice % 3000) as int)").alias("start")).withColumn("end", F.col("start") + F.col("span") % 900)
     return R.in_spans(points, spans, "doc").groupBy("event_id").agg(F.count("*").alias("n"), F.min("span").alias("span"))
 
 

@@ -48,3 +48,9 @@ def test_an_archive_with_many_equal_slugs_of_one_day(spark):
     many = resolve.archive_match(spark.range(40_000).select(F.col("id").alias("cite_id"), F.lit(day).alias("date"), F.array(F.lit("ab"), F.lit("cd")).alias("tokens")),
                                  spark.range(40_000).select(F.col("id").alias("entry_id"), F.lit(day).alias("filed"), F.lit("Order").alias("description"), F.lit("AB-v-CD").alias("slug")))
     assert many.groupBy("entry_id", "score").count().collect() == [(0, 3, 40_000)]  # 1,600,000,000 pairs of rows, one of texts
+
+
+def test_halves_go_to_the_even_offset(spark, tmp_path):
+    spark.sql("select 1L as user_id, 5L as event_id, 38.5D as value").write.parquet(str(tmp_path / "events.parquet"))  # 38.5 * 37 = 1424.5
+    spark.sql("select 1L as o_custkey, 1L as o_orderkey, 1424D as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(x) for x in catalogue.QUERIES["offsets_in_spans"](spark, str(tmp_path)).collect()] == [(5, 1, 1)]
