@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .match import address_check
 from .resolve import archive_match, identity, lookup_map, other_decision, subsumed
-from .staging import shared_dir, stage, written
+from .staging import large, shared_dir, stage, written
 
 RESULT = "cite_id long, match_id long, identity boolean, note string"
 TIERS = ["cache", "lookup", "address", "name in court", "name anywhere", "archive"]
@@ -80,10 +80,11 @@ def in_court(cite: Column, candidate: Column) -> Column:
 
 def by_address(open_: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A candidate of the court that lists the address itself."""
-    listed = candidates.where("text_id is not null").select("cand_id", F.explode("keys").alias("c_key"), F.col("court").alias("c_court"), "published")
-    pairs = open_.where("key <> ''").join(listed, F.col("key") == F.col("c_key")).where(in_court(F.col("court"), F.col("c_court")))
-    best = pairs.groupBy("cite_id").agg(F.min_by("cand_id", F.struct(~F.coalesce("published", F.lit(False)), "cand_id")).alias("match_id"))
-    hits = best.select("cite_id", "match_id", F.lit(None).cast("boolean").alias("identity"), F.lit(None).cast("string").alias("note"))
+    listed = candidates.where("text_id is not null").select("cand_id", F.explode("keys").alias("c_key"), F.col("court").alias("c_court"), (~F.coalesce("published", F.lit(False))).alias("late"))
+    first = listed.groupBy("c_key", "c_court").agg(F.min(F.struct("late", F.col("cand_id").alias("id"))).alias("first"))  # a cite meets one candidate a court, however many list the address
+    pairs = open_.where("key <> ''").join(large(first), F.col("key") == F.col("c_key")).where(in_court(F.col("court"), F.col("c_court")))
+    best = pairs.groupBy("cite_id").agg(F.min("first").alias("first"))
+    hits = best.select("cite_id", F.col("first.id").alias("match_id"), F.lit(None).cast("boolean").alias("identity"), F.lit(None).cast("string").alias("note"))
     return hits, refused(open_, hits, "no candidate lists the address")
 
 
@@ -91,7 +92,8 @@ def name_queries(open_: DataFrame, candidates: DataFrame, courted: bool) -> Data
     """tokens, court, cand_id: of each distinct name (and court) the candidate that shares most of it."""
     court = F.col("court") if courted else F.lit(None).cast(open_.schema["court"].dataType)
     queries = open_.where("size(tokens) > 0").select(F.array_sort(F.array_distinct("tokens")).alias("q"), court.alias("q_court")).distinct()
-    held = candidates.where("text_id is not null and size(tokens) > 0").select("cand_id", F.array_distinct("tokens").alias("have"), F.col("court").alias("c_court"), F.coalesce("published", F.lit(False)).alias("published"))
+    held = candidates.where("text_id is not null and size(tokens) > 0").select("cand_id", F.array_sort(F.array_distinct("tokens")).alias("have"), F.col("court").alias("c_court"), F.coalesce("published", F.lit(False)).alias("published"))
+    held = stage(held.groupBy("have", "c_court", "published").agg(F.min("cand_id").alias("cand_id")), "held-names")  # of candidates that are alike in all that counts, the smallest id
     words = held.select("cand_id", "c_court", "published", "have", F.explode("have").alias("token"))
     # one token: the best of each token and court, once
     single = words.groupBy("token", "c_court").agg(F.min(F.struct(~F.col("published"), F.col("cand_id").alias("id"))).alias("best"))
@@ -113,8 +115,9 @@ def by_name(open_: DataFrame, candidates: DataFrame, courted: bool) -> tuple[Dat
     found = stage(name_queries(open_, candidates, courted), "name-queries")
     court = F.col("court") if courted else F.lit(None).cast(open_.schema["court"].dataType)
     asked = open_.withColumn("q", F.array_sort(F.array_distinct("tokens"))).withColumn("w_court", court)
-    pairs = asked.join(found, ["q"]).where(F.col("w_court").eqNullSafe(F.col("q_court")))
-    told = pairs.join(candidates.select("cand_id", "name", "keys", "families", F.col("tokens").alias("have"), F.col("year").alias("filed")), "cand_id")
+    # the records of the few names' candidates first, so that cites meet them with their names in one join
+    records = found.join(large(candidates.select("cand_id", "name", "keys", "families", F.col("tokens").alias("have"), F.col("year").alias("filed"))), "cand_id")
+    told = asked.join(records, ["q"]).where(F.col("w_court").eqNullSafe(F.col("q_court")))
     filled = lambda c: F.coalesce(F.col(c), F.lit(""))
     told = told.withColumn("address", address_check(filled("key"), filled("family"), F.col("keys"), F.col("families")))
     told = told.withColumn("other", other_decision(F.col("address"), F.coalesce("database", F.lit(False)), F.col("year"), F.col("filed")))

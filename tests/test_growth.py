@@ -54,3 +54,24 @@ def test_halves_go_to_the_even_offset(spark, tmp_path):
     spark.sql("select 1L as user_id, 5L as event_id, 38.5D as value").write.parquet(str(tmp_path / "events.parquet"))  # 38.5 * 37 = 1424.5
     spark.sql("select 1L as o_custkey, 1L as o_orderkey, 1424D as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
     assert [tuple(x) for x in catalogue.QUERIES["offsets_in_spans"](spark, str(tmp_path)).collect()] == [(5, 1, 1)]
+
+
+def test_an_address_that_many_candidates_list_meets_one_a_court(spark):
+    from docketloom.operators import ladder
+
+    cites = spark.range(20_000).selectExpr("id as cite_id", "concat(id div 20000, 'f3d2') as key", "if(id % 2 = 0, 'a', null) as court")
+    listed = spark.range(20_000).selectExpr("id as cand_id", "array(concat(id div 20000, 'f3d2')) as keys", "if(id % 2 = 0, 'b', null) as court", "id % 5 = 4 as published", "id as text_id")
+    hits, _ = ladder.by_address(cites, listed)  # 400,000,000 pairs of rows
+    assert {tuple(x) for x in hits.groupBy("match_id").count().collect()} == {(9, 10_000), (4, 10_000)}
+    assert "min(named_struct(late" in plan(hits)[plan(hits).index("SortMergeJoin") :]
+
+
+def test_names_of_alike_candidates_are_held_once(spark):
+    from docketloom.operators import ladder
+
+    cites = spark.createDataFrame([(1, ["acme", "zeta"], "a"), (2, ["acme"], None)], "cite_id long, tokens array<string>, court string")
+    held = spark.range(30_000).selectExpr("id as cand_id", "if(id % 2 = 0, array('zeta', 'acme'), array('acme', 'zeta')) as tokens", "if(id % 3 = 0, null, 'a') as court", "id % 7 = 6 as published", "id as text_id")
+    got = ladder.name_queries(cites, held, True)
+    assert {(tuple(x.q), x.q_court, x.cand_id) for x in got.collect()} == {(("acme", "zeta"), "a", 6), (("acme",), None, 6)}
+    scans = [f for f in got.inputFiles() if "held-names" in f]
+    assert scans and spark.read.parquet(*scans).count() == 4
