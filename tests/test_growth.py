@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docketloom.operators import resolve
+from docketloom.operators import dedup, resolve
 from docketloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,10 @@ def test_names_of_alike_candidates_are_held_once(spark):
     assert {(tuple(x.q), x.q_court, x.cand_id) for x in got.collect()} == {(("acme", "zeta"), "a", 6), (("acme",), None, 6)}
     scans = [f for f in got.inputFiles() if "held-names" in f]
     assert scans and spark.read.parquet(*scans).count() == 4
+
+
+def test_copies_of_a_bag_are_members_of_its_class(spark):
+    words = spark.range(3000).selectExpr("id", "explode(if(id % 3 = 0, array('a', 'b', 'c'), if(id % 3 = 1, array('a', 'b', 'd'), array('x')))) as token", "1L as n")
+    got = [tuple(x) for x in dedup.containment_classes(words).collect()]
+    assert sorted(x for x in got if not x[3]) == [(0, 1, 2 / 3, False), (1, 0, 2 / 3, False)]  # of 4,998,000 pairs of rows
+    assert {x for x in got if x[3]} == {(i, i % 3, 1.0, True) for i in range(3, 3000)} and len(got) == 2999
