@@ -59,11 +59,14 @@ def least_both_ways(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     ways = stage(edges.select("src", "dst", F.lit(0).alias("way")).union(turned(edges).select("src", "dst", F.lit(1))), "ways")
     state = ends.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("least"), F.lit(True).alias("changed"))
-    state = stage(state, "colours")
+    # two folders in turn: a round overwrites what the round before last found, so that disk doesn't grow with rounds
+    folder, rounds = shared_dir(edges.sparkSession, "colours"), 0
+    state = written(state, f"{folder}/0")
     while not state.where("changed").isEmpty():
+        rounds += 1
         offers = state.where("changed").withColumnRenamed("node", "src").join(ways, ["src", "way"]).groupBy(F.col("dst").alias("node"), "way").agg(F.min("least").alias("offer"))
         both = state.join(offers, ["node", "way"], "left")
-        state = stage(both.select("node", "way", F.least("least", "offer").alias("least"), F.coalesce(F.col("offer") < F.col("least"), F.lit(False)).alias("changed")), "colours")
+        state = written(both.select("node", "way", F.least("least", "offer").alias("least"), F.coalesce(F.col("offer") < F.col("least"), F.lit(False)).alias("changed")), f"{folder}/{rounds % 2}")
     return state.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("least"))).alias("least"), F.max(F.when(F.col("way") == 1, F.col("least"))).alias("back"))
 
 
