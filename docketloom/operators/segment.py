@@ -153,6 +153,23 @@ def offsets(text: Column, parts: Column) -> Column:
     return by_row(part_starts, "array<int>", text, parts)
 
 
+def chunk_places(docs: DataFrame, target: int, separator: str = "\n\n") -> DataFrame:
+    """doc_id, i, start, n_chars of the ``chunks`` of ``docs`` (doc_id, text). A worker holds the chunks of one text at a time; null texts have none."""
+    kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int32()), ["doc_id", "i", "start", "n_chars"]
+
+    def placed(d: int, t: str) -> Iterator[tuple[int, int, int, int]]:
+        parts = paragraph_chunks(t, target, separator)
+        return ((d, i, s, len(p)) for i, (s, p) in enumerate(zip(part_starts(t, parts), parts, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for d, t in zip(batch.column(0), batch.column(1), strict=True) if t.is_valid for r in placed(d.as_py(), t.as_py())]
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, i int, start int, n_chars int")
+
+
 def batch_numbers(keys: list[str], most: int, most_chars: int) -> list[int]:
     out, b, n, c = [], 0, 0, 0
     for k in keys:

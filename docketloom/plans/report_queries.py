@@ -251,9 +251,7 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the chunks of ``chunk_paragraphs`` begin."""
-    text = table(spark, sf_dir, "documents").select("doc_id", "text", Z.chunks(F.col("text"), 800, "\n").alias("chunks"))
-    starts = text.select("doc_id", F.arrays_zip(F.col("chunks").alias("c"), Z.offsets(F.col("text"), F.col("chunks")).alias("s")).alias("z"))
-    return starts.select("doc_id", F.posexplode("z").alias("i", "x")).select("doc_id", "i", F.col("x.s").alias("start"), F.length("x.c").alias("n_chars"))
+    return Z.chunk_places(table(spark, sf_dir, "documents"), 800, "\n")
 
 
 @query("SELECT doc_id, sum(length(text))::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents WHERE length(text) > 0 GROUP BY doc_id, text")

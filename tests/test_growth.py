@@ -92,3 +92,14 @@ def test_rounds_of_colours_leave_two_tables(spark, tmp_path, monkeypatch):
     edges = spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)], "src long, dst long")
     assert {(x.least.n, x.back.n) for x in graph.least_both_ways(edges).collect()} == {(x, x) for x in range(9)} & {(m, m) for m in [spark.range(9).orderBy(F.xxhash64("id")).first()[0]]}
     assert len(list(tmp_path.glob("colours-x/*"))) == 2  # of six rounds or more
+
+
+def test_chunk_places_hold_one_text_at_a_time(spark):
+    from docketloom.operators import segment
+
+    texts = [(1, "ab\n\n cd \nefgh\né" * 9), (2, None), (3, ""), (4, "x" * 50), (5, " \n a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = [(d, i, s, len(p)) for d, t in texts if t for ps in [segment.paragraph_chunks(t, 12, "\n")] for i, (s, p) in enumerate(zip(segment.part_starts(t, ps), ps, strict=True))]
+    assert sorted(map(tuple, segment.chunk_places(docs, 12, "\n").collect())) == want
+    text = plan(catalogue.QUERIES["chunk_offsets"](spark, SF))
+    assert "MapInArrow" in text and "EvalPython" not in text  # no column of all chunks of a batch
