@@ -103,3 +103,23 @@ def test_chunk_places_hold_one_text_at_a_time(spark):
     assert sorted(map(tuple, segment.chunk_places(docs, 12, "\n").collect())) == want
     text = plan(catalogue.QUERIES["chunk_offsets"](spark, SF))
     assert "MapInArrow" in text and "EvalPython" not in text  # no column of all chunks of a batch
+
+
+def test_patterns_that_begin_with_a_letter_find_the_same(spark):
+    from docketloom.operators import gates
+
+    for pattern, firsts in ((gates.SHEET, "rlatdpq"), (gates.SEARCH_PAGE, "catps"), (gates.DECIDED, "iswjopcamrd")):
+        body = pattern.removeprefix("(?i)")[1:-1]
+        depth, ways, word = 0, [], ""
+        for ch in body:
+            depth += (ch == "(") - (ch == ")")
+            if ch == "|" and not depth:
+                ways, word = [*ways, word], ""
+            else:
+                word += ch
+        heads = [w for way in [*ways, word] for w in (way[1:].split(")")[0].split("|") if way.startswith("(") else [way])]
+        assert {h[0].lower() for h in heads} <= set(firsts)
+    texts = spark.createDataFrame([("Query  Reports, docket text; LEAD attorney",), ("party information, CALENDARS",), ("x " * 1500 + "IT IS so ordered",), ("",), (None,)], "t string")
+    t = F.col("t")
+    got = [tuple(x) for x in texts.select(gates.docket_sheet(t), gates.case_search_page(t), gates.archive_acceptable(t, F.lit(True), F.lit(True))).collect()]
+    assert got == [(True, False, False), (False, True, False), (False, False, True), (False, False, False), (False, False, False)]
