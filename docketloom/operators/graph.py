@@ -25,22 +25,56 @@ def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+# A doubling of strides may join so many rows, or so many times the edges.
+STRIDE_ROWS, STRIDE_SHARE = 1_000_000, 4
+
+
+def strides(edges: DataFrame) -> tuple[DataFrame, int | None]:
+    """src, dst, d: pairs of different nodes with the least number of steps between them, and how many steps are in it at most; None where all ways are.
+
+    Pairs of exactly the steps so far are joined to all pairs, so steps double; each new pair comes from the middles of its shortest ways
+    only. A doubling whose rows, counted before it, would outgrow the edges is left out, so the table stays linear in them.
+    """
+    spark, folder, steps = edges.sparkSession, shared_dir(edges.sparkSession, "strides"), 1
+    pairs = written(edges.select("src", "dst", F.lit(1).alias("d")).where("src is not null and dst is not null and src <> dst").distinct(), f"{folder}/1")
+    paths, most = [f"{folder}/1"], max(STRIDE_ROWS, STRIDE_SHARE * pairs.count())
+    while True:
+        tips = pairs.where(F.col("d") == steps).select("src", F.col("dst").alias("mid"))
+        ways = tips.groupBy("mid").agg(F.count("*").alias("n")).join(pairs.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("m")), "mid")
+        rows = ways.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+        if not rows:
+            return pairs, None
+        if rows > most:
+            return pairs, steps
+        reached = tips.join(pairs.select(F.col("src").alias("mid"), "dst", "d"), "mid").where("src <> dst").groupBy("src", "dst").agg((F.min("d") + steps).alias("d"))
+        steps *= 2
+        written(reached.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti"), f"{folder}/{steps}")
+        paths.append(f"{folder}/{steps}")
+        pairs = spark.read.schema(pairs.schema).parquet(*paths)
+
+
 def spread(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """node, label, depth: every label carried along the edges, with the least number of steps it takes (at most ``most``).
 
-    ``seeds``: node, label. Each round joins only the pairs that are new to the edges and leaves out those known, so a pair
-    travels once, however many ways lead to it; rounds end when there is nothing new.
+    ``seeds``: node, label. Each round joins only the pairs that came in the last step to the edges and leaves out those known, so a pair
+    travels once, however many ways lead to it; rounds end when there is nothing new. Without ``most`` a round goes as far as ``strides``.
     """
-    spark, folder = edges.sparkSession, shared_dir(edges.sparkSession, "spread")
-    e = known_edges(edges)
+    spark, folder, at = edges.sparkSession, shared_dir(edges.sparkSession, "spread"), 0
+    e, far = strides(edges) if most is None else (known_edges(edges).withColumn("d", F.lit(1)), 1)
     new = written(seeds.select("node", "label", F.lit(0).alias("depth")).where("node is not null").distinct(), f"{folder}/0")
     paths = [f"{folder}/0"]
-    while (most is None or len(paths) <= most) and not new.isEmpty():
+    while most is None or at < most:
+        tips = new.where(F.col("depth") == at)
+        if tips.isEmpty():
+            break
         known = spark.read.schema(new.schema).parquet(*paths)
-        reached = new.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
+        reached = tips.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "label").agg((F.min("d") + at).alias("depth"))
         fresh = reached.alias("r").join(known.alias("k"), (F.col("r.node") == F.col("k.node")) & F.col("r.label").eqNullSafe(F.col("k.label")), "left_anti")
-        new = written(fresh.select("node", "label", F.lit(len(paths)).alias("depth")), f"{folder}/{len(paths)}")
+        new = written(fresh, f"{folder}/{len(paths)}")
         paths.append(f"{folder}/{len(paths)}")
+        if far is None:
+            break
+        at += far
     return spark.read.schema(new.schema).parquet(*paths)
 
 

@@ -123,3 +123,27 @@ def test_patterns_that_begin_with_a_letter_find_the_same(spark):
     t = F.col("t")
     got = [tuple(x) for x in texts.select(gates.docket_sheet(t), gates.case_search_page(t), gates.archive_acceptable(t, F.lit(True), F.lit(True))).collect()]
     assert got == [(True, False, False), (False, True, False), (False, False, True), (False, False, False), (False, False, False)]
+
+
+def test_steps_double_from_round_to_round(spark, tmp_path, monkeypatch):
+    from docketloom.operators import graph
+
+    monkeypatch.setattr(graph, "shared_dir", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.glob('*')))}")
+    r = random.Random(7)
+    pairs = [(i, i + 1) for i in range(40)] + [(50 + r.randrange(12), 50 + r.randrange(12)) for _ in range(20)] + [(60, 60), (None, 1), (1, None)]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for root in (0, 7, 50, 51):
+        seen, front = {root: 0}, [root]
+        while front:
+            front = [b for a in front for b in after.get(a, ()) if b is not None and seen.setdefault(b, seen[a] + 1) == seen[a] + 1]
+        want |= {(root, n, d) for n, d in seen.items()}
+    edges, roots = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(0,), (7,), (50,), (51,)], "root long")
+    assert {tuple(x) for x in graph.closure(edges, roots, None).collect()} == want
+    assert len(list(tmp_path.glob("*/*"))) <= 9  # one table a step before: 42
+    monkeypatch.setattr(graph, "STRIDE_ROWS", 0)  # doublings that outgrow the edges are left out
+    monkeypatch.setattr(graph, "STRIDE_SHARE", 1.3)
+    assert graph.strides(edges)[1] == 2
+    assert {tuple(x) for x in graph.closure(edges, roots, None).collect()} == want
