@@ -28,6 +28,7 @@ from .lines import footnotes
 from .segment import clamped, sentence_at, sentence_spans
 
 MOST, REACH, BACK = 700, 600, 4
+MOST_WAYS = BACK + 3  # candidates of a citation: two of its own or one, the sentence around it, the one before, those further back
 
 # What goes from a sentence to leave its proposition, in this order.
 CITE_WORDS = "see also|see, e\\.g\\.|see generally|see|but see|but cf\\.|cf\\.|accord|compare|contra|e\\.g\\.|i\\.e\\.|quoting|citing"
@@ -173,9 +174,14 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def propositions(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, key, kind, proposition, needs_attention of every citation of ``docs`` (doc_id, text)."""
-    clean = F.transform("ways", lambda w: F.struct(w["kind"].alias("kind"), decited(w["text"]).alias("text"), ((w["kind"] == "host") & citation_sentence(w["masked"])).alias("cites")))
-    rows = candidates(docs).withColumn("clean", clean)
-    says = F.filter("clean", lambda c: ~c["cites"] & ~bare_proposition(c["text"]))
-    sentences = F.filter("clean", lambda c: ~F.contains(c["kind"], F.lit("parenthetical")))
-    chosen = F.coalesce(F.get(says, F.lit(0)), F.get(sentences, F.lit(0)), F.get("clean", F.lit(0)))
-    return rows.select("doc_id", "start", "end", "key", chosen.getField("kind").alias("kind"), chosen.getField("text").alias("proposition"), (F.size(says) < 1).alias("needs_attention"))
+    rows = candidates(docs).select("doc_id", "start", "end", "key", *(F.get("ways", F.lit(i)).alias(f"w{i}") for i in range(MOST_WAYS)))
+    # a candidate is freed of citations only where none before it says something
+    for i in range(MOST_WAYS):
+        way, open_ = F.col(f"w{i}"), F.lit(True) if i == 0 else ~F.col(f"says{i - 1}")
+        rows = rows.withColumn(f"t{i}", F.when(open_ & way.isNotNull(), decited(way["text"])))
+        says = F.col(f"t{i}").isNotNull() & ~((way["kind"] == "host") & citation_sentence(way["masked"])) & ~bare_proposition(F.col(f"t{i}"))
+        rows = rows.withColumn(f"says{i}", says if i == 0 else F.col(f"says{i - 1}") | says)
+    at = lambda i: F.struct(F.col(f"w{i}.kind").alias("kind"), F.col(f"t{i}").alias("text"))
+    chosen = F.coalesce(*(F.when(F.col(f"says{i}"), at(i)) for i in range(MOST_WAYS)), *(F.when(~F.contains(F.col(f"w{i}.kind"), F.lit("parenthetical")), at(i)) for i in range(MOST_WAYS)), at(0))
+    rows = rows.withColumn("chosen", chosen)
+    return rows.select("doc_id", "start", "end", "key", F.col("chosen.kind").alias("kind"), F.col("chosen.text").alias("proposition"), (~F.col(f"says{MOST_WAYS - 1}")).alias("needs_attention"))

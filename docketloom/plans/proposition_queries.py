@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import propositions as P
+from ..operators.staging import dealt
 from .registry import query, table
 
 CITE = "(event_id % 900 + 1) || ' F.3d ' || (user_id % 800 + 1)"
@@ -29,6 +30,7 @@ BRIEF = f"""CASE event_id % 10
         CASE k WHEN 0 THEN rule || '.' WHEN 1 THEN rule || ', and nothing follows.' WHEN 3 THEN rule || ', as "a long settled rule of this state."' WHEN 6 THEN '"' || rule || '"' WHEN 7 THEN '' WHEN 2 THEN rule ELSE rule || '.' END AS proposition, k = 7 AS needs_attention FROM b""")
 def citation_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations in every place: after their sentence, inside it, with a parenthetical, as id., in footnotes, alone."""
-    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.expr(BRIEF.replace("chr(10)", "char(10)").replace('\\"', '"')).alias("text"))
+    events = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", "user_id")
+    docs = events.select(F.col("event_id").alias("doc_id"), F.expr(BRIEF.replace("chr(10)", "char(10)").replace('\\"', '"')).alias("text"))
     found = P.propositions(docs)
     return found.select(F.col("doc_id").alias("event_id"), F.when(~F.startswith("key", F.lit("at ")), F.col("key")).alias("key"), "kind", "proposition", "needs_attention")

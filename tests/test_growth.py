@@ -147,3 +147,7 @@ def test_steps_double_from_round_to_round(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph, "STRIDE_SHARE", 1.3)
     assert graph.strides(edges)[1] == 2
     assert {tuple(x) for x in graph.closure(edges, roots, None).collect()} == want
+
+
+def test_candidates_after_the_chosen_are_left_as_they_are(spark):
+    assert "lambda" not in plan(catalogue.QUERIES["citation_propositions"](spark, SF))
