@@ -69,14 +69,16 @@ def like_opinion(text: Column) -> Column:
     return sure((F.length(text) >= 600) & (sum(F.contains(low, F.lit(w)).cast("int") for w in OPINION_WORDS) >= 2))
 
 
-def content_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+def words_beside(word: str, drop: list[str], end: str, least: int) -> str:
+    """A pattern for texts with so many words, those to drop aside; it stops at the last of them and takes no array of all words."""
+    one = f"(?!(?:{'|'.join(drop)}){end}){word}"
+    return "(?s)" + ".*?".join([one] * least)
 
 
 def bare_proposition(text: Column, least: int = 4) -> Column:
     """Fewer content words than ``least``, signals aside."""
-    drop = F.array(*map(F.lit, SIGNALS))
-    return F.size(F.filter(content_words(F.coalesce(text, F.lit(""))), lambda w: ~F.array_contains(drop, w))) < least
+    word = words_beside("(?<![a-z])[a-z]{3,}+", SIGNALS, "(?![a-z])", least)
+    return ~F.lower(F.coalesce(text, F.lit(""))).rlike(word)
 
 
 # Lower-case words that a string of citations has anyway.
@@ -85,10 +87,10 @@ CITE_WORDS = "v vs see also cf accord compare contra but eg e g ie i in re of th
 
 def citation_sentence(masked: Column) -> Column:
     """Of a sentence whose citations are masked with underscores: fewer than two lower-case words outside (up to four levels of) parentheses."""
-    visible = reduce(lambda s, _: F.regexp_replace(s, r"\([^()]*\)", " "), range(4), F.coalesce(masked, F.lit("")))
-    words = F.regexp_extract_all(F.replace(visible, F.lit("_"), F.lit(" ")), F.lit(r"\b[a-z]{2,}\b"), F.lit(0))
-    drop = F.array(*map(F.lit, CITE_WORDS))
-    return F.size(F.filter(words, lambda w: ~F.array_contains(drop, w))) < 2
+    whole = F.coalesce(masked, F.lit(""))
+    visible = F.when(F.contains(whole, F.lit("(")), reduce(lambda s, _: F.regexp_replace(s, r"\([^()]*\)", " "), range(4), whole)).otherwise(whole)
+    plain = F.when(F.contains(visible, F.lit("_")), F.replace(visible, F.lit("_"), F.lit(" "))).otherwise(visible)
+    return ~plain.rlike(words_beside(r"\b[a-z]{2,}+\b", CITE_WORDS, r"\b", 2))
 
 
 GLUE = (

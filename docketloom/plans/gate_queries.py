@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates as G
+from ..operators.staging import dealt
 from .registry import query, table
 
 
@@ -54,7 +55,8 @@ SENTENCE = """CASE l_linenumber % 6 WHEN 0 THEN 'See ' || 'generally, the ' WHEN
     SELECT l_orderkey, l_linenumber, len(list_filter(regexp_extract_all(lower(t), '[a-z]{{3,}}'), lambda w: NOT list_contains({G.SIGNALS}, w))) < 4 AS bare,
         len(list_filter(regexp_extract_all(seen, '\\b[a-z]{{2,}}\\b'), lambda w: NOT list_contains({G.CITE_WORDS}, w))) < 2 AS citation FROM v""")
 def bare_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.expr(SENTENCE).alias("t"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "l_orderkey", "l_linenumber", "l_partkey")
+    rows = lines.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.expr(SENTENCE).alias("t"))
     return rows.select("l_orderkey", "l_linenumber", G.bare_proposition(F.col("t")).alias("bare"), G.citation_sentence(F.col("t")).alias("citation"))
 
 

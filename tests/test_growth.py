@@ -151,3 +151,12 @@ def test_steps_double_from_round_to_round(spark, tmp_path, monkeypatch):
 
 def test_candidates_after_the_chosen_are_left_as_they_are(spark):
     assert "lambda" not in plan(catalogue.QUERIES["citation_propositions"](spark, SF))
+
+
+def test_words_are_not_gathered_to_be_counted(spark):
+    from docketloom.operators import gates
+
+    texts = [("see the rule of law applied xsee",), ("see also generally the rule law",), ("see the rule LAW applied",), ("a_b cd (ef (gh)) see",), ("ab seen cD",), ("",), (None,)]
+    got = spark.createDataFrame(texts, "t string").select(gates.bare_proposition(F.col("t")), gates.citation_sentence(F.col("t")))
+    assert [tuple(x) for x in got.collect()] == [(False, False), (True, False), (False, False), (True, True), (True, False), (True, True), (True, True)]
+    assert "lambda" not in plan(got)
