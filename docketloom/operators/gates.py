@@ -108,21 +108,18 @@ def heading_glue(text: Column) -> Column:
 def proposition_review(rows: DataFrame, name: str = "name", proposition: str = "proposition") -> DataFrame:
     """``rows`` with ``reasons`` to look at a proposition again; those without any are left out. A sentence is shared when names differ in more than case and spaces."""
     text = F.trim(F.coalesce(F.col(proposition), F.lit("")))
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    owners = rows.select(plain(text).alias("_key"), plain(F.coalesce(F.col(name), F.lit(""))).alias("_name")).where("_key <> ''")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s{2,}|[^\S ]", " "))
+    # a long text is known by its digest, of 64 characters, so that sentences don't travel
+    key = lambda c: F.when(F.length(c) < 64, c).otherwise(F.sha2(c, 256))
+    owners = rows.select(key(plain(text)).alias("_key"), plain(F.coalesce(F.col(name), F.lit(""))).alias("_name")).where("_key <> ''")
     shared = owners.groupBy("_key").agg((F.min("_name") != F.max("_name")).alias("_shared")).where("_shared")
-    joined = rows.withColumn("_key", plain(text)).join(shared, "_key", "left")
-    given = text != ""
-    reasons = [
-        (~given, "not extracted"),
-        (given & (F.length(text) < 50), "very short"),
-        (F.length(text) > 480, "runaway"),
-        (F.substring(text, 1, 1).rlike("^[a-z]"), "starts mid-sentence"),
-        (given & F.col("_shared").isNotNull(), "shared with another authority"),
-        (heading_glue(text), "heading glued on"),
-    ]
-    out = joined.withColumn("reasons", F.filter(F.array(*(F.when(c, r) for c, r in reasons)), lambda r: r.isNotNull()))
-    return out.where(F.size("reasons") > 0).drop("_key", "_shared")
+    given, none = text != "", F.array().cast("array<string>")
+    told = lambda *reasons: F.concat(*(F.when(sure(c), F.array(F.lit(r))).otherwise(none) for c, r in reasons))
+    first = told((~given, "not extracted"), (given & (F.length(text) < 50), "very short"), (F.length(text) > 480, "runaway"), (F.substring(text, 1, 1).rlike("^[a-z]"), "starts mid-sentence"))
+    seen = rows.select("*", key(plain(text)).alias("_key"), first.alias("_first"), told((heading_glue(text), "heading glued on")).alias("_last"))
+    joined = seen.join(shared, "_key", "left")
+    out = joined.withColumn("reasons", F.concat("_first", told(((F.col("_key") != "") & F.col("_shared").isNotNull(), "shared with another authority")), "_last"))
+    return out.where(F.size("reasons") > 0).drop("_key", "_shared", "_first", "_last")
 
 
 def non_case_class(name: Column, kind: Column) -> Column:

@@ -67,7 +67,8 @@ def bare_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN key IN (SELECT key FROM o) THEN 'shared with another authority' END, CASE WHEN glue <> '' AND NOT regexp_matches(glue, '[.!?:;,—]') THEN 'heading glued on' END] if x IS NOT NULL] AS reasons FROM k)
     SELECT l_orderkey, l_linenumber, array_to_string(reasons, '; ') AS reasons FROM r WHERE len(reasons) > 0""")
 def proposition_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.expr("concat('Name ', l_suppkey % 3)").alias("name"), F.expr(SENTENCE).alias("proposition"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber", "l_partkey")
+    rows = lines.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.expr("concat('Name ', l_suppkey % 3)").alias("name"), F.expr(SENTENCE).alias("proposition"))
     return G.proposition_review(rows).select("l_orderkey", "l_linenumber", F.array_join("reasons", "; ").alias("reasons"))
 
 

@@ -160,3 +160,12 @@ def test_words_are_not_gathered_to_be_counted(spark):
     got = spark.createDataFrame(texts, "t string").select(gates.bare_proposition(F.col("t")), gates.citation_sentence(F.col("t")))
     assert [tuple(x) for x in got.collect()] == [(False, False), (True, False), (False, False), (True, True), (True, False), (True, True), (True, True)]
     assert "lambda" not in plan(got)
+
+
+def test_sentences_do_not_travel(spark):
+    from docketloom.operators import gates
+
+    rows = spark.createDataFrame([(1, "A", "Word  of law " * 30), (2, "b", "word of\tlaw " * 30), (3, "B", "short one"), (4, " b", "Short\n one"), (5, "c", None)], "id long, name string, proposition string")
+    got = {x.id: x.reasons for x in gates.proposition_review(rows).collect()}
+    assert got == {1: ["shared with another authority"], 2: ["starts mid-sentence", "shared with another authority"], 3: ["very short"] + ["starts mid-sentence"], 4: ["very short"], 5: ["not extracted"]}
+    assert "sha2" in plan(gates.proposition_review(rows))
