@@ -169,3 +169,11 @@ def test_sentences_do_not_travel(spark):
     got = {x.id: x.reasons for x in gates.proposition_review(rows).collect()}
     assert got == {1: ["shared with another authority"], 2: ["starts mid-sentence", "shared with another authority"], 3: ["very short"] + ["starts mid-sentence"], 4: ["very short"], 5: ["not extracted"]}
     assert "sha2" in plan(gates.proposition_review(rows))
+
+
+def test_style_checks_are_compiled(spark):
+    from docketloom.functions import style
+
+    text = spark.createDataFrame([("12-345-67, 123-45-6, 316-17, 316-175, 1234-5",), (None,)], "t string").select(style.issues(F.col("t")).alias("x"))
+    assert [[tuple(i) for i in r.x] if r.x is not None else None for r in text.collect()] == [[("truncated_page_range", "123-45"), ("truncated_page_range", "316-17")], None]
+    assert "lambda" not in plan(text)
