@@ -81,7 +81,7 @@ def restyle_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT issue, count(*) AS n FROM (SELECT 'versus_period' AS issue FROM c WHERE v UNION ALL SELECT 'date_in_parens' FROM c WHERE p UNION ALL SELECT 'comma_after_signal' FROM c WHERE s UNION ALL SELECT 'truncated_page_range' FROM c) GROUP BY issue""")
 def style_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat(if(l_quantity > 25, 'see, ', 'see '), 'Smith ', if(l_linenumber % 2 = 0, 'v. ', 'v '), 'Jones, 37 NY3d 371, 316-17 ', if(l_linenumber % 3 = 0, '(2021)', '[2021]'))")
-    found = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber", "l_quantity").select(text.alias("t")).select(S.issues(F.col("t")).alias("xs")).select(F.explode("xs").alias("x"))
+    found = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber", "l_quantity").select(text.alias("t")).select(S.issues(F.col("t")).alias("xs")).select(F.explode_outer("xs").alias("x")).where("x is not null")  # of explode, Spark takes a filter that finds the issues once more
     return found.groupBy("x.issue").agg(F.count("*").alias("n"))
 
 
