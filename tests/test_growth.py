@@ -177,3 +177,15 @@ def test_style_checks_are_compiled(spark):
     text = spark.createDataFrame([("12-345-67, 123-45-6, 316-17, 316-175, 1234-5",), (None,)], "t string").select(style.issues(F.col("t")).alias("x"))
     assert [[tuple(i) for i in r.x] if r.x is not None else None for r in text.collect()] == [[("truncated_page_range", "123-45"), ("truncated_page_range", "316-17")], None]
     assert "lambda" not in plan(text)
+
+
+def test_few_windows_take_the_close_bound(monkeypatch):
+    from docketloom.operators import quotes
+
+    r, calls = random.Random(9), []
+    hay = "".join(r.choice("etaoin shrdlu") for _ in range(2000))
+    needle = hay[700:730] + "xx" + hay[732:760]
+    close = quotes.Windows.bound
+    monkeypatch.setattr(quotes.Windows, "bound", lambda self, *p: calls.append(p) or close(self, *p))
+    ratio, at, width = quotes.best_span(needle, hay)
+    assert (at, width) == (700, 60) and ratio > 0.95 and len(calls) < 100  # 278 coarse places and 30 fine ones before
