@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import layout as L
+from ..operators.staging import dealt
 from .registry import query, table
 
 SPAN = {
@@ -31,7 +32,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in SPAN.items())).distinct()
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in SPAN.items()))
+    rows = dealt(rows, "doc_id", "page").distinct()  # all that follows is of one page: nothing is dealt again
     w = Window.partitionBy("doc_id", "page", "x0", "i").orderBy("y", "text", "size", "block", "x1")
     return rows.withColumn("u", F.row_number().over(w)).where("u = 1").drop("u")
 

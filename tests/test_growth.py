@@ -149,8 +149,22 @@ def test_steps_double_from_round_to_round(spark, tmp_path, monkeypatch):
     assert {tuple(x) for x in graph.closure(edges, roots, None).collect()} == want
 
 
-def test_candidates_after_the_chosen_are_left_as_they_are(spark):
-    assert "lambda" not in plan(catalogue.QUERIES["citation_propositions"](spark, SF))
+def test_dear_work_is_dealt_out(spark, monkeypatch):
+    from docketloom.operators import staging
+
+    for name in ("style_issues", "bare_sentences", "proposition_review", "citation_propositions", "quote_best_ratio", "style_runs"):
+        assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, SF)), name  # one row group was one task
+    monkeypatch.setattr(staging, "PART_ROWS", 100)
+    runs = catalogue.QUERIES["style_runs"](spark, SF)
+    assert plan(runs).count("Exchange") == 1 and runs.rdd.getNumPartitions() == 61  # 6,000 lines
+
+
+def test_style_checks_are_compiled(spark):
+    from docketloom.functions import style
+
+    text = spark.createDataFrame([("12-345-67, 123-45-6, 316-17, 316-175, 1234-5",), (None,)], "t string").select(style.issues(F.col("t")).alias("x"))
+    assert [[tuple(i) for i in r.x] if r.x is not None else None for r in text.collect()] == [[("truncated_page_range", "123-45"), ("truncated_page_range", "316-17")], None]
+    assert "lambda" not in plan(text)
 
 
 def test_words_are_not_gathered_to_be_counted(spark):
@@ -171,12 +185,8 @@ def test_sentences_do_not_travel(spark):
     assert "sha2" in plan(gates.proposition_review(rows))
 
 
-def test_style_checks_are_compiled(spark):
-    from docketloom.functions import style
-
-    text = spark.createDataFrame([("12-345-67, 123-45-6, 316-17, 316-175, 1234-5",), (None,)], "t string").select(style.issues(F.col("t")).alias("x"))
-    assert [[tuple(i) for i in r.x] if r.x is not None else None for r in text.collect()] == [[("truncated_page_range", "123-45"), ("truncated_page_range", "316-17")], None]
-    assert "lambda" not in plan(text)
+def test_candidates_after_the_chosen_are_left_as_they_are(spark):
+    assert "lambda" not in plan(catalogue.QUERIES["citation_propositions"](spark, SF))
 
 
 def test_few_windows_take_the_close_bound(monkeypatch):
