@@ -7,13 +7,17 @@ and edges are never gathered. Null ends make no edge; repeated edges count once.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import shared_dir, stage, written
+from .staging import dealt, large, shared_dir, stage, written
 
 
 def known_edges(edges: DataFrame) -> DataFrame:
@@ -150,10 +154,96 @@ def cycles(edges: DataFrame) -> DataFrame:
     return spark.read.schema("path string").parquet(*paths) if paths else spark.createDataFrame([], "path string")
 
 
-def chain_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, types: the sorted types of all nodes on the chains from each node, of any length. ``nodes``: key, type. Types travel against the edges, each once to a node."""
-    found = spread(turned(edges), nodes.select(F.col("key").alias("node"), F.col("type").alias("label")))
-    return found.join(nodes.select(F.col("key").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("key")).agg(F.array_sort(F.collect_set("label")).alias("types"))
+def carried(edges: np.ndarray, pairs: np.ndarray, n_nodes: int, n_labels: int) -> np.ndarray:
+    """(node, label) pairs of every label taken along the edges, each once, in order. ``edges``: rows of src, dst; ``pairs``: rows of node, label; all are numbers from 0. Only new pairs go on."""
+    dst = edges[np.argsort(edges[:, 0], kind="stable"), 1]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(edges[:, 0], minlength=n_nodes))])
+    known = new = np.unique(pairs[:, 0] * n_labels + pairs[:, 1])
+    while len(new):
+        node, label = np.divmod(new, n_labels)
+        n = starts[node + 1] - starts[node]
+        at = np.arange(n.sum()) + np.repeat(starts[node] - np.cumsum(n) + n, n)
+        reached = np.unique(dst[at] * n_labels + np.repeat(label, n))
+        new = reached[known[np.minimum(np.searchsorted(known, reached), len(known) - 1)] != reached]
+        known = np.sort(np.concatenate([known, new]), kind="stable")
+    return np.stack(np.divmod(known, n_labels), axis=1)
+
+
+# What a row of a part says: a node and one of its types, an edge inside the part, an edge out of it, a node that an edge from another part leads to.
+NODE, INNER, OUT, ENTRY = range(4)
+
+
+def _sets(pairs: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """For each of ``n`` nodes the list of its labels' values; ``pairs`` are in order of nodes."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(n + 1)), pa.int32()), values.take(pa.array(pairs[:, 1])))
+
+
+def _inside(rows: pa.Table) -> pa.RecordBatch:
+    """key, given, entry, types, outs for the nodes of whole parts: what each reaches without leaving its part."""
+    ends = pa.concat_arrays([*rows["a"].chunks, *rows["b"].chunks]).dictionary_encode()
+    codes, keys = pc.fill_null(ends.indices, -1).to_numpy().astype(np.int64), ends.dictionary
+    a, b, kind = codes[: len(rows)], codes[len(rows) :], rows["kind"].to_numpy()
+    types = rows["type"].combine_chunks().dictionary_encode()
+    label, n_types = pc.fill_null(types.indices, -1).to_numpy().astype(np.int64), len(types.dictionary)
+    inner, out, typed = kind == INNER, kind == OUT, label >= 0
+    # types and the nodes led to outside are labels alike, types first; both go against the edges
+    own = np.concatenate([np.stack([a[typed], label[typed]], axis=1), np.stack([a[out], n_types + b[out]], axis=1)])
+    got = carried(np.stack([b[inner], a[inner]], axis=1), own, len(keys), n_types + len(keys))
+    of_type = got[:, 1] < n_types
+    marks = [np.bincount(a[kind == k], minlength=len(keys)) > 0 for k in (NODE, ENTRY)]
+    here = np.flatnonzero(np.bincount(np.concatenate([a, b[inner]]), minlength=len(keys)))  # the far ends of edges out are nodes of other parts
+    columns = [keys, pa.array(marks[0]), pa.array(marks[1]), _sets(got[of_type], len(keys), types.dictionary), _sets(got[~of_type] - [0, n_types], len(keys), keys)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "given", "entry", "types", "outs"]).take(pa.array(here))
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of parts: those of a batch's last part wait for the next batch, repeated ones once."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.num_rows:
+            end = pc.index(held["part"], held["part"][-1]).as_py()
+            if end:
+                yield _inside(held.slice(0, end))
+                held = held.slice(end)
+            else:
+                held = held.group_by(held.column_names, use_threads=False).aggregate([])
+    if held is not None and held.num_rows:
+        yield _inside(held)
+
+
+def inside_parts(edges: DataFrame, nodes: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+    """key, given, entry, types, outs: for each node the types and the nodes of other parts that it leads to by edges of its own part, whether ``nodes`` has it, and whether an edge
+    from another part leads to it. A part's distinct rows are in one task, so parts must be small; which nodes share one is free, it decides the time only."""
+    place = lambda c: F.xxhash64(part(F.col(c)))
+    key, label = nodes.schema["key"].dataType, nodes.schema["type"].dataType
+    ways = edges.where("src is not null and dst is not null").select(F.col("src").cast(key).alias("src"), F.col("dst").cast(key).alias("dst")).withColumns({"p": place("src"), "q": place("dst")})
+    row = lambda p, kind, a, b: F.struct(F.col(p).alias("part"), F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast(key).alias("b"))
+    across = F.array(row("p", OUT, "src", F.col("dst")), row("q", ENTRY, "dst", F.lit(None)))
+    told = ways.select(F.explode(F.when(F.col("p") == F.col("q"), F.array(row("p", INNER, "src", F.col("dst")))).otherwise(across)).alias("r")).select("r.*", F.lit(None).cast(label).alias("type"))
+    own = nodes.where("key is not null").select(place("key").alias("part"), F.lit(NODE).alias("kind"), F.col("key").alias("a"), F.lit(None).cast(key).alias("b"), "type")
+    kinds = {n: k.simpleString() for n, k in (("key", key), ("type", label))}
+    schema = f"key {kinds['key']}, given boolean, entry boolean, types array<{kinds['type']}>, outs array<{kinds['key']}>"
+    return stage(dealt(own.union(told), "part", rows=2 * nodes.count()).sortWithinPartitions("part").mapInArrow(_whole_parts, schema), "inside")
+
+
+def chain_types(edges: DataFrame, nodes: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, types: the sorted types of all nodes on the chains from each node, of any length. ``nodes``: key, type. Types travel against the edges, each once to a node.
+
+    With ``part``, a function of a node's column that puts few nodes together of which many edges stay together, chains are walked inside the parts first, all of a part
+    at once; only nodes that edges between parts lead to go through rounds, and what they found is joined to the nodes that lead to them.
+    """
+    if part is None:
+        found = spread(turned(edges), nodes.select(F.col("key").alias("node"), F.col("type").alias("label")))
+        return found.join(nodes.select(F.col("key").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("key")).agg(F.array_sort(F.collect_set("label")).alias("types"))
+    known = inside_parts(edges, nodes, part)
+    entries = known.where("entry")
+    ahead = stage(chain_types(entries.select(F.col("key").alias("src"), F.explode("outs").alias("dst")), entries.select("key", F.explode_outer("types").alias("type"))), "ahead")
+    near = known.where("given and size(outs) = 0").select("key", F.array_sort("types").alias("types"))
+    far = known.where("given and size(outs) > 0").select("key", "types", F.explode("outs").alias("out")).join(large(ahead.select(F.col("key").alias("out"), F.col("types").alias("more"))), "out")
+    both = far.groupBy("key").agg(F.flatten(F.collect_set(F.array_union("types", "more"))).alias("types"))
+    return near.union(both.select("key", F.array_sort(F.array_distinct("types")).alias("types")))
 
 
 YES_NO = ["liability", "defense", "predicate", "causation", "exemplary_predicate"]

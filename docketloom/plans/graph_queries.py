@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import routing
 from ..operators.resolve import routing_sentences
-from ..operators.staging import large, stage
+from ..operators.staging import dealt, large, stage
 from .registry import query, table
 
 LINES = """l AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS node, l_orderkey AS o FROM lineitem),
@@ -18,21 +18,25 @@ LINES = """l AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS node, l_orderk
         UNION SELECT t.node, h.node FROM c JOIN s t ON t.o = c.o AND t.n IS NULL JOIN s h ON h.o = c.next AND h.i = 1 WHERE c.o % 3 = 0)"""
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, o: the lines of an order in one part."""
+    return dealt(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("o")), "o")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, order, the lines after and two before it in its order, and whether it is the first."""
     w = Window.partitionBy("o").orderBy("node")
-    nodes = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("o")).distinct()
-    return nodes.select("node", "o", F.row_number().over(w).alias("i"), F.lead("node").over(w).alias("n"), F.lag("node", 2).over(w).alias("b"))
+    return order_lines(spark, sf_dir).distinct().select("node", "o", F.row_number().over(w).alias("i"), F.lead("node").over(w).alias("n"), F.lag("node", 2).over(w).alias("b"))
 
 
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line refers to the next of its order, every third back to the last but one, and a third of orders to the customer's next order."""
-    s = lines(spark, sf_dir)
+    back = F.when(F.col("node") % 3 == 0, F.col("b"))
+    near = lines(spark, sf_dir).select(F.col("node").alias("src"), F.explode(F.array("n", back)).alias("dst")).where("dst is not null")
     c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
-    last = s.where("n is null").select("o", F.col("node").alias("src"))
-    first = s.where("i = 1").select(F.col("o").alias("next"), F.col("node").alias("dst"))
-    across = c.where("o % 3 = 0").join(last, "o").join(first, "next").select("src", "dst")
-    return s.where("n is not null").select(F.col("node").alias("src"), F.col("n").alias("dst")).union(s.where("b is not null and node % 3 = 0").select("node", "b")).union(across)
+    ends = order_lines(spark, sf_dir).groupBy("o").agg(F.min("node").alias("dst"), F.max("node").alias("src"))
+    last, first = large(ends.select("o", "src")), large(ends.select(F.col("o").alias("next"), "dst"))
+    return near.union(c.where("o % 3 = 0 and next is not null").join(last, "o").join(first, "next").select("src", "dst"))
 
 
 @query(f"""WITH RECURSIVE {LINES}, w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src),
@@ -55,8 +59,8 @@ def line_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT root AS key, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM w JOIN t USING (node) GROUP BY root""")
 def line_chain_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of line on the chains from every line."""
-    types = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.concat("l_returnflag", "l_linestatus").alias("type")).distinct()
-    return G.chain_types(line_edges(spark, sf_dir), types).select("key", F.array_join("types", ",").alias("types"))
+    types = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.concat("l_returnflag", "l_linestatus").alias("type"))
+    return G.chain_types(line_edges(spark, sf_dir), types, lambda node: F.shiftright(node, 3)).select("key", F.array_join("types", ",").alias("types"))
 
 
 ROUTED = """r AS (SELECT node, o, i, lag(node) OVER (PARTITION BY o ORDER BY i) AS p FROM s)"""

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docketloom.operators import graph
+from docketloom.plans import graph_queries
 
 
 def ways(edges):
@@ -77,3 +79,39 @@ def test_instructions_have_no_number(spark):
     nodes = spark.createDataFrame([(1, "a", 0, "liability"), (1, "i", 1, "instruction_only"), (1, "b", 2, None), (2, "c", 0, "x")], "graph long, key string, pos int, type string")
     edges = spark.createDataFrame([(1, "b", "a"), (1, "i", "b")], "graph long, before string, after string")
     assert {(r.graph, r.key): r.number for r in graph.numbered(nodes, edges).collect()} == {(1, "b"): 1, (1, "a"): 2, (2, "c"): 1}
+
+
+@pytest.mark.parametrize("edges", GRAPHS)
+def test_chain_types_by_parts(spark, edges):
+    """Any parts give the same types: of four nodes, one for all, one a node; rows of a part come in many batches."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        reach, nodes = ways(edges), {n for e in edges for n in e}
+        keys = [n for n in nodes if n % 5] + [1000]
+        rows = [(n, "abcd"[n % 4] if n % 7 else None) for n in keys] + [(None, "a"), (1000, "z"), (1000, "z")]
+        kinds = {}
+        for key, kind in rows:
+            kinds.setdefault(key, set()).add(kind)
+        want = {a: sorted({k for b in keys if b == a or (a, b) in reach for k in kinds[b] if k}) for a in keys}
+        df = spark.createDataFrame([*edges, (None, 1), (2, None)], "src long, dst long")
+        types = spark.createDataFrame(rows, "key long, type string")
+        for part in (lambda n: F.shiftright(n, 2), lambda n: F.lit(None).cast("int"), lambda n: n):
+            got = graph.chain_types(df, types, part).collect()
+            assert {r.key: r.types for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_only_edges_between_orders_go_through_rounds(spark, tmp_path, monkeypatch):
+    orders = [(o, o % 3) for o in range(60)]
+    lines = [(o, i, "AR"[o % 2], "OF"[i % 2]) for o in range(60) for i in range(1, 1 + o % 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spread, walked = graph.spread, []
+    monkeypatch.setattr(graph, "spread", lambda edges, *a: walked.append(edges.count()) or spread(edges, *a))
+    got = {r.key: r.types for r in graph_queries.line_chain_types(spark, str(tmp_path)).collect()}
+    edges = [tuple(r) for r in graph_queries.line_edges(spark, str(tmp_path)).collect()]
+    reach, kind = ways(edges), {o * 8 + i: a + b for o, i, a, b in lines}
+    assert got == {n: ",".join(sorted({kind[m] for m in kind if m == n or (n, m) in reach})) for n in kind}
+    assert 0 < sum(walked) <= sum(a // 8 != b // 8 for a, b in edges) < len(edges) / 4
