@@ -17,5 +17,5 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     events.write.option("compression", "zstd").parquet(f"{root}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    L.follow(stream, ["user_id", "event_type"], f"{root}/checkpoint", f"{root}/out", "at").awaitTermination()
+    L.follow(stream, ["user_id", "event_type"], f"{root}/checkpoint", f"{root}/out", "at", changes=False).awaitTermination()
     return L.followed(spark, f"{root}/out", ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "at")

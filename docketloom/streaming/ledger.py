@@ -69,14 +69,23 @@ def latest_states(events: DataFrame, keys: list[str], at: str = "ts") -> DataFra
     return events.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def follow(events: DataFrame, key: str | list[str], checkpoint: str, sink: str, at: str = "ts") -> StreamingQuery:
-    """Append the changes of the latest events from a stream to Parquet folders under ``sink``; a restart goes on from the checkpoint."""
+def newest(events: DataFrame, keys: list[str], at: str = "ts") -> DataFrame:
+    """The latest event of each key, as by ``latest_states`` (but NaN is greatest, as in SQL), and how many events it has had, by Spark's own aggregate.
+    A stream of it in mode ``update`` keeps one row of state a key and gives a row for each key that had an event, also where the latest stays; no Python runs for a key."""
+    columns = _ordered(events.columns, keys, at)
+    return events.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_latest"), F.count("*").alias("n_events")).select(*keys, *(F.col("_latest")[c].alias(c) for c in columns), "n_events")
+
+
+def follow(events: DataFrame, key: str | list[str], checkpoint: str, sink: str, at: str = "ts", changes: bool = True) -> StreamingQuery:
+    """Append the latest events from a stream to Parquet folders under ``sink``, only where they change or, without ``changes``, for every key that has an event, which takes
+    no Python step a key; a restart goes on from the checkpoint, which is of one of the two."""
     keys = [key] if isinstance(key, str) else key
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return latest_states(events, keys, at).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    states, mode = (latest_states(events, keys, at), "append") if changes else (newest(events, keys, at), "update")
+    return states.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def followed(spark: SparkSession, sink: str, key: str | list[str]) -> DataFrame:
