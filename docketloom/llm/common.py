@@ -8,9 +8,13 @@ empty results with the full schema.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +50,46 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside hands Python batches of at most so many rows and bytes. Texts and sets are long: the usual batches hold tens of megabytes of them, on both sides and for every core."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def release() -> None:
+    """Give the memory that is free in this process back to the machine: workers outlive tasks and stages, and what one stage took is kept for the next."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, in a worker that has no free memory of other stages when it begins, and keeps none of its own."""
+
+    def tidied(batches: Batches) -> Batches:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 class Recent(dict):
     """A cache of two generations: what is used moves to the younger one, which in time replaces the older."""
 

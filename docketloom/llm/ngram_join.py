@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, of_process, shared_dir, small, stage, window_hashes, write
+from .common import WordHashes, mix, of_process, shared_dir, small, small_batches, stage, tidy, window_hashes, write
 from .components import components
 
 SHINGLE = 5
@@ -61,6 +61,10 @@ GROUP_LIMIT = 8
 SALTED, SLOTS, MOST_LEVELS = 256, 1024, 20_000
 BUCKET_BYTES = 24 << 20
 """Bytes of text to a bucket of sketch words: at most two bands of a third of the shingles, 6 bytes each."""
+MOST_WORDS = 1 << 17
+"""Hashes of words that a worker keeps."""
+PLACED_ROWS = 256
+"""Differences that are placed at a time, each with up to some thousand rows."""
 U = np.uint64
 
 
@@ -126,7 +130,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def _sketch(k: int, frequent: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base, sent = of_process(WordHashes), TaskContext.get().partitionId() << 33, set()
+        hashes, base, sent = of_process(WordHashes, 0, MOST_WORDS), TaskContext.get().partitionId() << 33, set()
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
@@ -225,14 +229,14 @@ def _differences(groups: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     members = groups.where("c <> s").join(parts, "c").withColumn("salt", F.pmod(F.xxhash64("s"), F.col("parts"))).drop("parts")
     members = members.join(sets.select(F.col("sid").alias("s"), F.col("shingles").alias("set_s")), "s")
     centres = parts.join(sets.select(F.col("sid").alias("c"), F.col("shingles").alias("set_c")), "c").select("c", "set_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
-    return members.join(centres, ["c", "salt"]).select("c", "s", "set_c", "set_s").mapInArrow(_differ(num, den), DIFFERENCE)
+    return members.join(centres, ["c", "salt"]).select("c", "s", "set_c", "set_s").mapInArrow(tidy(_differ(num, den)), DIFFERENCE)
 
 
 def _half(k: int):
     """sid, and 32 bits of those shingles of each text whose last bit is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = of_process(WordHashes)
+        hashes = of_process(WordHashes, 0, MOST_WORDS)
         for batch in batches:
             sets = [s for s in (shingles(t.lower().split(), hashes, k) for t in texts_of(batch)) if len(s)]
             half = [(s[s & U(1) == 0] >> U(32)).astype(np.uint32).view(np.int32) for s in sets]
@@ -249,7 +253,7 @@ def _lonely(docs: DataFrame, rows: DataFrame, members: DataFrame, k: int, num: i
     but a passage in common end here, before any set travels whole.
     """
     texts, owners = _texts_of(docs, rows, members)
-    halves = texts.mapInArrow(_half(k), "x int, sid binary").join(small(owners.select("sid")), "sid", "left_semi")
+    halves = texts.mapInArrow(tidy(_half(k)), "x int, sid binary").join(small(owners.select("sid")), "sid", "left_semi")
     alone = halves.groupBy("x").agg(F.min("sid").alias("sid"), F.max("sid").alias("last")).where("sid = last").select("sid")
     counts = alone.groupBy("sid").agg(F.count("*").alias("m"))
     sizes = rows.where("kind = 'set'").join(small(owners.select("sid")), "sid", "left_semi").select("sid", "n").distinct()
@@ -275,7 +279,7 @@ def _place(num: int, den: int):
     plus, minus = den + num, den - num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PLACED_ROWS) for whole in batches for at in range(0, len(whole), PLACED_ROWS)):
             cols = [[np.empty(0, np.int64)] for _ in range(8)]
             for r in range(len(batch)):
                 g, id_, n, nc, w, linked, levels, d = (c[r] for c in batch.columns)
@@ -303,10 +307,10 @@ def _meetings(differences: DataFrame, num: int, den: int) -> DataFrame:
     some = small(stage(differences.where("not linked").select("g").distinct(), "open"))
     those = differences.join(some, "g", "left_semi")
     slots = those.select("g", F.explode("d").alias("x")).groupBy("g", F.col("x").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("m"))
-    levels = slots.groupBy("g").agg(F.collect_list(F.struct("slot", "m")).alias("l")).mapInArrow(_levels, "g long, levels binary")
+    levels = slots.groupBy("g").agg(F.collect_list(F.struct("slot", "m")).alias("l")).mapInArrow(tidy(_levels), "g long, levels binary")
     levels = small(stage(levels, "levels"), MOST_LEVELS)
     placed = those.select("g", "id", "n", "nc", "w", "linked", "d").join(levels, "g").select("g", "id", "n", "nc", "w", "linked", "levels", "d")
-    placed = stage(placed.mapInArrow(_place(num, den), PLACED), "placed")
+    placed = stage(placed.mapInArrow(tidy(_place(num, den)), PLACED), "placed")
     a = placed.where("not linked").select("g", "x", *[F.col(k).alias(f"{k}_a") for k in ("id", "n", "w", "i", "early")])
     b = placed.where("early").select("g", "x", *[F.col(k).alias(f"{k}_b") for k in ("id", "n", "w", "i", "linked")])
     can = f"""(linked_b or early_a and id_a < id_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)
@@ -345,7 +349,7 @@ def _verify(num: int, den: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = of_process(WordHashes)
+        hashes = of_process(WordHashes, 0, MOST_WORDS)
         for batch in batches:
             sets = [shingles(t.lower().split(), hashes, k) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"])
@@ -355,7 +359,7 @@ def _sets(k: int):
 
 def _shingle_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = of_process(WordHashes)
+        hashes = of_process(WordHashes, 0, MOST_WORDS)
         for batch in batches:
             sets = [shingles(t.lower().split(), hashes, k) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, U)]).astype(U).view(np.int64))], ["s"])
@@ -366,7 +370,7 @@ def _shingle_rows(k: int):
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles common in a sample of the documents; at most MOST_FREQUENT, a megabyte."""
     sampled = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
-    counts = sampled.mapInArrow(_shingle_rows(k), "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
+    counts = sampled.mapInArrow(tidy(_shingle_rows(k)), "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).select("s").collect()
     return np.sort(np.array([r.s for r in top], np.int64).view(U))
 
@@ -378,7 +382,7 @@ def _key_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     sized = pairs.join(left.drop("bits_a"), "u").join(right.drop("bits_b"), "v").where(f"sid_a <> sid_b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
     sized = sized.select("u", "v", "n_a", "n_b")
     full = sized.join(left.select("u", "sid_a", "bits_a"), "u").join(right.select("v", "sid_b", "bits_b"), "v")
-    near = full.mapInArrow(_near(num, den), "sid_a binary, sid_b binary")
+    near = full.mapInArrow(tidy(_near(num, den)), "sid_a binary, sid_b binary")
     return near.select(F.least("sid_a", "sid_b").alias("sid_a"), F.greatest("sid_a", "sid_b").alias("sid_b")).distinct()
 
 
@@ -393,30 +397,24 @@ def _texts_of(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> tuple[Data
 def _sets_of(docs: DataFrame, rows: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """sid, shingles of the sets ``needed`` (sid), by the text of one document each."""
     texts, owners = _texts_of(docs, rows, needed)
-    sets = texts.mapInArrow(_sets(k), "sid binary, shingles binary").where("sid is not null").join(small(owners.select("sid")), "sid", "left_semi")
+    sets = texts.mapInArrow(tidy(_sets(k)), "sid binary, shingles binary").where("sid is not null").join(small(owners.select("sid")), "sid", "left_semi")
     return stage(sets.dropDuplicates(["sid"]), "sets")
 
 
 def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (sid_a, sid_b) that link, by exact intersection."""
     full = near.join(sets.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("set_a")), "sid_a").join(sets.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("set_b")), "sid_b")
-    return full.mapInArrow(_verify(num, den), "sid_a binary, sid_b binary")
+    return full.mapInArrow(tidy(_verify(num, den)), "sid_a binary, sid_b binary")
 
 
-def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = SHINGLE, group_limit: int = GROUP_LIMIT, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; two link when den * |A and B| >= num * |A or B|. num/den is 3/4 or more.
-
-    ``buckets``: how many tasks the sketch words are dealt to; by default it follows from the bytes of all texts.
-    """
-    if 4 * num < 3 * den:
-        raise ValueError("sketch words are chosen for similarities of 0.75 or more")
+def _labelled(docs: DataFrame, num: int, den: int, shingle: int, group_limit: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """The written rows of documents and sets, and (node, label): of each set that links with another the least of its component."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     if buckets is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     path = shared_dir(spark, "ngram-join")
-    rows = write(docs.mapInArrow(_sketch(shingle, frequent_shingles(docs, shingle), buckets), ROWS), f"{path}/rows", ["kind"])
+    rows = write(docs.mapInArrow(tidy(_sketch(shingle, frequent_shingles(docs, shingle), buckets)), ROWS), f"{path}/rows", ["kind"])
     keyed = rows.where("kind = 'key'").select("bucket", "base", "a", "b")
     found = write(keyed.groupBy("bucket").applyInArrow(_pairs(group_limit), "u long, v long, key long"), f"{path}/pairs")
     sets = rows.where("kind = 'set'").select("uid", "sid", "n", "a")
@@ -441,7 +439,18 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int
         met = stage(_meetings(differences, num, den).join(near, ["sid_a", "sid_b"], "left_anti"), "met")
         star = differences.where("linked").select(F.least("c", "s").alias("sid_a"), F.greatest("c", "s").alias("sid_b"))
         links = links.unionByName(star).unionByName(_verified(met, texts, num, den))
-    label = stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
+    return rows, stage(components(links.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))), "labels")
+
+
+def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, shingle: int = SHINGLE, group_limit: int = GROUP_LIMIT, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``; two link when den * |A and B| >= num * |A or B|. num/den is 3/4 or more.
+
+    ``buckets``: how many tasks the sketch words are dealt to; by default it follows from the bytes of all texts.
+    """
+    if 4 * num < 3 * den:
+        raise ValueError("sketch words are chosen for similarities of 0.75 or more")
+    with small_batches(docs.sparkSession):
+        rows, label = _labelled(docs.select("doc_id", "text"), num, den, shingle, group_limit, buckets)
     per_doc = rows.where("kind = 'doc'").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     per_set = per_doc.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     per_set = per_set.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -139,3 +139,27 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert ngram_join.near_duplicates(samples.empty(spark)).count() == 0
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Texts of 15 MB in one part, and pairs of sets, reach Python some megabytes at a time; the session's own bounds come back."""
+
+    def counted(run):
+        def held(batches):
+            def bounded():
+                for batch in batches:
+                    if batch.nbytes > 10 << 20:
+                        raise ValueError(f"{batch.nbytes} bytes at once")
+                    yield batch
+
+            yield from run(bounded())
+
+        return held
+
+    monkeypatch.setattr(ngram_join, "tidy", counted)
+    own = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    words = "concat_ws(' ', transform(sequence(1, 1000), i -> concat('w', hash(id % 750, i) % 1000000)))"
+    docs = spark.range(1500).coalesce(1).selectExpr("id as doc_id", f"{words} as text")
+    rows = ngram_join.near_duplicates(docs)
+    assert {k: spark.conf.get(k) for k in own} == own
+    assert rows.where("component_id = doc_id % 750 and n_shingles > 900").count() == 1500
