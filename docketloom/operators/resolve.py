@@ -11,9 +11,9 @@ BIN = 512
 
 
 def lookup_map(entries: DataFrame) -> DataFrame:
-    """One entry for each key of ``entries`` (key, status, pos, value): the first with status 200, else the first."""
-    order = F.struct(F.coalesce(F.col("status") != 200, F.lit(True)), "pos")
-    return entries.where("key is not null and key <> ''").groupBy("key").agg(F.min_by(F.struct("status", "pos", "value"), order).alias("e")).select("key", "e.*")
+    """One entry for each key of ``entries`` (key, status, pos, value): the first with status 200, else the first. Of equal places the greatest status and value, so that the order of rows decides nothing."""
+    order = F.struct(F.coalesce(F.col("status") == 200, F.lit(False)), F.bitwise_not("pos"), "status", "value")  # the greatest of them: bits turned round turn the order round
+    return entries.where("key is not null and key <> ''").groupBy("key").agg(F.max_by(F.struct("status", "pos", "value"), order).alias("e")).select("key", "e.*")
 
 
 def contained_cite(cites: DataFrame, listed: DataFrame, width: int = 4) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketloom.functions import dates, normalize, style
-from docketloom.operators import dedup, grade, graph, match, quotes, segment
+from docketloom.operators import dedup, grade, graph, match, quotes, resolve, segment
 
 # Examples of the restyling rules.
 GOLDEN = [
@@ -163,3 +163,10 @@ def test_span_merge_chains(spark):
 def test_doubled(spark):
     rows = spark.createDataFrame([("a b a b",), ("a b a c",), ("a",), ("a a",)], "t string").select(dedup.doubled(F.col("t")).alias("d")).collect()
     assert [r.d for r in rows] == [True, False, False, True]
+
+
+def test_lookup_map_takes_the_greatest_of_equal_places(spark):
+    rows = [("a", 404, 1, "x"), ("a", 200, 7, "z"), ("a", 200, 5, "999"), ("a", 200, 5, "1749"), ("b", 300, 2, "q"), ("b", None, 2, "p"), ("", 200, 1, "y"), (None, 200, 1, "z")]
+    for entries in (rows, rows[::-1]):
+        got = resolve.lookup_map(spark.createDataFrame(entries, "key string, status int, pos long, value string").coalesce(1))
+        assert {tuple(r) for r in got.collect()} == {("a", 200, 5, "999"), ("b", 300, 2, "q")}
