@@ -108,12 +108,17 @@ def least_both_ways(edges: DataFrame) -> DataFrame:
     return state.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("least"))).alias("least"), F.max(F.when(F.col("way") == 1, F.col("least"))).alias("back"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """node, component: strongly connected components, each named by its least node; a node on no cycle is its own.
 
     Forward and backward colouring: a node whose first ancestor and first descendant are the same lies in that node's component; edges
     between nodes that differ in either are in none and go. First is by hash, so what is left halves from round to round, as in quicksort.
+
+    With ``part``, a function of a node's column that puts few nodes together of which many edges stay together, components are found inside the parts first, all of a
+    part at once. A cycle over several parts goes through nodes that edges from other parts lead to, so only these, where they lead on to other parts, are coloured.
     """
+    if part is not None:
+        return _parted_components(edges, part)
     all_edges = known_edges(edges)
     live = stage(all_edges.where("src <> dst"), "live")
     spark, folder, paths = edges.sparkSession, shared_dir(edges.sparkSession, "components"), []
@@ -133,6 +138,44 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those from a node that none leads to, or to a node that leads nowhere, as no cycle has them; again and again, as long as half of them go."""
+    n = edges.count()
+    while n:
+        left = edges.join(large(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(large(edges.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
+        edges, before = stage(left.select("src", "dst"), "trimmed"), n
+        n = edges.count()
+        if 2 * n > before:
+            break
+    return edges
+
+
+def _parted_components(edges: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+    """Of a cycle over several parts each node is reached by one of its entries ``ins`` of its own part, and reaches a node of another part, ``outs``, that lies in one component with that entry."""
+    edges, key = stage(edges.select("src", "dst"), "edges"), edges.schema["src"].dataType
+    kind, place = key.simpleString(), lambda c: F.xxhash64(part(F.col(c)))
+    ways = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast(key).alias("dst")).withColumns({"p": place("src"), "q": place("dst")})
+    row = lambda p, kind, a, b: F.struct(F.col(p).alias("part"), F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast(key).alias("b"))
+    across = F.array(row("p", OUT, "src", F.col("dst")), row("q", ENTRY, "dst", F.lit(None)))
+    told = ways.select(F.explode(F.when(F.col("p") == F.col("q"), F.array(row("p", INNER, "src", F.col("dst")))).otherwise(across)).alias("r")).select("r.*")
+    found = dealt(told, "part", rows=2 * edges.count()).sortWithinPartitions("part").mapInArrow(_whole_parts(_inside_components), f"node {kind}, component {kind}, ins array<{kind}>, outs array<{kind}>")
+    known = stage(found, "inside")
+    open_ = known.where("size(ins) > 0 and size(outs) > 0")
+    entries = open_.where("array_contains(ins, node)")
+    steps = entries.select(F.explode("ins").alias("src"), F.col("node").alias("dst")).where("src <> dst")  # of one part
+    steps = stage(entries.select(F.col("node").alias("src"), F.explode("outs").alias("dst")).union(steps), "steps")
+    heads = components(_trimmed(steps)).withColumnRenamed("component", "c")
+    heads = stage(heads.join(heads.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "c"), "heads")
+    if heads.isEmpty():
+        return known.select("node", "component")
+    heads = large(heads)
+    ins = open_.select("node", F.explode("ins").alias("head")).join(heads.withColumnRenamed("node", "head"), "head").select("node", "c").distinct()
+    outs = open_.select("node", F.explode("outs").alias("head")).join(heads.withColumnRenamed("node", "head"), "head").select("node", "c").distinct()
+    crossing = stage(ins.join(large(outs), ["node", "c"]), "crossing")
+    names = crossing.join(large(crossing.groupBy("c").agg(F.min("node").alias("name"))), "c").select("node", "name")
+    return known.join(large(names), "node", "left").select("node", F.coalesce("name", "component").alias("component"))
+
+
 def inside(edges: DataFrame) -> DataFrame:
     """The edges that lie on some cycle: both ends in one component."""
     parts = stage(components(edges), "parts")
@@ -196,21 +239,50 @@ def _inside(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["key", "given", "entry", "types", "outs"]).take(pa.array(here))
 
 
-def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of parts: those of a batch's last part wait for the next batch, repeated ones once."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        if held.num_rows:
-            end = pc.index(held["part"], held["part"][-1]).as_py()
-            if end:
-                yield _inside(held.slice(0, end))
-                held = held.slice(end)
-            else:
-                held = held.group_by(held.column_names, use_threads=False).aggregate([])
-    if held is not None and held.num_rows:
-        yield _inside(held)
+def _inside_components(rows: pa.Table) -> pa.RecordBatch:
+    """node, component, ins, outs for the nodes of whole parts: the component without leaving the part; the nodes that edges from other parts lead to and that lead to it inside the part; and the
+    nodes of other parts that it leads to. Both are empty where one is."""
+    ends = pa.concat_arrays([*rows["a"].chunks, *rows["b"].chunks]).dictionary_encode()
+    codes, keys = pc.fill_null(ends.indices, -1).to_numpy().astype(np.int64), ends.dictionary
+    a, b, kind = codes[: len(rows)], codes[len(rows) :], rows["kind"].to_numpy()
+    inner, out, entry, n = kind == INNER, kind == OUT, kind == ENTRY, len(keys)
+    here = np.unique(np.concatenate([a, b[inner]]))
+    ways = np.stack([a[inner], b[inner]], axis=1)
+    order = pc.sort_indices(keys).to_numpy().astype(np.int64)  # places by key, so that the least node is the first
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    reach = carried(ways[:, ::-1], np.stack([here, rank[here]], axis=1), n, n)  # each node and those it leads to, itself among them
+    to = order[reach[:, 1]]
+    mutual = reach[np.isin(reach[:, 0] * n + to, to * n + reach[:, 0])]
+    first = np.full(n, n)
+    np.minimum.at(first, mutual[:, 0], mutual[:, 1])
+    ins = carried(ways, np.stack([a[entry], a[entry]], axis=1), n, n)
+    outs = carried(ways[:, ::-1], np.stack([a[out], b[out]], axis=1), n, n)
+    both = np.intersect1d(ins[:, 0], outs[:, 0])
+    ins, outs = (x[np.isin(x[:, 0], both)] for x in (ins, outs))
+    columns = [keys, keys.take(pa.array(order[np.minimum(first, n - 1)])), _sets(ins, n, keys), _sets(outs, n, keys)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "component", "ins", "outs"]).take(pa.array(here))
+
+
+def _whole_parts(inside: Callable[[pa.Table], pa.RecordBatch]):
+    """``inside`` of rows in order of parts: those of a batch's last part wait for the next batch, repeated ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows:
+                end = pc.index(held["part"], held["part"][-1]).as_py()
+                if end:
+                    yield inside(held.slice(0, end))
+                    held = held.slice(end)
+                else:
+                    held = held.group_by(held.column_names, use_threads=False).aggregate([])
+        if held is not None and held.num_rows:
+            yield inside(held)
+
+    return run
 
 
 def inside_parts(edges: DataFrame, nodes: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
@@ -225,7 +297,7 @@ def inside_parts(edges: DataFrame, nodes: DataFrame, part: Callable[[Column], Co
     own = nodes.where("key is not null").select(place("key").alias("part"), F.lit(NODE).alias("kind"), F.col("key").alias("a"), F.lit(None).cast(key).alias("b"), "type")
     kinds = {n: k.simpleString() for n, k in (("key", key), ("type", label))}
     schema = f"key {kinds['key']}, given boolean, entry boolean, types array<{kinds['type']}>, outs array<{kinds['key']}>"
-    return stage(dealt(own.union(told), "part", rows=2 * nodes.count()).sortWithinPartitions("part").mapInArrow(_whole_parts, schema), "inside")
+    return stage(dealt(own.union(told), "part", rows=2 * nodes.count()).sortWithinPartitions("part").mapInArrow(_whole_parts(_inside), schema), "inside")
 
 
 def chain_types(edges: DataFrame, nodes: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n.node, least(n.node, coalesce(m, n.node)) AS component FROM n LEFT JOIN r ON n.node = r.node""")
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected components of the graph of all lines."""
-    return G.components(line_edges(spark, sf_dir))
+    return G.components(line_edges(spark, sf_dir), lambda node: F.shiftright(node, 3))
 
 
 @query(f"""WITH RECURSIVE {LINES}, w AS (SELECT node AS root, node FROM s WHERE i = 1 UNION SELECT root, dst FROM w JOIN e ON node = src)

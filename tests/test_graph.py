@@ -115,3 +115,33 @@ def test_only_edges_between_orders_go_through_rounds(spark, tmp_path, monkeypatc
     reach, kind = ways(edges), {o * 8 + i: a + b for o, i, a, b in lines}
     assert got == {n: ",".join(sorted({kind[m] for m in kind if m == n or (n, m) in reach})) for n in kind}
     assert 0 < sum(walked) <= sum(a // 8 != b // 8 for a, b in edges) < len(edges) / 4
+
+
+@pytest.mark.parametrize("edges", GRAPHS)
+def test_components_by_parts(spark, edges):
+    """Any parts give the same components, also of cycles over several parts; rows of a part come in many batches."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        reach, nodes = ways(edges), {n for e in edges for n in e}
+        want = {a: min({a} | {b for b in nodes if (a, b) in reach and (b, a) in reach}) for a in nodes}
+        df = spark.createDataFrame([*edges, (None, 1), (2, None)], "src long, dst long")
+        for part in (lambda n: F.shiftright(n, 2), lambda n: n % 3, lambda n: F.lit(None).cast("int"), lambda n: n):
+            got = graph.components(df, part).collect()
+            assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_only_edges_between_orders_are_coloured(spark, tmp_path, monkeypatch):
+    orders = [(o, o % 3) for o in range(60)]
+    lines = [(o, i) for o in range(60) for i in range(1, 1 + o % 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    coloured, seen = graph.least_both_ways, []
+    monkeypatch.setattr(graph, "least_both_ways", lambda edges: seen.append(edges.count()) or coloured(edges))
+    got = {r.node: r.component for r in graph_queries.line_components(spark, str(tmp_path)).collect()}
+    edges = [tuple(r) for r in graph_queries.line_edges(spark, str(tmp_path)).collect()]
+    reach, nodes = ways(edges), {n for e in edges for n in e}
+    assert got == {a: min({a} | {b for b in nodes if (a, b) in reach and (b, a) in reach}) for a in nodes}
+    assert sum(seen) <= sum(a // 8 != b // 8 for a, b in edges) < len(edges) / 4 and any(n != c for n, c in got.items())
