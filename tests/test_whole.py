@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketloom.functions import normalize
 from docketloom.operators import dedup, graph, match, quotes
-from docketloom.plans import catalogue
+from docketloom.plans import catalogue, text_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,3 +210,35 @@ def test_clean_alterations(spark):
 
 def test_word_ratio():
     assert quotes.word_ratio("a b, c 1", "a b c") == 1.0 and quotes.word_ratio("a b c d", "a x c d") == 0.75 and quotes.word_ratio("1 2", "a") == 0.0
+
+
+def test_passages_meet_the_documents_that_alter_them(spark, tmp_path):
+    """All documents against all passages: pairs with three words in a row in common, or all words of a shorter passage, but not the whole passage."""
+    passages = {1: "the court may correct only clerical errors in the judgment, after its plenary power has ended", 2: "a party who fails to object waives the error", 3: "res judicata", 4: "", 5: None, 6: "none of these words stands anywhere"}
+    around = "zzz yyy xxx www " * 5
+    said = {
+        1: f"{around}{passages[1]} {around}", 2: f"{around}{passages[1].replace('only', 'some')}{around}", 3: f"{around}The Court may amend; a party who fails, to object forfeits. {around}",
+        4: f"{around}res, judicata {around}", 5: around, 6: None, 7: "judicata res", None: "waives the error",
+    }
+    words = lambda t: re.sub(r"[^\w\s]", "", (t or "").lower()).split()
+    runs = lambda t, k: {tuple(words(t)[i : i + k]) for i in range(len(words(t)) - k + 1)}
+    want = {}
+    for i, p in passages.items():
+        k = min(3, len(words(p)))
+        for d, t in said.items():
+            if k and runs(p, k) & runs(t, k) and p.lower() not in (t or "").lower():
+                want[d, i] = round(plain_span(p, " ".join((t or "").lower().split()))[0], 2)
+    assert set(want) == {(2, 1), (3, 1), (3, 2), (4, 3), (None, 2)}
+    spark.createDataFrame(list(said.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(passages.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in text_queries.quote_best_ratio(spark, str(tmp_path)).collect()]
+    assert sorted(((d, i, s) for d, i, s, _ in got), key=str) == sorted(((d, i, s) for (d, i), s in want.items()), key=str)
+    assert {(d, i): r for d, i, _, r in got}[2, 1] == "CLOSE"
+
+
+def test_matched_characters_are_those_of_the_blocks():
+    r = random.Random(5)
+    for n, letters in [(0, "a"), (1, "ab"), (12, "ab"), (40, "abc "), (150, "etaoin shrdlu")] * 40:
+        a, b = ("".join(r.choice(letters) for _ in range(r.randrange(n + 1))) for _ in range(2))
+        b = r.choice([b, a[: len(a) // 2] + b, b + a[len(a) // 3 :], a])
+        assert quotes.matched(a, b) == sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
